@@ -42,7 +42,7 @@ def market_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         token(pair).alias("token0"),
         token(pair + 1).alias("token1"),
         (F.expr("user_id div 10") % 2).cast("int").alias("side"),
-        (F.get_json_object("props", "$.k").cast("int") % 12 - 6).alias("tick"),
+        (F.regexp_extract("props", r"([0-9]+)", 1).cast("int") % 12 - 6).alias("tick"),
         F.when(user == 0, 1).when(user == 1, 5).otherwise(20).alias("fee"),
         F.round(F.col("value") * 100).cast("long").alias("amount"),
         F.when(kind.isin("error", "view", "signup"), F.lit(0).cast("long"))

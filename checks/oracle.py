@@ -453,5 +453,18 @@ ORACLES: dict[str, str] = {
           coalesce(n, 0) AS rows
         FROM (SELECT DISTINCT feed FROM rows) f CROSS JOIN block b LEFT JOIN told t ON t.feed = f.feed AND t.height = b.height"""),
 }
+ORACLES |= {
+    "stream_tx_log": sql(RAW, """SELECT height, md5(height || '-' || tx_index) AS txhash, count(*) AS n_events FROM r
+        GROUP BY height, tx_index"""),
+    "stream_reserves_diff": ORACLES["reserves_diff"],
+    "stream_tick_book": sql(CHANGES, AFTER, RESERVES, PRICE, """SELECT 'reserves' AS kind, seq, token0, token1,
+        CAST(reserves0 AS BIGINT) AS side0, CAST(reserves1 AS BIGINT) AS side1 FROM reserves
+        UNION ALL SELECT 'price', seq, token0, token1, best0, best1 FROM price"""),
+    "stream_windows": sql(*TOTALS, f"""SELECT token0, token1, {bucket('time_unix', 'hour')} AS time_unix,
+        arg_max(reserves0, seq) AS amount0, arg_max(reserves1, seq) AS amount1
+        FROM reserves JOIN block USING (height) GROUP BY 1, 2, 3"""),
+    "stream_price_windows": sql(*BEST, ohlc_of("day", "0", "(SELECT newest FROM p)")),
+    "stream_volume_windows": sql(DIFFS, volume_of("day", "-1", "(SELECT newest FROM p)", "18000")),
+}
 # extra CTEs written inside a query start with a comma
 ORACLES = {name: text.replace("\n, ", ",\n") if "\n, " in text else text for name, text in ORACLES.items()}

@@ -49,7 +49,7 @@ class Inputs:
         return state.versions_of_changes(self.changes())
 
     def reserves(self) -> DataFrame:
-        return state.reserves_of_changes(self.changes())
+        return state.reserves_series(self.updates())
 
     def price(self) -> DataFrame:
         return state.best_price_of_changes(self.changes())

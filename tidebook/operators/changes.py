@@ -11,13 +11,16 @@ from tidebook.operators.ranges import block_range
 TICK = ["token0", "token1", "token", "tick"]
 
 
-def tick_changes(changes: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
+def tick_changes(changes: DataFrame, span: int = DEFAULT_SPAN, carry: DataFrame | None = None) -> DataFrame:
     """One row per tick and block in which it changed, with its reserves over all fees after that block.
 
-    ``changes`` is the state change log. Zero reserves mean that the tick is gone.
+    ``changes`` is the state change log. Zero reserves mean that the tick is gone. ``carry`` has the tick's reserves
+    before this input as ``change``.
     """
-    keyed = changes.drop(CHUNK).withColumnRenamed("token_in", "token")
-    summed = running_sum(keyed, TICK, "seq", {"reserves": "change"}, span=span)
+    keyed = changes.select(
+        "seq", "height", "token0", "token1", F.col("token_in").alias("token"), "tick", "change"
+    )
+    summed = running_sum(keyed, TICK, "seq", {"reserves": "change"}, span=span, carry=carry)
     return summed.groupBy(*TICK, "height").agg(F.max_by("reserves", "seq").alias("reserves"))
 
 

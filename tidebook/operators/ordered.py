@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebook.session import shared_folder
+from tidebook.session import cut
 
 CHUNK = "chunk"
 DEFAULT_SPAN = 256
@@ -90,7 +90,7 @@ def last_known(
     span: int = DEFAULT_SPAN,
     carry: DataFrame | None = None,
 ) -> DataFrame:
-    """Fill each column with its last given value up to the row.
+    """Fill each column with its last given value up to the row. The input is read twice.
 
     ``columns`` maps a value column to a boolean column that says where the value is given; a given null counts.
     ``carry`` has the keys, the value columns and the flag columns.
@@ -102,27 +102,21 @@ def last_known(
         summary.append(F.max(given).alias(given))
     tails = rows.groupBy(*keys, CHUNK).agg(*summary)
     chained = _chained(tails, keys, carry)
+    given_value = {v: F.last(F.when(F.col(g), F.struct(v)), ignorenulls=True) for v, g in columns.items()}
     before = _before(keys)
-    heads = chained
-    for value, given in columns.items():
-        heads = heads.withColumn(
-            f"_{value}", F.last(F.when(F.col(given), F.struct(value)), ignorenulls=True).over(before)
-        )
-    heads = heads.select(
+    heads = chained.select(*keys, CHUNK, *[w.over(before).alias(f"_{v}") for v, w in given_value.items()]).select(
         *keys,
         CHUNK,
         *[F.col(f"_{v}")[v].alias(v) for v in columns],
         *[F.col(f"_{v}").isNotNull().alias(g) for v, g in columns.items()],
     )
     inside = _inside(keys, order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    filled = _headed(rows, heads)
-    for value, given in columns.items():
-        filled = filled.withColumn(
-            f"_{value}", F.last(F.when(F.col(given), F.struct(value)), ignorenulls=True).over(inside)
-        )
-    for value in columns:
-        filled = filled.withColumn(value, F.col(f"_{value}")[value]).drop(f"_{value}")
-    return filled.where(~F.col(_HEAD)).drop(_HEAD, CHUNK)
+    filled = _headed(rows, heads).withColumns({f"_{v}": w.over(inside) for v, w in given_value.items()})
+    return (
+        filled.where(~F.col(_HEAD))
+        .withColumns({v: F.col(f"_{v}")[v] for v in columns})
+        .drop(_HEAD, CHUNK, *[f"_{v}" for v in columns])
+    )
 
 
 def running_sum(
@@ -136,6 +130,8 @@ def running_sum(
 ) -> DataFrame:
     """Add running sums up to and including each row; ``sums`` maps a result to the column it adds up.
 
+    The input is read twice: an expensive one should be stored before.
+
     ``carry`` has the keys and the summed columns, holding the totals before this input.
     """
     rows = with_chunk(df, position, span)
@@ -147,12 +143,14 @@ def running_sum(
         *keys, CHUNK, *[F.sum(c).over(_before(keys)).cast(kinds[c]).alias(c) for c in sources]
     ).where(F.coalesce(*sources).isNotNull() if sources else F.lit(True))
     inside = _inside(keys, order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    summed = _headed(rows, heads)
-    for out, source in sums.items():
-        summed = summed.withColumn(f"_{out}", F.sum(source).over(inside).cast(kinds[source]))
-    for out in sums:
-        summed = summed.withColumn(out, F.col(f"_{out}")).drop(f"_{out}")
-    return summed.where(~F.col(_HEAD)).drop(_HEAD, CHUNK)
+    summed = _headed(rows, heads).withColumns(
+        {f"_{out}": F.sum(source).over(inside).cast(kinds[source]) for out, source in sums.items()}
+    )
+    return (
+        summed.where(~F.col(_HEAD))
+        .withColumns({out: F.col(f"_{out}") for out in sums})
+        .drop(_HEAD, CHUNK, *[f"_{out}" for out in sums])
+    )
 
 
 def number_rows(df: DataFrame, order: list[Column], out: str = "row_number") -> DataFrame:
@@ -161,16 +159,13 @@ def number_rows(df: DataFrame, order: list[Column], out: str = "row_number") ->
     Rows are range-partitioned and sorted, written once (so that a lost executor cannot re-cut the ranges), and each
     range is shifted by the row count of the ranges before it. The offsets table has one row per partition.
     """
-    spark = df.sparkSession
-    shared_folder(spark)
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_range = (1 << 33) - 1
-    placed = (
+    placed = cut(
         df.repartitionByRange(ranges, *order)
         .sortWithinPartitions(*order)
         .withColumn("_range", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(in_range)))
-        .checkpoint()
     )
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = (

@@ -25,6 +25,7 @@ from tidebook.operators.ordered import (
     running_sum,
 )
 from tidebook.schemas import AMOUNT
+from tidebook.session import cut, stored
 
 PAIR = ["token0", "token1"]
 TICK = [*PAIR, "token_in", "tick"]
@@ -77,8 +78,12 @@ def versions_of_changes(changes: DataFrame) -> DataFrame:
 def reserves_series(
     updates: DataFrame, span: int = DEFAULT_SPAN, carry: DataFrame | None = None, totals: DataFrame | None = None
 ) -> DataFrame:
-    """Live reserve totals of both sides of a pair after each change of a total."""
-    return reserves_of_changes(state_changes(updates, span, carry), span, totals)
+    """Live reserve totals of both sides of a pair after each change of a total.
+
+    The change log is read twice, so it is stored once in the shared folder.
+    """
+    changes = state_changes(updates, span, carry).select(*STATE, "seq", "height", "previous", "change")
+    return reserves_of_changes(stored(changes, "changes"), span, totals)
 
 
 def reserves_of_changes(
@@ -133,7 +138,7 @@ def best_price_of_changes(
     carry: DataFrame | None = None,
     best: DataFrame | None = None,
 ) -> DataFrame:
-    moves = best_tick_moves(changes, span, carry)
+    moves = cut(best_tick_moves(changes, span, carry))
     first = F.col("side") == 0
     sided = moves.select(
         "seq",
@@ -165,11 +170,13 @@ def best_tick_moves(
     live = F.col("reserves") > 0
     was_live = F.coalesce(F.col("previous") > 0, F.lit(False))
     inside = W.partitionBy(*STATE, CHUNK).orderBy("seq")
-    turns = (
+    # three branches below read the turns, which are few compared with the changes
+    turns = cut(
         changes.where(live != was_live)
         .withColumn("side", F.when(F.col("token_in") == F.col("token0"), 0).otherwise(1))
         .withColumn("step", F.when(live, 1).otherwise(-1))
         .withColumn("turn", F.row_number().over(inside))
+        .select(*SIDE, CHUNK, "tick", "fee", "seq", "height", "step", "turn")
     )
     # a tick that first turns dead was live when the chunk began
     opening = F.when((F.col("turn") == 1) & (F.col("step") == -1), F.array(F.lit(0), F.lit(1))).otherwise(
@@ -195,7 +202,7 @@ def best_tick_moves(
         steps.unionByName(untouched)
         .repartition(*SIDE, CHUNK)
         .sortWithinPartitions(*SIDE, CHUNK, "seq")
-        .mapInPandas(_lowest_live, "seq long, height long, token0 string, token1 string, side int, best int")
+        .mapInPandas(_lowest_live_pass(), "seq long, height long, token0 string, token1 string, side int, best int")
     )
 
 
@@ -253,32 +260,39 @@ def _lowest_untouched(turns: DataFrame, carry: DataFrame | None) -> DataFrame:
     )
 
 
-def _lowest_live(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ordered pass over sorted turns; memory holds one batch and the live ticks of the current chunk."""
-    group = None
-    counts: dict[int, int] = {}
-    heap: list[int] = []
-    best = None
-    for batch in batches:
-        moved = []
-        columns = [batch[c].tolist() for c in (*SIDE, CHUNK, "seq", "height", "tick", "step")]
-        for token0, token1, side, chunk, seq, height, tick, step in zip(*columns):
-            if (token0, token1, side, chunk) != group:
-                group, counts, heap, best = (token0, token1, side, chunk), {}, [], None
-            count = counts.get(tick, 0) + step
-            counts[tick] = count
-            if count == step == 1:
-                heapq.heappush(heap, tick)
-            while heap and counts[heap[0]] <= 0:
-                heapq.heappop(heap)
-            lowest = heap[0] if heap else None
-            if lowest != best:
-                best = lowest
-                if seq >= 0:
-                    moved.append((seq, height, token0, token1, side, lowest))
-        out = pd.DataFrame(moved, columns=["seq", "height", "token0", "token1", "side", "best"])
-        out["best"] = out["best"].astype("Int32")
-        yield out
+def _lowest_live_pass():
+    """Ordered pass over sorted turns; memory holds one batch and the live ticks of the current chunk.
+
+    It is a nested function so that it travels to the workers by value and they need no copy of this package.
+    """
+    columns = [*SIDE, CHUNK, "seq", "height", "tick", "step"]
+
+    def lowest_live(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = None
+        counts: dict[int, int] = {}
+        heap: list[int] = []
+        best = None
+        for batch in batches:
+            moved = []
+            for token0, token1, side, chunk, seq, height, tick, step in zip(*[batch[c].tolist() for c in columns]):
+                if (token0, token1, side, chunk) != group:
+                    group, counts, heap, best = (token0, token1, side, chunk), {}, [], None
+                count = counts.get(tick, 0) + step
+                counts[tick] = count
+                if count == step == 1:
+                    heapq.heappush(heap, tick)
+                while heap and counts[heap[0]] <= 0:
+                    heapq.heappop(heap)
+                lowest = heap[0] if heap else None
+                if lowest != best:
+                    best = lowest
+                    if seq >= 0:
+                        moved.append((seq, height, token0, token1, side, lowest))
+            out = pd.DataFrame(moved, columns=["seq", "height", "token0", "token1", "side", "best"])
+            out["best"] = out["best"].astype("Int32")
+            yield out
+
+    return lowest_live
 
 
 def latest_tick_state(versions: DataFrame, from_height=0, to_height=None) -> DataFrame:

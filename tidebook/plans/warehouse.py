@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidebook.operators import dimensions, events, state
 from tidebook.operators.ordered import DEFAULT_SPAN
 from tidebook.schemas import MESSAGE_TYPES
+from tidebook.session import stored
 from tidebook.sources.tables import read_table, write_table
 
 
@@ -78,7 +79,8 @@ def build(
     found = decoded_events(log) if loaded is None else loaded
     blocks = events.load_blocks(events.valid_txs(log)) if block is None else block
     updates = events.event_tick_update(found)
-    changes = state.state_changes(updates, span)
+    # the change log feeds three tables
+    changes = stored(state.state_changes(updates, span), "changes")
     return Warehouse(
         block=blocks,
         tx=events.load_txs(log),
