@@ -125,8 +125,8 @@ def _event(kind: str, *attributes: Column) -> Column:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per flat event with its array of raw events."""
-    ev = market_events(spark, sf_dir)
+    """One row per flat event with its array of raw events, already grouped by height for the steps that follow."""
+    ev = market_events(spark, sf_dir).repartition("height")
     kind = F.col("event_type")
     token_in = F.when(F.col("side") == 0, F.col("token0")).otherwise(F.col("token1"))
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))

@@ -454,6 +454,12 @@ ORACLES: dict[str, str] = {
         FROM (SELECT DISTINCT feed FROM rows) f CROSS JOIN block b LEFT JOIN told t ON t.feed = f.feed AND t.height = b.height"""),
 }
 ORACLES |= {
+    "to_response_rows": sql(*BEST, f"""SELECT time_unix, '[' || time_unix || ',[' || open || ',' || high || ',' || low || ',' || close || ']]'
+        AS row FROM (SELECT token0, token1, {bucket('time_unix', 'day')} AS time_unix, arg_min(last, seq) AS open,
+          max(last) AS high, min(last) AS low, arg_max(last, seq) AS close FROM price JOIN block USING (height)
+          WHERE last IS NOT NULL GROUP BY 1, 2, 3)"""),
+    "ibc_asset_match": sql(PARTS, """SELECT 'ibc/' || upper(md5('transfer/' || channel || '/' || name)) AS token, name AS base,
+        channel AS dst_channel, 'coin-' || p_partkey AS price_id FROM parts WHERE p_partkey % 5 <> 4"""),
     "stream_tx_log": sql(RAW, """SELECT height, md5(height || '-' || tx_index) AS txhash, count(*) AS n_events FROM r
         GROUP BY height, tx_index"""),
     "stream_reserves_diff": ORACLES["reserves_diff"],

@@ -48,16 +48,19 @@ def first_seen_pairs(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
     """Pair dictionary: ``id, token0, token1, first_seq``; the first event of a pair fixes its token order."""
     token0, token1 = F.col("attributes")["TokenZero"], F.col("attributes")["TokenOne"]
     both = (F.coalesce(token0, F.lit("")) != "") & (F.coalesce(token1, F.lit("")) != "")
-    seen = (
+    # numbers first, so that the full input is reduced by hash aggregation; names only on what is left
+    oriented = (
         events.where(both)
-        .select("seq", "height", token0.alias("token0"), token1.alias("token1"))
-        .groupBy(F.least("token0", "token1").alias("_low"), F.greatest("token0", "token1").alias("_high"))
-        .agg(
-            F.min_by("token0", "seq").alias("token0"),
-            F.min_by("token1", "seq").alias("token1"),
-            F.min("seq").alias("first_seq"),
-            F.min("height").alias("height"),
-        )
+        .groupBy(token0.alias("token0"), token1.alias("token1"))
+        .agg(F.min("seq").alias("first_seq"), F.min("height").alias("height"))
+    )
+    seen = oriented.groupBy(
+        F.least("token0", "token1").alias("_low"), F.greatest("token0", "token1").alias("_high")
+    ).agg(
+        F.min_by("token0", "first_seq").alias("token0"),
+        F.min_by("token1", "first_seq").alias("token1"),
+        F.min("height").alias("height"),
+        F.min("first_seq").alias("first_seq"),
     )
     return number_by_first_seen(seen, "first_seq", span).select("id", "token0", "token1", "first_seq")
 

@@ -63,7 +63,7 @@ def decode_events(txs: DataFrame) -> DataFrame:
         lambda e, i: F.struct(i.alias("index"), last_attribute(e["attributes"], "action").alias("action")),
     )
     marked = txs.withColumn("_markers", F.filter(marker, lambda m: is_message_action(m["action"])))
-    carried = [c for c in ("height", "tx_index", "txhash", "timestamp", "time_unix") if c in txs.columns]
+    carried = [c for c in ("height", "tx_index", "time_unix") if c in txs.columns]
     exploded = marked.select(*carried, "_markers", F.posexplode("events").alias("event_index", "event"))
     return exploded.select(
         pack_seq(F.col("height"), F.col("tx_index"), F.col("event_index")).alias("seq"),
@@ -133,14 +133,17 @@ def pair_action_flags(events: DataFrame, pairs: DataFrame) -> DataFrame:
         F.least("token0", "token1").alias("_low"),
         F.greatest("token0", "token1").alias("_high"),
     )
-    # the pair is looked up in either token order; events without a pair do not take part in the join
+    # The pair is looked up in either token order. Most events ask for no pair: they get keys that match nothing and
+    # differ from each other, so that they do not meet in one task.
     flagged_actions = F.coalesce(
         is_dex & attributes["action"].isin("PlaceLimitOrder", "DepositLP", "WithdrawLP"), F.lit(False)
     )
     token0, token1 = attributes["TokenZero"], attributes["TokenOne"]
     both = (F.coalesce(token0, F.lit("")) != "") & (F.coalesce(token1, F.lit("")) != "")
-    keyed = events.withColumn("_low", F.when(flagged_actions & both, F.least(token0, token1))).withColumn(
-        "_high", F.when(flagged_actions & both, F.greatest(token0, token1))
+    asks = flagged_actions & both
+    spread = F.concat(F.lit("\x00"), F.col("seq").cast("string"))
+    keyed = events.withColumn("_low", F.when(asks, F.least(token0, token1)).otherwise(spread)).withColumn(
+        "_high", F.when(asks, F.greatest(token0, token1)).otherwise(F.lit(""))
     )
     joined = keyed.join(ids, ["_low", "_high"], "left")
 

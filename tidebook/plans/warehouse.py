@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebook.operators import dimensions, events, state
 from tidebook.operators.ordered import DEFAULT_SPAN
-from tidebook.schemas import MESSAGE_TYPES
+from tidebook.schemas import MESSAGE_TYPES, TABLES
 from tidebook.session import stored
 from tidebook.sources.tables import read_table, write_table
 
@@ -109,7 +109,8 @@ def store(log: DataFrame, folder: str, span: int = DEFAULT_SPAN) -> Warehouse:
     spark = log.sparkSession
     write_table(decoded_events(log), f"{folder}/events", SORT["events"])
     write_table(events.load_blocks(events.valid_txs(log)), f"{folder}/block", SORT["block"])
-    declared = build(log, span, read_table(spark, f"{folder}/events"), read_table(spark, f"{folder}/block"))
+    written = {n: read_table(spark, f"{folder}/{n}", TABLES[n]) for n in ("events", "block")}
+    declared = build(log, span, written["events"], written["block"])
     for name, table in declared.tables().items():
         if name in ("events", "block"):
             continue
@@ -123,11 +124,10 @@ def store(log: DataFrame, folder: str, span: int = DEFAULT_SPAN) -> Warehouse:
 def load(spark: SparkSession, folder: str, from_height: int = 0, to_height: int | None = None) -> Warehouse:
     """Open a stored warehouse."""
     found = {}
-    for f in fields(Warehouse):
-        path = f"{folder}/{f.name}"
-        found[f.name] = (
-            spark.read.parquet(path)
-            if f.name in DICTIONARIES
-            else read_table(spark, path, from_height, to_height)
-        )
+    for name, schema in TABLES.items():
+        path = f"{folder}/{name}"
+        if name in DICTIONARIES:
+            found[name] = spark.read.schema(schema).parquet(path)
+        else:
+            found[name] = read_table(spark, path, schema, from_height, to_height)
     return Warehouse(**found)

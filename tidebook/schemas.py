@@ -102,3 +102,29 @@ DEX_ACTIONS = ("DepositLP", "WithdrawLP", "PlaceLimitOrder", "TickUpdate")
 # A packed sequence number is height, then 12 bits of transaction index, then 12 bits of event index.
 INDEX_BITS = 12
 INDEX_LIMIT = 1 << INDEX_BITS
+
+# Columns of the stored warehouse tables.
+_PLACE = "seq long, height long, tx_index int, event_index int, time_unix long, msg_seq long, msg_type int"
+_PAIR = "token0 string, token1 string"
+_LIQUIDITY = f"{_PLACE}, creator string, receiver string, {_PAIR}, tick int, fee int"
+TABLES = {
+    "block": "height long, time string, time_unix long",
+    "tx": "height long, tx_index int, hash string, code int, data string, info string, gas_wanted string, "
+    "gas_used string, codespace string",
+    "tx_msg_type": "id int, action string",
+    "tx_msg": "seq long, height long, type int",
+    "events": "seq long, height long, tx_index int, time_unix long, event_index int, type string, "
+    "attributes map<string,string>, msg_seq long, msg_type int",
+    "tokens": "id long, token string, first_seq long",
+    "pairs": f"id long, {_PAIR}, first_seq long",
+    "deposit": f"{_LIQUIDITY}, deposited0 decimal(38,0), deposited1 decimal(38,0), shares decimal(38,0)",
+    "withdraw": f"{_LIQUIDITY}, withdrawn0 decimal(38,0), withdrawn1 decimal(38,0), shares_removed decimal(38,0)",
+    "place_order": f"{_PLACE}, creator string, receiver string, {_PAIR}, token_in string, token_out string, "
+    "amount_in decimal(38,0), limit_tick int, order_type string, shares decimal(38,0), tranche string",
+    "tick_update": f"{_PLACE}, {_PAIR}, token_in string, tick int, fee int, reserves decimal(38,0), "
+    "reserves_diff decimal(38,0)",
+    "rejected": f"{_PLACE}, {_PAIR}, token_in string, tick int, fee int, reserves_text string",
+    "tick_state": f"{_PAIR}, token string, tick int, fee int, reserves decimal(38,0), height long, seq long",
+    "price": f"height long, seq long, {_PAIR}, best0 int, best1 int, last int, time_unix long",
+    "reserves": f"height long, seq long, {_PAIR}, reserves0 double, reserves1 double, time_unix long",
+}

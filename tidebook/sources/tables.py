@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Blocks per folder, and blocks whose rows go to one file.
 RANGE_SPAN = 100000
+FILE_SPAN = 2000
 RANGE = "height_range"
 
 
-def write_table(df: DataFrame, path: str, sort: list[str], span: int = RANGE_SPAN, mode: str = "overwrite") -> None:
+def write_table(
+    df: DataFrame,
+    path: str,
+    sort: list[str],
+    span: int = RANGE_SPAN,
+    file_span: int = FILE_SPAN,
+    mode: str = "overwrite",
+) -> None:
     """Write rows in folders of height ranges, sorted inside the files so that min/max statistics prune.
 
-    Rows are range-partitioned by height, so one range is spread over several files when it is large.
+    Rows are spread by runs of blocks, never by pair, so a hot pair does not make a hot file; unlike a range
+    partitioning this needs no sampling pass over an input that may be expensive to compute.
     """
     ranged = df.withColumn(RANGE, F.floor(F.col("height") / span).cast("long"))
+    file = F.floor(F.col("height") / file_span)
     (
-        ranged.repartitionByRange(RANGE, *sort)
+        ranged.repartition(RANGE, file)
         .sortWithinPartitions(RANGE, *sort)
         .write.mode(mode)
         .partitionBy(RANGE)
@@ -24,9 +35,16 @@ def write_table(df: DataFrame, path: str, sort: list[str], span: int = RANGE_SPA
     )
 
 
-def read_table(spark: SparkSession, path: str, from_height: int = 0, to_height: int | None = None, span: int = RANGE_SPAN) -> DataFrame:
+def read_table(
+    spark: SparkSession,
+    path: str,
+    schema: str,
+    from_height: int = 0,
+    to_height: int | None = None,
+    span: int = RANGE_SPAN,
+) -> DataFrame:
     """Read a written table; a height range prunes folders first and then row groups."""
-    df = spark.read.parquet(path)
+    df = spark.read.schema(f"{schema}, {RANGE} long").parquet(path)
     if from_height > 0:
         df = df.where((F.col(RANGE) >= from_height // span) & (F.col("height") > from_height))
     if to_height is not None:
@@ -49,14 +67,16 @@ def browse_catalog(spark: SparkSession, order: dict[str, str], limit: int | None
     return browse_tables({name: spark.table(name) for name in names}, order, limit)
 
 
+def _json(column: str) -> Column:
+    """One value as JSON text: the content of a one-field object."""
+    wrapped = F.to_json(F.struct(F.col(column).alias("v")), {"ignoreNullFields": "false"})
+    return F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
+
+
 def to_response_rows(df: DataFrame, lead: str, values: list[str]) -> DataFrame:
-    """Rows as ``[lead, [values]]`` JSON text."""
-    shown: list[Column] = [F.to_json(F.array(*[F.col(v).cast("double") for v in values]))]
-    if any(kind == "string" for name, kind in df.dtypes if name in values):
-        shown = [F.to_json(F.array(*[F.col(v).cast("string") for v in values]))]
-    return df.select(
-        F.col(lead), F.concat(F.lit("["), F.col(lead).cast("string"), F.lit(","), *shown, F.lit("]")).alias("row")
-    )
+    """Rows as ``[lead,[values]]`` JSON text."""
+    inner = F.concat_ws(",", *[_json(v) for v in values])
+    return df.select(F.col(lead), F.concat(F.lit("["), _json(lead), F.lit(",["), inner, F.lit("]]")).alias("row"))
 
 
 def response_shape(lead: str, values: list[str]) -> list:

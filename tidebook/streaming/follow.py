@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,10 @@ class CompletedBlocks:
         return self._waiting(batch)
 
 
+def _newest(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.max_by(v, "seq").alias(v) for v in values])
+
+
 class TickBook:
     """Reserve changes, tick state, reserve totals, best prices and tick frames, advanced batch by batch.
 
@@ -83,30 +88,39 @@ class TickBook:
             return table.before(batch).join(touched, state.PAIR, "left_semi")
 
         ticks, span = of_touched(self.ticks), self.span
-        diffs = state.reserves_diff(updates, span=span, carry=of_touched(self.marks))
-        diffs = self.outputs["tick_update"].write(batch, diffs)
-        self.marks.write(batch, diffs.groupBy(*state.TICK).agg(F.max_by("reserves", "seq").alias("reserves")))
-
         # the changes of one batch, read by four outputs
         changes = cut(state.state_changes(updates, span, carry=ticks))
-        versions = self.outputs["tick_state"].write(batch, state.versions_of_changes(changes))
-        latest = versions.withColumnRenamed("token", "token_in").groupBy(*state.STATE)
-        self.ticks.write(batch, latest.agg(F.max_by("reserves", "seq").alias("reserves")))
-
-        totals = state.reserves_of_changes(changes, span, of_touched(self.totals), exact=True)
-        totals = self.outputs["reserves"].write(batch, totals)
-        self.totals.write(
-            batch, totals.groupBy(*state.PAIR).agg(*[F.max_by(c, "seq").alias(c) for c in state.TOTALS])
-        )
-
-        price = state.best_price_of_changes(changes, span, ticks, of_touched(self.best))
-        price = self.outputs["price"].write(batch, price)
-        newest = price.groupBy(*state.PAIR).agg(F.max_by("best0", "seq").alias("best0"), F.max_by("best1", "seq").alias("best1"))
-        self.best.write(batch, newest.withColumn("given0", F.lit(True)).withColumn("given1", F.lit(True)))
 
-        carry = ticks.withColumnRenamed("token_in", "token").groupBy(*feeds.TICK)
-        summed = carry.agg(F.sum("reserves").cast("decimal(38,0)").alias("change"))
-        self.outputs["frames"].write(batch, feeds.tick_changes(changes, span, summed))
+        def reserve_changes() -> None:
+            diffs = state.reserves_diff(updates, span=span, carry=of_touched(self.marks))
+            stored = self.outputs["tick_update"].write(batch, diffs)
+            self.marks.write(batch, _newest(stored, state.TICK, ["reserves"]))
+
+        def tick_state() -> None:
+            versions = self.outputs["tick_state"].write(batch, state.versions_of_changes(changes))
+            self.ticks.write(batch, _newest(versions.withColumnRenamed("token", "token_in"), state.STATE, ["reserves"]))
+
+        def reserve_totals() -> None:
+            totals = state.reserves_of_changes(changes, span, of_touched(self.totals), exact=True)
+            stored = self.outputs["reserves"].write(batch, totals)
+            self.totals.write(batch, _newest(stored, state.PAIR, state.TOTALS))
+
+        def best_prices() -> None:
+            price = state.best_price_of_changes(changes, span, ticks, of_touched(self.best))
+            stored = self.outputs["price"].write(batch, price)
+            newest = _newest(stored, state.PAIR, ["best0", "best1"])
+            self.best.write(batch, newest.withColumns({"given0": F.lit(True), "given1": F.lit(True)}))
+
+        def tick_frames() -> None:
+            before = ticks.withColumnRenamed("token_in", "token").groupBy(*feeds.TICK)
+            summed = before.agg(F.sum("reserves").cast("decimal(38,0)").alias("change"))
+            self.outputs["frames"].write(batch, feeds.tick_changes(changes, span, summed))
+
+        # the outputs depend on stored state of earlier batches only, so their jobs run side by side
+        with ThreadPoolExecutor(5) as pool:
+            steps = [pool.submit(s) for s in (reserve_changes, tick_state, reserve_totals, best_prices, tick_frames)]
+            for step in steps:
+                step.result()
 
     def read(self, name: str) -> DataFrame:
         """One output over all batches so far."""
@@ -127,7 +141,7 @@ class ReservesDiff:
         touched = updates.select(*state.PAIR).distinct()
         carry = self.marks.before(batch).join(touched, state.PAIR, "left_semi")
         diffs = self.output.write(batch, state.reserves_diff(updates, span=self.span, carry=carry))
-        self.marks.write(batch, diffs.groupBy(*state.TICK).agg(F.max_by("reserves", "seq").alias("reserves")))
+        self.marks.write(batch, _newest(diffs, state.TICK, ["reserves"]))
 
     def read(self) -> DataFrame:
         return self.output.read()
