@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from checks import fixture as fx
 from tidebook import functions as fn
 from tidebook.operators import assets, changes, dimensions, events, liquidity, paging, ranges, series, state
 from tidebook.plans import queries as plans
-from tidebook.session import new_folder
+from tidebook.session import new_folder, stored
 from tidebook.sources import reference_data, tables, tx_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,18 +26,40 @@ def register(run: Query) -> Query:
 
 
 class Inputs:
-    """Inputs and parameters of the queries for one session and folder."""
+    """Inputs and parameters of the queries for one session and folder.
+
+    Blocks and decoded events are stored once per query, as in a warehouse, because several parts of a plan read them.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        newest = ranges.last_block(self.block()).first()
-        self.max_height = newest["height"]
-        self.last = self.max_height - 1
-        self.half = self.max_height // 2
-        self.now = newest["time_unix"] // 60 * 60
+
+    @cached_property
+    def _block(self) -> DataFrame:
+        return stored(fx.blocks(self.spark, self.dir), "block")
 
     def block(self) -> DataFrame:
-        return fx.blocks(self.spark, self.dir)
+        return self._block
+
+    @cached_property
+    def _newest(self):
+        return ranges.last_block(self.block()).first()
+
+    @property
+    def max_height(self) -> int:
+        return self._newest["height"]
+
+    @property
+    def last(self) -> int:
+        return self.max_height - 1
+
+    @property
+    def half(self) -> int:
+        return self.max_height // 2
+
+    @property
+    def now(self) -> int:
+        return self._newest["time_unix"] // 60 * 60
 
     def updates(self) -> DataFrame:
         return fx.updates(self.spark, self.dir)
@@ -70,11 +92,15 @@ class Inputs:
     def loaded(self) -> DataFrame:
         return events.load_events(self.txs())
 
+    @cached_property
+    def stored_events(self) -> DataFrame:
+        return stored(self.loaded(), "events")
+
     def tokens(self) -> DataFrame:
-        return dimensions.first_seen_tokens(self.loaded())
+        return dimensions.first_seen_tokens(self.stored_events)
 
     def pairs(self) -> DataFrame:
-        return dimensions.first_seen_pairs(self.loaded())
+        return dimensions.first_seen_pairs(self.stored_events)
 
     def unit_prices(self) -> DataFrame:
         listed = fx.assets(self.spark, self.dir).withColumn("token", F.col("base"))
@@ -125,7 +151,7 @@ def load_txs(spark, sf_dir):
 @register
 def load_events(spark, sf_dir):
     inputs = Inputs(spark, sf_dir)
-    return events.events_table(inputs.loaded(), inputs.pairs())
+    return events.events_table(inputs.stored_events, inputs.pairs())
 
 
 @register
@@ -213,7 +239,7 @@ def dex_events(spark, sf_dir):
 
 @register
 def route_by_action(spark, sf_dir):
-    routed = events.route_by_action(events.dex_events(Inputs(spark, sf_dir).loaded()))
+    routed = events.route_by_action(events.dex_events(Inputs(spark, sf_dir).stored_events))
     return union([df.select(F.lit(action).alias("action"), "seq") for action, df in routed.items()])
 
 
@@ -246,7 +272,7 @@ def event_tick_update(spark, sf_dir):
 @register
 def pair_action_flags(spark, sf_dir):
     inputs = Inputs(spark, sf_dir)
-    return events.pair_action_flags(inputs.loaded(), inputs.pairs()).select(
+    return events.pair_action_flags(inputs.stored_events, inputs.pairs()).select(
         "seq", "pair_swap", "pair_deposit", "pair_withdraw"
     )
 
@@ -335,7 +361,7 @@ def remap_tokens(spark, sf_dir):
 @register
 def resolve_keys(spark, sf_dir):
     inputs = Inputs(spark, sf_dir)
-    updates = events.event_tick_update(inputs.loaded())
+    updates = events.event_tick_update(inputs.stored_events)
     return dimensions.resolve_keys(updates, inputs.tokens(), inputs.pairs()).select("seq", "pair_id", "token_id")
 
 

@@ -152,6 +152,35 @@ def aligned_time_bounds(
     return low, high
 
 
+def time_bounds_now(
+    block: DataFrame,
+    from_height: int,
+    to_height: int,
+    resolution: str = "minute",
+    offset: int = 0,
+    align_bounds_to_offset: bool = False,
+) -> tuple[int, int]:
+    """``aligned_time_bounds`` as two numbers, looked up in one pass over the block table."""
+    height, none = F.col("height"), F.lit(0).cast("long")
+    past_end = F.max_by("time_unix", "height") + 1 if from_height > 0 else none
+    first = F.coalesce(F.min_by("time_unix", F.when(height > from_height, height)), past_end, none)
+    last = F.coalesce(F.max_by("time_unix", F.when(height <= to_height, height)), none)
+    found = block.agg(first.alias("first"), last.alias("last"))
+    shift = offset if align_bounds_to_offset else 0
+    row = found.select(time_bucket("first", resolution, shift), "last").first()
+    return row[0], row[1]
+
+
+def heights_now(block: DataFrame, after: int, before: int, last_completed: int) -> tuple[int, int]:
+    """Completed heights at two times as numbers, looked up in one pass over the block table."""
+
+    def at(time: int) -> Column:
+        return F.max(F.when(F.col("time_unix") <= time, F.col("height")))
+
+    row = block.agg(at(after), at(before)).first()
+    return min(row[0] or 0, last_completed), min(row[1] or 0, last_completed)
+
+
 def within_bounds(
     df: DataFrame,
     block: DataFrame,
@@ -161,12 +190,15 @@ def within_bounds(
     offset: Column | int = 0,
     align_bounds_to_offset: bool = False,
 ) -> DataFrame:
-    """Rows inside the aligned time bounds; an empty height range keeps no row."""
-    if isinstance(from_height, int) and isinstance(to_height, int):
+    """Rows inside the aligned time bounds; an empty height range keeps no row.
+
+    Plain numbers are resolved first, so that the scan gets literal bounds; columns stay scalar subqueries.
+    """
+    if all(isinstance(x, int) for x in (from_height, to_height, offset)):
         if not check_range(from_height, to_height):
             return df.where(F.lit(False))
-        holds = F.lit(True)
-    else:
-        holds = as_column(from_height) < as_column(to_height)
+        first, last = time_bounds_now(block, from_height, to_height, resolution, offset, align_bounds_to_offset)
+        return df.where((F.col("time_unix") >= first) & (F.col("time_unix") <= last))
+    holds = as_column(from_height) < as_column(to_height)
     low, high = aligned_time_bounds(block, from_height, to_height, resolution, offset, align_bounds_to_offset)
     return df.where(holds & (F.col("time_unix") >= low.scalar()) & (F.col("time_unix") <= high.scalar()))

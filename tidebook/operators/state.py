@@ -19,7 +19,6 @@ from tidebook.operators.ordered import (
     CHUNK,
     CHUNK_LEVELS,
     DEFAULT_SPAN,
-    chunk_number,
     last_known,
     previous_value,
     running_sum,
@@ -129,7 +128,12 @@ def best_price_series(
 
     ``last`` is the best tick of the side that changed, or of the other side when the changed one is empty.
     """
-    return best_price_of_changes(state_changes(updates, span, carry), span, carry, best)
+    # only the fact that a tick is live matters here, so no amounts are shuffled
+    live = (F.col("reserves") > 0).cast("int").alias("live")
+    known = None if carry is None else carry.select(*STATE, live)
+    rows = previous_value(updates.select(*STATE, "seq", "height", live), STATE, "seq", "live", "was_live", span=span, carry=known)
+    turns = _turns(rows.withColumn("was_live", F.coalesce("was_live", F.lit(0))))
+    return _best_prices(turns, span, carry, best)
 
 
 def best_price_of_changes(
@@ -138,7 +142,16 @@ def best_price_of_changes(
     carry: DataFrame | None = None,
     best: DataFrame | None = None,
 ) -> DataFrame:
-    moves = cut(best_tick_moves(changes, span, carry))
+    """The same from a stored change log."""
+    was_live = F.coalesce(F.col("previous") > 0, F.lit(False)).cast("int")
+    rows = changes.select(
+        *STATE, CHUNK, "seq", "height", (F.col("reserves") > 0).cast("int").alias("live"), was_live.alias("was_live")
+    )
+    return _best_prices(_turns(rows), span, carry, best)
+
+
+def _best_prices(turns: DataFrame, span: int, carry: DataFrame | None, best: DataFrame | None) -> DataFrame:
+    moves = cut(best_tick_moves(turns, carry))
     first = F.col("side") == 0
     sided = moves.select(
         "seq",
@@ -158,26 +171,25 @@ def best_price_of_changes(
     )
 
 
-def best_tick_moves(
-    changes: DataFrame, span: int = DEFAULT_SPAN, carry: DataFrame | None = None
-) -> DataFrame:
-    """Rows where the lowest live tick of a (pair, side) moves, with the new lowest tick (null: side is empty).
-
-    The minimum is not invertible, so it needs an ordered pass. Only rows where a (tick, fee) turns live or dead
-    matter. The pass runs per (pair, side, chunk); a chunk starts from two small summaries: the ticks it touches that
-    were live before, and the lowest live tick among all those it leaves alone.
-    """
-    live = F.col("reserves") > 0
-    was_live = F.coalesce(F.col("previous") > 0, F.lit(False))
+def _turns(rows: DataFrame) -> DataFrame:
+    """Rows where a (tick, fee) turns live or dead, numbered inside their chunk; three later branches read them."""
     inside = W.partitionBy(*STATE, CHUNK).orderBy("seq")
-    # three branches below read the turns, which are few compared with the changes
-    turns = cut(
-        changes.where(live != was_live)
+    return cut(
+        rows.where(F.col("live") != F.col("was_live"))
         .withColumn("side", F.when(F.col("token_in") == F.col("token0"), 0).otherwise(1))
-        .withColumn("step", F.when(live, 1).otherwise(-1))
+        .withColumn("step", F.col("live") - F.col("was_live"))
         .withColumn("turn", F.row_number().over(inside))
         .select(*SIDE, CHUNK, "tick", "fee", "seq", "height", "step", "turn")
     )
+
+
+def best_tick_moves(turns: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+    """Rows where the lowest live tick of a (pair, side) moves, with the new lowest tick (null: side is empty).
+
+    The minimum is not invertible, so it needs an ordered pass over the turns. It runs per (pair, side, chunk); a
+    chunk starts from two small summaries: the ticks it touches that were live before, and the lowest live tick among
+    all those it leaves alone.
+    """
     # a tick that first turns dead was live when the chunk began
     opening = F.when((F.col("turn") == 1) & (F.col("step") == -1), F.array(F.lit(0), F.lit(1))).otherwise(
         F.array(F.lit(1))

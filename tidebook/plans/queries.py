@@ -84,30 +84,34 @@ def volume_series(
 
 
 def _window(block: DataFrame, now: Column | int, last_completed: Column | int, length: int):
-    return ranges.resolve_heights(block, last_completed, after=as_column(now) - length, before=now)
+    """Heights of the last ``length`` seconds, and the offset of the day buckets that end now."""
+    if isinstance(now, int) and isinstance(last_completed, int):
+        return *ranges.heights_now(block, now - length, now, last_completed), now % DAY
+    low, high = ranges.resolve_heights(block, last_completed, after=as_column(now) - length, before=now)
+    return low, high, day_offset(now)
 
 
 def stats_price_24h(price, block, now, last_completed, token_a=None, token_b=None) -> DataFrame:
     """Open, high, low and close of the last 24 hours and of the 24 hours before."""
-    low, high = _window(block, now, last_completed, 48 * HOUR)
-    return price_series(price, block, "day", low, high, day_offset(now), token_a, token_b)
+    low, high, offset = _window(block, now, last_completed, 48 * HOUR)
+    return price_series(price, block, "day", low, high, offset, token_a, token_b)
 
 
 def stats_volume_24h(swaps, block, now, last_completed, token_a=None, token_b=None) -> DataFrame:
     """Swapped amounts and fees in the same windows."""
-    low, high = _window(block, now, last_completed, 48 * HOUR)
-    return volume_series(swaps, block, "day", low, high, day_offset(now), token_a, token_b)
+    low, high, offset = _window(block, now, last_completed, 48 * HOUR)
+    return volume_series(swaps, block, "day", low, high, offset, token_a, token_b)
 
 
 def stats_tvl_24h(reserves, block, now, last_completed, token_a=None, token_b=None) -> DataFrame:
     """Last reserves in the same windows."""
-    low, high = _window(block, now, last_completed, 48 * HOUR)
-    return tvl_series(reserves, block, "day", low, high, day_offset(now), token_a, token_b)
+    low, high, offset = _window(block, now, last_completed, 48 * HOUR)
+    return tvl_series(reserves, block, "day", low, high, offset, token_a, token_b)
 
 
 def volatility_closes(price, block, now, last_completed) -> DataFrame:
     """Closes of the last 21 whole days of every pair."""
-    low, high = _window(block, now, last_completed, 22 * DAY)
+    low, high, _ = _window(block, now, last_completed, 22 * DAY)
     return series.daily_close_asof(price_series(price, block, "day", low, high), now)
 
 
