@@ -32,8 +32,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # as many partitions as cores already; merging small ones would leave cores idle
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
     )
     for key, value in {**RUNTIME_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
