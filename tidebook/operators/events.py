@@ -166,7 +166,8 @@ def route_by_action(dex: DataFrame) -> dict[str, DataFrame]:
 
 
 def _keys(events: DataFrame) -> list[str]:
-    return [c for c in ("seq", "height", "tx_index", "event_index", "time_unix", "msg_seq", "msg_type") if c in events.columns]
+    known = ("seq", "height", "tx_index", "event_index", "time_unix", "msg_seq", "msg_type")
+    return [c for c in known if c in events.columns]
 
 
 def _whole(key: str) -> Column:

@@ -17,7 +17,7 @@ from tidebook.session import cut
 
 CHUNK = "chunk"
 DEFAULT_SPAN = 256
-# Chunk numbers stay below this power of two, see ``chunk_number``.
+# Chunk numbers stay below this power of two.
 CHUNK_LEVELS = 32
 _HEAD = "_head"
 
@@ -30,7 +30,7 @@ def with_chunk(df: DataFrame, position: str = "height", span: int = DEFAULT_SPAN
     return df.withColumn(CHUNK, chunk_number(F.col(position), span))
 
 
-def _chained(tails: DataFrame, keys: list[str], carry: DataFrame | None) -> DataFrame:
+def _chained(tails: DataFrame, carry: DataFrame | None) -> DataFrame:
     """Chunk summaries, with an optional summary of everything before the first chunk."""
     if carry is None:
         return tails
@@ -69,7 +69,7 @@ def previous_value(
     """
     rows = with_chunk(df, position, span)
     tails = rows.groupBy(*keys, CHUNK).agg(F.max_by(value, order).alias(value))
-    chained = _chained(tails, keys, carry)
+    chained = _chained(tails, carry)
     heads = chained.select(
         *keys, CHUNK, F.lag(value).over(W.partitionBy(*keys).orderBy(CHUNK)).alias(value)
     ).where(F.col(value).isNotNull())
@@ -101,7 +101,7 @@ def last_known(
         summary.append(F.max_by(value, F.when(F.col(given), F.col(order))).alias(value))
         summary.append(F.max(given).alias(given))
     tails = rows.groupBy(*keys, CHUNK).agg(*summary)
-    chained = _chained(tails, keys, carry)
+    chained = _chained(tails, carry)
     given_value = {v: F.last(F.when(F.col(g), F.struct(v)), ignorenulls=True) for v, g in columns.items()}
     before = _before(keys)
     heads = chained.select(*keys, CHUNK, *[w.over(before).alias(f"_{v}") for v, w in given_value.items()]).select(
@@ -138,10 +138,10 @@ def running_sum(
     sources = list(dict.fromkeys(sums.values()))
     kinds = {c: rows.schema[c].dataType for c in sources}
     tails = rows.groupBy(*keys, CHUNK).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in sources])
-    chained = _chained(tails, keys, carry)
+    chained = _chained(tails, carry)
     heads = chained.select(
         *keys, CHUNK, *[F.sum(c).over(_before(keys)).cast(kinds[c]).alias(c) for c in sources]
-    ).where(F.coalesce(*sources).isNotNull() if sources else F.lit(True))
+    ).where(F.coalesce(*sources).isNotNull())
     inside = _inside(keys, order).rowsBetween(W.unboundedPreceding, W.currentRow)
     summed = _headed(rows, heads).withColumns(
         {f"_{out}": F.sum(source).over(inside).cast(kinds[source]) for out, source in sums.items()}

@@ -23,6 +23,7 @@ from tidebook.operators.ordered import (
     previous_value,
     running_sum,
 )
+from tidebook.operators.ranges import block_range
 from tidebook.schemas import AMOUNT
 from tidebook.session import cut, stored
 
@@ -131,7 +132,8 @@ def best_price_series(
     # only the fact that a tick is live matters here, so no amounts are shuffled
     live = (F.col("reserves") > 0).cast("int").alias("live")
     known = None if carry is None else carry.select(*STATE, live)
-    rows = previous_value(updates.select(*STATE, "seq", "height", live), STATE, "seq", "live", "was_live", span=span, carry=known)
+    flags = updates.select(*STATE, "seq", "height", live)
+    rows = previous_value(flags, STATE, "seq", "live", "was_live", span=span, carry=known)
     turns = _turns(rows.withColumn("was_live", F.coalesce("was_live", F.lit(0))))
     return _best_prices(turns, span, carry, best)
 
@@ -309,8 +311,6 @@ def _lowest_live_pass():
 
 def latest_tick_state(versions: DataFrame, from_height=0, to_height=None) -> DataFrame:
     """Per (pair, token, tick, fee) the version with the greatest height in ``(from, to]``."""
-    from tidebook.operators.ranges import block_range
-
     keys = [*PAIR, "token", "tick", "fee"]
     return (
         block_range(versions, from_height, to_height)
