@@ -4,6 +4,7 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import brute
 from tidebook.operators import state
@@ -54,3 +55,16 @@ def test_series_scan_gets_literal_bounds_and_few_columns(spark, tmp_path):
     ranged = tables.read_table(spark, str(tmp_path / "price"), TABLES["price"], 5, 20)
     assert "PartitionFilters: [isnotnull(height_range" in plan(ranged)
     assert "PushedFilters: [IsNotNull(height)" in plan(ranged)
+
+
+def test_one_key_is_spread_over_tasks(spark):
+    log = [(i, i, "A", "B", "A", 1, 1, i % 5) for i in range(400)]
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        changes = state.state_changes(brute.frame(spark, log), span=10)
+        sizes = [r["count"] for r in changes.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    finally:
+        spark.conf.set(setting, before)
+    assert len(sizes) == 4 and max(sizes) < 250
