@@ -19,6 +19,8 @@ ROWS = 8
 BANDS = 2 * PERMUTATIONS // ROWS
 SEED = 20_11
 CHUNK = 512
+#: Classes on each side of a block of exact comparisons.
+BLOCK = 128
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -114,14 +116,80 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.mapInArrow(run, schema)
 
 
+def block_links(near: DataFrame, groups: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between members of one neighbourhood that are in different components so far.
+
+    ``near(low, id)`` names the neighbourhoods: all classes that share a bucket with the class ``low``, so two classes
+    of one bucket are in one neighbourhood. Members outside the component of ``low`` are compared with all members, in
+    blocks of about ``BLOCK`` by ``BLOCK`` that are dealt to tasks one by one; pairs never become rows, only links do.
+    """
+    named = near.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    main = named.where("id = low").select("low", F.col("component").alias("main"))
+    sided = keep(named.join(main, "low").withColumn("outside", F.col("component") != F.col("main")), "neighbourhoods")
+    sizes = sided.groupBy("low").agg(F.count("*").alias("all"), F.count_if("outside").alias("out")).where("out > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    open_ones = sided.join(sizes.select("low", blocks("out").alias("rows"), blocks("all").alias("columns")), "low")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    with_text = open_ones.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    first = with_text.where("outside").select(
+        "low", place("rows").alias("i"), every("columns").alias("j"), F.lit(0).alias("side"), "id", "component", "text"
+    )
+    second = with_text.select(
+        "low", every("rows").alias("i"), place("columns").alias("j"), F.lit(1).alias("side"), "id", "component", "text"
+    )
+    dealt = first.unionByName(second).repartition("low", "i", "j").sortWithinPartitions("low", "i", "j", "side")
+    schema = T._parse_datatype_string("a long, b long")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True))
+            found = []
+            for (*here, side, doc, component), text in zip(names, batch.column(6), strict=True):
+                if here != key:
+                    found += _links_of_block(rows, percent)
+                    key, rows = here, []
+                rows.append((side, doc, component, shingle_set(text.as_py(), words)))
+            yield pa.RecordBatch.from_pylist(found, schema=arrow)
+        yield pa.RecordBatch.from_pylist(_links_of_block(rows, percent), schema=arrow)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _links_of_block(rows: list[tuple], percent: int) -> list[dict]:
+    """One link for every two components that have one between the two sides; rows are (side, id, component, set)."""
+    first = [r for r in rows if r[0] == 0]
+    second = [r for r in rows if r[0] == 1]
+    if not first or not second:
+        return []
+    sizes = np.array([len(r[3]) for r in first])
+    owner = np.repeat(np.arange(len(first)), sizes)
+    merged = np.concatenate([r[3] for r in first])
+    order = np.argsort(merged, kind="stable")
+    merged, owner = merged[order], owner[order]
+    parts = np.array([r[2] for r in first])
+    found = {}
+    for _, b, component, shingles in second:
+        low, high = np.searchsorted(merged, shingles, "left"), np.searchsorted(merged, shingles, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(first))
+        linked = (100 * common >= percent * (sizes + len(shingles) - common)) & (parts != component)
+        for k in np.flatnonzero(linked):
+            found.setdefault((first[k][2], component), {"a": first[k][1], "b": b})
+    return list(found.values())
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: groups of documents whose shingle sets have similarity >= percent.
 
     Texts with equal sets are one class, which its smallest ``doc_id`` stands for. Classes meet in the buckets of
     their bands. Every class is first compared with one smallest and one largest member of its buckets, those that it
-    shares most bands with, which joins groups of copies by stars; then members of a bucket that are not yet in one
-    component are compared with each other. So no link between candidates is left out, and a group of a million copies
-    costs a few million comparisons. Full sets decide each link.
+    shares most bands with, which joins groups of copies by stars: a group of a million copies costs two million
+    comparisons. Then members of a bucket that are not yet in one component are compared with each other in blocks, so
+    that no link between candidates is left out. Full sets decide each link.
 
     A null, empty or blank text has no shingles and links with nothing. Rows that repeat a ``doc_id`` and its text are
     the same document and give a row each. A null ``doc_id`` has no component and is kept. An empty table gives none.
@@ -147,19 +215,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = keep(confirmed(pairs, texts, words, percent), "star-links")
     groups = components(links)
 
-    named = shared.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = keep(named.select("band", "id", "low", "component"), "named-bands")
-    split = named.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-    of_low = named.where("id = low").select("band", F.col("component").alias("main"))
-    apart = split.join(of_low, "band").select("band", "main")
-    others = named.join(apart, "band").where("component <> main")
-    left = others.select("band", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = named.join(split, "band", "left_semi").select("band", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("low"))
-    cross = left.join(right, "band").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = keep(cross.distinct(), "cross-pairs")
-    if not cross.isEmpty():
-        more = confirmed(cross, texts, words, percent)
-        groups = components(keep(links.unionByName(more), "all-links"))
+    more = keep(block_links(shared.select("low", "id").distinct(), groups, texts, words, percent), "block-links")
+    if not more.isEmpty():
+        groups = components(links.unionByName(more))
 
     named_docs = rows.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     found = named_docs.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
