@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import licences, line_dedup, minhash, packing, personal_data, quality_rules, toxicity, vector_dedup
+from tidebook.llm import licences, line_dedup, minhash, packing, personal_data, quality_rules, subwords, toxicity, vector_dedup
 from tidebook.llm.common import table
 
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.encoded_and_checked(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
@@ -50,6 +55,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_pack": op2_pack,
     "op3_license": op3_license,
     "op4_toxicity": op4_toxicity,
