@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import licences, line_dedup, minhash, packing, personal_data, quality_rules, subwords, toxicity, vector_dedup
+from tidebook.llm import importance, licences, line_dedup, minhash, packing, personal_data, quality_rules, subwords, toxicity, vector_dedup
 from tidebook.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -54,6 +54,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.selected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pack": op2_pack,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_minhash": op8_minhash,
     "op9_pii": op9_pii,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES = {
