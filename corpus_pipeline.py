@@ -1,28 +1,56 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, removal of personal data, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicates, personal data, packing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidebook.llm import line_dedup, packing
+from tidebook.llm import line_dedup, minhash, packing, personal_data, quality_rules
 from tidebook.llm.common import keep, table
 from tidebook.llm.queries import BYTE_VOCABULARY
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the learned ones reject."""
+    return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels"))
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    """Documents without the lines that many sites share; one that consists of such lines only goes."""
+    cleaned = line_dedup.dedup_lines(docs)
+    left = (F.col("n_removed") == 0) | F.col("text").isNull() | F.col("text").rlike(r"[^ \t-\r]")
+    return cleaned.where(left).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose sets of five-word runs are similar by 0.8 or more."""
+    gone = minhash.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked."""
+    return personal_data.masked(docs, personal_data.fit(docs)).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the sequences."""
     return packing.pack_digest(docs, BYTE_VOCABULARY)
 
 
-STAGES = [("line dedup", lines), ("packing", packed)]
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near-duplicates", near_duplicates),
+    ("personal data", personal),
+    ("packing", packed),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
