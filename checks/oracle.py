@@ -88,7 +88,7 @@ raw AS (SELECT *, row_number() OVER (PARTITION BY height, tx_index ORDER BY even
     UNION ALL
     SELECT *, 2, 'TickUpdate', 'TickUpdate' FROM ev)),
 r AS (SELECT *, CASE WHEN side = 0 THEN token0 ELSE token1 END AS token_in,
-    height * 16777216 + tx_index * 4096 + idx AS rseq FROM raw WHERE code = 0),
+    height * 4294967296 + row_number() OVER (PARTITION BY height ORDER BY tx_index, idx) - 1 AS rseq FROM raw WHERE code = 0),
 m AS (SELECT *, last_value(CASE WHEN sub = 0 THEN rseq END IGNORE NULLS) OVER w AS msg_seq,
     nullif(last_value(CASE WHEN sub = 0 THEN marker END IGNORE NULLS) OVER w, 0) AS raw_msg_type
   FROM r WINDOW w AS (PARTITION BY height, tx_index ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
@@ -421,7 +421,7 @@ ORACLES: dict[str, str] = {
     "tick_to_price": sql("""SELECT seq, round(pow(1.0001, tick * 100), 12) AS price,
         round(pow(1.0001, -tick * 100), 12) AS inverted_price FROM v"""),
     "paginate": sql("SELECT seq, tick FROM v ORDER BY seq DESC LIMIT 25 OFFSET 10"),
-    "paginate_deep": "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY 1, 2 LIMIT 25 OFFSET 120000",
+    "paginate_deep": "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY 1, 2 LIMIT 25 OFFSET 5500",
     "iso_to_unix": sql("SELECT height, time_unix FROM block"),
     "floor_to_minute": sql(TIMES, "SELECT seq, t // 60 * 60 AS minute, t // 86400 * 86400 AS day FROM times"),
     "big_int_math": sql("""SELECT seq, CAST(d AS VARCHAR) AS difference, CAST(CAST(d AS VARCHAR) AS DOUBLE) AS as_double FROM (

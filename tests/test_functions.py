@@ -147,7 +147,13 @@ def test_attributes(spark):
 
 
 def test_pack_seq(spark):
-    assert one(spark, fn.pack_seq(F.lit(2), F.lit(3), F.lit(4))) == 2 * 2**24 + 3 * 2**12 + 4
-    assert one(spark, fn.pack_seq(F.lit(2), F.lit(3), F.lit(None).cast("int"))) is None
+    assert one(spark, fn.pack_seq(F.lit(2), F.lit(5000))) == 2 * 2**32 + 5000
+    assert one(spark, fn.pack_seq(F.lit(2), F.lit(None).cast("int"))) is None
     with pytest.raises(Exception, match="packed range"):
-        one(spark, fn.pack_seq(F.lit(2), F.lit(3), F.lit(4096)))
+        one(spark, fn.pack_seq(F.lit(2), F.lit(2**32)))
+    with pytest.raises(Exception, match="packed range"):
+        one(spark, fn.pack_seq(F.lit(2**31), F.lit(0)))
+
+
+def test_rounding_keeps_missing_values(spark):
+    assert one(spark, fn.round_significant(F.lit(None).cast("double"), 3)) is None

@@ -28,11 +28,19 @@ def test_pages_cover_the_result(numbers):
     assert paging.paginate(numbers, order, 1000, 10).count() == 0
 
 
-def test_deep_page_equals_top_k_page(numbers, monkeypatch):
-    order = [F.desc("n")]
-    shallow = sorted(r["n"] for r in paging.paginate(numbers, order, 40, 20).collect())
-    monkeypatch.setattr(paging, "TOP_K_ROWS", 0)
-    assert sorted(r["n"] for r in paging.paginate(numbers, order, 40, 20).collect()) == shallow
+def test_pages_of_an_order_with_ties_cover_the_result(numbers):
+    order = [F.asc("k")]
+    seen = [r["n"] for offset in range(0, 250, 50) for r in paging.paginate(numbers.repartition(offset // 50 + 1), order, offset, 50).collect()]
+    assert sorted(seen) == sorted(r["n"] for r in numbers.collect())
+
+
+def test_feed_pages(spark, numbers):
+    found = {r["n"]: r for r in paging.feed_pages(numbers, [F.asc("n")], 9).collect()}
+    assert (found[1]["label"], found[100]["page"], found[101]["label"], found[250]["label"]) == ("9:1-100/250", 0, "9:101-200/250", "9:201-250/250")
+    assert {r["label"] for r in paging.feed_pages(numbers, [F.asc("n")], 9, from_height=4).collect()} == {"9"}
+    sides = spark.createDataFrame([(int(i >= 30), i) for i in range(180)], "side int, n int")
+    found = {r["n"]: r for r in paging.feed_pages(sides, [F.asc("n")], 9, side="side").collect()}
+    assert (found[0]["label"], found[29]["page"], found[30]["label"], found[130]["label"]) == ("9:1-100/150", 0, "9:1-100/150", "9:101-150/150")
 
 
 def test_page_labels(numbers):

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
-from tidebook.operators import state
+from tidebook.operators import events, ranges, state
 from tidebook.plans import queries as plans
-from tidebook.schemas import TABLES
+from tidebook.schemas import TABLES, TX_LOG
 from tidebook.sources import tables
 
 
@@ -57,6 +57,41 @@ def test_series_scan_gets_literal_bounds_and_few_columns(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(height)" in plan(ranged)
 
 
+def test_ranges_prune_the_folders_of_stored_tables(spark, tmp_path):
+    rows = [(h, h, "A", "B", 1, 2, 1, h * 60) for h in range(1, 400)]
+    price = spark.createDataFrame(
+        rows, "height long, seq long, token0 string, token1 string, best0 int, best1 int, last int, time_unix long"
+    )
+    tables.write_table(price, str(tmp_path / "price"), ["token0", "token1", "seq"], span=100)
+    stored = tables.read_table(spark, str(tmp_path / "price"), TABLES["price"], span=100)
+    block = price.select("height", "time_unix")
+    asked = [
+        plans.price_series(stored, block, "hour", 240, 290),
+        plans.stats_price_24h(stored, block, 399 * 60, 398),
+        ranges.block_range(stored, 210, 260),
+        ranges.time_range(stored, block, 398, after=220 * 60, before=280 * 60),
+    ]
+    expected = [
+        plans.price_series(price, block, "hour", 240, 290),
+        plans.stats_price_24h(price, block, 399 * 60, 398),
+        ranges.block_range(price, 210, 260),
+        ranges.time_range(price, block, 398, after=220 * 60, before=280 * 60),
+    ]
+    for df, right in zip(asked, expected, strict=True):
+        filters = [line for line in plan(df).splitlines() if line.startswith("PartitionFilters")]
+        assert any("height_range" in line and "ubquery" in line or ">= " in line for line in filters)
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, right.select(df.columns).collect()))
+
+
+def test_decoding_shuffles_no_payload(spark, tmp_path):
+    spark.createDataFrame([], TX_LOG).write.parquet(str(tmp_path / "log"))
+    log = spark.read.schema(TX_LOG).parquet(str(tmp_path / "log"))
+    text = plan(events.event_tick_update(events.load_events(events.tx_index_in_block(events.valid_txs(log)))))
+    exchanged = [part for part in text.split("\n\n") if "Exchange\n" in part]
+    assert exchanged and not any("events#" in part.split("Input")[1] for part in exchanged)
+    assert "SortAggregate" not in plan(events.load_blocks(log))
+
+
 def test_one_key_is_spread_over_tasks(spark):
     log = [(i, i, "A", "B", "A", 1, 1, i % 5) for i in range(400)]
     setting = "spark.sql.adaptive.coalescePartitions.enabled"

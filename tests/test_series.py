@@ -61,6 +61,16 @@ def test_range_keeps_whole_buckets(price, block):
     assert (row["time_unix"], row["open"]) == (0, 5)
 
 
+def test_large_swaps_do_not_leave_the_range(spark):
+    swaps = spark.createDataFrame(
+        [(i, "A", "B", "A", 0, Decimal(9 * 10**36), 100) for i in range(3)] + [(9, "A", "B", "B", 0, Decimal(6 * 10**37), 100)] * 2,
+        "seq long, token0 string, token1 string, token_in string, time_unix long, reserves_diff decimal(38,0), fee int",
+    )
+    row = series.swap_volume_timeseries(swaps, "day").first()
+    assert row["amount0"] == pytest.approx(2.7e37) and row["amount1"] == pytest.approx(1.2e38)
+    assert row["fee0"] == pytest.approx(2.7e35) and row["fee1"] == pytest.approx(1.2e36)
+
+
 def test_swap_volume(spark):
     rows = [
         ("A", 10, 5), ("A", -4, 5), ("B", 100, 20), ("B", 7, None),

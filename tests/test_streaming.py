@@ -1,5 +1,6 @@
 """A followed log gives the rows of a full run."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
@@ -49,6 +50,23 @@ def test_followed_book_equals_full_run(spark, tmp_path):
     assert rows_of(book.read("frames"), columns) == rows_of(changes.tick_changes(all_changes), columns)
 
 
+def test_late_blocks_end_the_stream_instead_of_changing_state(spark, tmp_path):
+    updates = brute.frame(spark, brute.random_updates(60, seed=3))
+    gate = CompletedBlocks(spark, str(tmp_path / "gate"))
+    heights = sorted(r[0] for r in updates.select("height").distinct().collect())
+    early, late, rest = heights[: len(heights) // 2], heights[2], heights[len(heights) // 2 :]
+    first = updates.where(F.col("height").isin(early) & (F.col("height") != late))
+    assert gate.complete(first, 0).count() > 0
+    assert gate.last_handed_on(1) == early[-1] - 1
+    with pytest.raises(ValueError, match=f"block {late} arrived after"):
+        gate.complete(updates.where((F.col("height") == late) | F.col("height").isin(rest)), 1)
+    # rows of the open block may still come, and a batch can run again
+    for _ in range(2):
+        assert gate.complete(updates.where(F.col("height") >= early[-1]), 1).agg(F.min("height")).first()[0] == early[-1]
+    gate.complete(updates.limit(0), 2)
+    assert gate.last_handed_on(3) == heights[-1] - 1
+
+
 def test_state_table_compacts(spark, tmp_path):
     table = StateTable(spark, str(tmp_path / "state"), ["k"], "k string, v long", compact_every=2)
     for batch, rows in enumerate([[("a", 1)], [("b", 2)], [("a", 3)], [("c", 4)], [("b", 5)], []]):

@@ -13,8 +13,9 @@ def as_column(value: Column | int | float | str | None) -> Column:
 
 
 def round_significant(value: Column, digits: int) -> Column:
-    """Round half up to a number of significant digits."""
-    return F.format_string(f"%.{digits - 1}e", value.cast("double")).cast("double")
+    """Round half up to a number of significant digits; a missing value stays missing."""
+    number = value.cast("double")
+    return F.when(number.isNotNull(), F.format_string(f"%.{digits - 1}e", number).cast("double"))
 
 
 def tick_to_price(tick: Column, inverted: Column | bool = False) -> Column:

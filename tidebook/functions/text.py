@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidebook.schemas import INDEX_BITS, INDEX_LIMIT, MESSAGE_TYPES
+from tidebook.schemas import MESSAGE_TYPES, PLACE_BITS
 
 # Fixed value: denomination of a bridged token.
 BRIDGED_DENOM = r"^ibc/([0-9A-Fa-f]+)$"
@@ -72,10 +72,13 @@ def denom_exponent(denom_units: Column, denom: Column) -> Column:
     return F.get(matching, F.lit(0))["exponent"]
 
 
-def pack_seq(height: Column, tx_index: Column, event_index: Column) -> Column:
-    """One sortable number for the place of an event. Indexes past the limit fail instead of colliding."""
-    within = (tx_index < INDEX_LIMIT) & (event_index < INDEX_LIMIT)
-    packed = F.shiftleft(height.cast("long"), 2 * INDEX_BITS) + F.shiftleft(tx_index.cast("long"), INDEX_BITS)
-    exceeded = F.raise_error(F.lit("transaction or event index exceeds the packed range")).cast("long")
-    # a missing index gives no number
-    return F.when(within, packed + event_index.cast("long")).when(~within, exceeded)
+def pack_seq(height: Column, place: Column) -> Column:
+    """One sortable number for an event: its height and its place among the events of the block, from 0.
+
+    A height of 31 bits and four billion events a block fit; anything beyond fails instead of colliding.
+    """
+    within = (height < F.lit(1 << 31)) & (place < F.lit(1 << PLACE_BITS))
+    packed = F.shiftleft(height.cast("long"), PLACE_BITS) + place.cast("long")
+    exceeded = F.raise_error(F.lit("height or event count of a block exceeds the packed range")).cast("long")
+    # a missing place gives no number
+    return F.when(within, packed).when(~within, exceeded)

@@ -1,8 +1,8 @@
 """From the transaction log to typed events.
 
-Decoding is a narrow plan: the events of a transaction sit in one record, so the message an event belongs to, its
-index and its sequence number are found inside the record, without a shuffle. Only the index of a transaction in
-its block needs one, by height.
+The events of a transaction sit in one record, so the message an event belongs to and its index are found inside the
+record. Its place in the block needs the number of events of the transactions before it: that is counted on heights,
+positions and sizes alone and joined to the decoded events, so the nested payload is never shuffled.
 """
 
 from __future__ import annotations
@@ -56,32 +56,78 @@ def load_txs(log: DataFrame) -> DataFrame:
     )
 
 
+def tx_places(txs: DataFrame) -> DataFrame:
+    """``height, position, tx_index, events_before``: index in the block, and events of the transactions before it."""
+    sized = txs.select("height", "position", F.coalesce(F.size("events"), F.lit(0)).cast("long").alias("_size"))
+    in_block = W.partitionBy("height").orderBy("position")
+    before = in_block.rowsBetween(W.unboundedPreceding, -1)
+    return sized.select(
+        "height",
+        "position",
+        (F.row_number().over(in_block) - 1).alias("tx_index"),
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("events_before"),
+    )
+
+
+def _by_message(events: Column) -> Column:
+    """The events of a transaction cut where messages open: index of the first event, action, and the events.
+
+    The first part holds what comes before any message and may be empty. Every event is in one part, so the work grows
+    with the events, not with events times messages.
+    """
+    marks = F.transform(
+        events, lambda e, i: F.struct(i.alias("start"), last_attribute(e["attributes"], "action").alias("action"))
+    )
+    opened = F.filter(marks, lambda m: is_message_action(m["action"]))
+    nobody = F.struct(F.lit(0).alias("start"), F.lit(None).cast("string").alias("action"))
+    starts = F.concat(F.array(nobody), opened)
+
+    def part(mark: Column, k: Column) -> Column:
+        end = F.when(k + 1 < F.size(starts), F.get(starts, k + 1)["start"]).otherwise(F.size(events))
+        return F.struct(
+            mark["start"].alias("start"), mark["action"].alias("action"),
+            F.slice(events, mark["start"] + 1, end - mark["start"]).alias("events"),
+        )
+
+    return F.transform(starts, part)
+
+
 def decode_events(txs: DataFrame) -> DataFrame:
     """One row per event with its attribute map and the message that was open before or at it."""
-    marker = F.transform(
-        F.col("events"),
-        lambda e, i: F.struct(i.alias("index"), last_attribute(e["attributes"], "action").alias("action")),
+    timed = [c for c in ("time_unix",) if c in txs.columns]
+    parts = txs.where(F.size("events") > 0).select("height", "position", *timed, F.explode(_by_message(F.col("events"))).alias("part"))
+    exploded = parts.select(
+        "height",
+        "position",
+        *timed,
+        F.when(F.col("part.action").isNotNull(), F.struct("part.start", "part.action")).alias("_opened"),
+        F.col("part.start").alias("_start"),
+        F.posexplode("part.events").alias("_place", "event"),
     )
-    marked = txs.withColumn("_markers", F.filter(marker, lambda m: is_message_action(m["action"])))
-    carried = [c for c in ("height", "tx_index", "time_unix") if c in txs.columns]
-    exploded = marked.select(*carried, "_markers", F.posexplode("events").alias("event_index", "event"))
-    return exploded.select(
-        pack_seq(F.col("height"), F.col("tx_index"), F.col("event_index")).alias("seq"),
-        *carried,
-        "event_index",
+    decoded = exploded.select(
+        "height",
+        "position",
+        *timed,
+        (F.col("_start") + F.col("_place")).alias("event_index"),
         F.col("event.type").alias("type"),
         attributes_map(F.col("event.attributes")).alias("attributes"),
-        F.get(
-            F.reverse(F.filter("_markers", lambda m: m["index"] <= F.col("event_index"))), F.lit(0)
-        ).alias("_message"),
+        "_opened",
+    )
+    return decoded.join(tx_places(txs), ["height", "position"]).select(
+        pack_seq(F.col("height"), F.col("events_before") + F.col("event_index")).alias("seq"),
+        "height",
+        "tx_index",
+        *timed,
+        "event_index",
+        "type",
+        "attributes",
+        F.struct(F.col("_opened.start").alias("index"), F.col("_opened.action").alias("action")).alias("_message"),
     )
 
 
 def assign_message(decoded: DataFrame) -> DataFrame:
     """Message of each event: the sequence number of the event that opened it, null before the first."""
-    return decoded.withColumn(
-        "msg_seq", pack_seq(F.col("height"), F.col("tx_index"), F.col("_message.index"))
-    )
+    return decoded.withColumn("msg_seq", F.col("seq") - F.col("event_index") + F.col("_message.index"))
 
 
 def message_type(messaged: DataFrame) -> DataFrame:
@@ -133,20 +179,18 @@ def pair_action_flags(events: DataFrame, pairs: DataFrame) -> DataFrame:
         F.least("token0", "token1").alias("_low"),
         F.greatest("token0", "token1").alias("_high"),
     )
-    # The pair is looked up in either token order. Most events ask for no pair: they get keys that match nothing and
-    # differ from each other, so that they do not meet in one task.
+    # The pair is looked up in either token order. Most events ask for no pair: they take no part in the join.
     flagged_actions = F.coalesce(
         is_dex & attributes["action"].isin("PlaceLimitOrder", "DepositLP", "WithdrawLP"), F.lit(False)
     )
     token0, token1 = attributes["TokenZero"], attributes["TokenOne"]
     both = (F.coalesce(token0, F.lit("")) != "") & (F.coalesce(token1, F.lit("")) != "")
-    asks = flagged_actions & both
-    spread = F.concat(F.lit("\x00"), F.col("seq").cast("string"))
-    keyed = events.withColumn("_low", F.when(asks, F.least(token0, token1)).otherwise(spread)).withColumn(
-        "_high", F.when(asks, F.greatest(token0, token1)).otherwise(F.lit(""))
-    )
+    asks = F.coalesce(flagged_actions & both, F.lit(False))
+    keyed = events.where(asks).withColumn("_low", F.least(token0, token1)).withColumn("_high", F.greatest(token0, token1))
     joined = keyed.join(ids, ["_low", "_high"], "left")
 
+    none = F.lit(0).cast("long")
+
     def flag(action: str) -> Column:
         return F.when(
             F.col("_pair").isNotNull() & (attributes["action"] == action), F.col("_pair")
@@ -157,6 +201,7 @@ def pair_action_flags(events: DataFrame, pairs: DataFrame) -> DataFrame:
         .withColumn("pair_deposit", flag("DepositLP"))
         .withColumn("pair_withdraw", flag("WithdrawLP"))
         .drop("_pair", "_low", "_high")
+        .unionByName(events.where(~asks).withColumns({f"pair_{a}": none for a in ("swap", "deposit", "withdraw")}))
     )
 
 
@@ -263,11 +308,14 @@ def rejected_tick_updates(events: DataFrame) -> DataFrame:
 
 
 def load_blocks(txs: DataFrame) -> DataFrame:
-    """One row per height; the first transaction of a block gives its time."""
+    """One row per height; the first transaction of a block gives its time.
+
+    The first position is found on numbers alone; its text is joined to the one row per block.
+    """
+    narrow = txs.select("height", "position", "timestamp")
+    first = narrow.groupBy("height").agg(F.min("position").alias("position"))
     return (
-        txs.groupBy("height")
-        .agg(F.min_by("timestamp", "position").alias("time"))
+        narrow.join(first, ["height", "position"])
+        .select("height", F.col("timestamp").alias("time"))
         .withColumn("time_unix", iso_to_unix("time"))
     )
-
-

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebook.operators.ordered import number_rows
 
@@ -11,8 +12,6 @@ from tidebook.operators.ordered import number_rows
 MAX_LIMIT = 10000
 DEFAULT_LIMIT = 1000
 FIRST_PAGE = 100
-# Up to this many leading rows a page is a top-k; a deeper page is cut out of numbered rows.
-TOP_K_ROWS = 100000
 
 
 def order_by_time_desc(df: DataFrame) -> DataFrame:
@@ -32,12 +31,14 @@ def page_limits(offset: int | None = None, limit: int | None = None, default: in
 def paginate(
     df: DataFrame, order: list[Column], offset: int | None = None, limit: int | None = None, default: int = DEFAULT_LIMIT
 ) -> DataFrame:
-    """One page of a result in a total order."""
+    """One page of a result, always by the same plan: the leading ``offset + limit`` rows as a top-k.
+
+    Columns that are not part of the order break ties, so that pages neither overlap nor skip rows; only rows that are
+    equal in every column can change places. For all pages of a large result use ``pages``, which orders it once.
+    """
     start, size = page_limits(offset, limit, default)
-    if start + size <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(start).limit(size)
-    numbered = number_rows(df, order, "_row")
-    return numbered.where((F.col("_row") > start) & (F.col("_row") <= start + size)).orderBy("_row").drop("_row")
+    ties = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return df.orderBy(*order, *ties).offset(start).limit(size)
 
 
 def next_offset(total: int, offset: int | None = None, limit: int | None = None, default: int = DEFAULT_LIMIT) -> int | None:
@@ -80,3 +81,31 @@ def pages(df: DataFrame, order: list[Column], limit: int = MAX_LIMIT, height: in
     return labelled.withColumn(
         "label", F.when(F.col("_total") > limit, F.concat(prefix, span)).otherwise(prefix)
     ).drop("_total")
+
+
+def feed_pages(
+    df: DataFrame,
+    order: list[Column],
+    height: int,
+    from_height: int = 0,
+    side: str | None = None,
+    first: int = FIRST_PAGE,
+    limit: int = MAX_LIMIT,
+) -> DataFrame:
+    """All frames of a feed at one height: ``page`` and ``label`` of each row.
+
+    Without a known height all frames are small, so that a client sees something soon; a client that names the height it
+    has gets large ones. With ``side`` both lists are cut at the same places, and the longer one counts as the total.
+    """
+    size = first if from_height <= 0 else limit
+    if side is None:
+        numbered = number_rows(df, order, "row")
+    else:
+        parts = [number_rows(df.where(F.col(side) == k), order, "row") for k in (0, 1)]
+        numbered = parts[0].unionByName(parts[1])
+    total = numbered.agg(F.max("row").alias("total")).scalar()
+    page = F.floor((F.col("row") - 1) / size).cast("long")
+    end = F.least((page + 1) * size, F.col("_total"))
+    span = F.concat(F.lit(f"{height}:"), (page * size + 1).cast("string"), F.lit("-"), end.cast("string"), F.lit("/"), F.col("_total").cast("string"))
+    labelled = numbered.withColumn("_total", total).withColumn("page", page)
+    return labelled.withColumn("label", F.when(F.col("_total") > size, span).otherwise(F.lit(str(height)))).drop("_total")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import as_column, time_bucket
 from tidebook.operators.ordered import last_known
+from tidebook.sources.tables import RANGE, in_folders, without_folders
 
 
 def check_range(from_height, to_height, allow_equal: bool = True) -> bool:
@@ -29,14 +30,16 @@ def block_range(
     df: DataFrame, from_height: Column | int = 0, to_height: Column | int | None = None, last_completed=None
 ) -> DataFrame:
     """Rows of ``from < height <= to``. Zero or negative means unset; ``to`` is at most the last completed height."""
-    rows = df
-    if not isinstance(from_height, int) or from_height > 0:
-        rows = rows.where(F.col("height") > as_column(from_height))
     if isinstance(to_height, int) and to_height <= 0:
         to_height = None
-    for limit in (to_height, last_completed):
-        if limit is not None:
-            rows = rows.where(F.col("height") <= as_column(limit))
+    above = from_height if not isinstance(from_height, int) or from_height > 0 else None
+    limits = [limit for limit in (to_height, last_completed) if limit is not None]
+    numbers = [limit for limit in limits if isinstance(limit, int)]
+    rows = in_folders(df, above, min(numbers) if numbers else limits[0] if limits else None)
+    if above is not None:
+        rows = rows.where(F.col("height") > as_column(above))
+    for limit in limits:
+        rows = rows.where(F.col("height") <= as_column(limit))
     return rows
 
 
@@ -131,7 +134,7 @@ def resolve_heights(
 def time_range(df: DataFrame, block: DataFrame, last_completed: Column | int, **limits) -> DataFrame:
     """Rows between two times, resolved to completed heights; see ``resolve_heights``."""
     low, high = resolve_heights(block, last_completed, **limits)
-    return df.where((F.col("height") > low) & (F.col("height") <= high))
+    return in_folders(df, low, high).where((F.col("height") > low) & (F.col("height") <= high))
 
 
 def aligned_time_bounds(
@@ -196,9 +199,14 @@ def within_bounds(
     """
     if all(isinstance(x, int) for x in (from_height, to_height, offset)):
         if not check_range(from_height, to_height):
-            return df.where(F.lit(False))
+            return without_folders(df).where(F.lit(False))
         first, last = time_bounds_now(block, from_height, to_height, resolution, offset, align_bounds_to_offset)
+        if RANGE in df.columns:  # block times grow with heights, so the bounds are a range of heights and of folders
+            timed = block.where((F.col("time_unix") >= first) & (F.col("time_unix") <= last))
+            low, high = timed.agg(F.min("height"), F.max("height")).first()
+            df = in_folders(df, low, high) if low is not None else df.drop(RANGE).where(F.lit(False))
         return df.where((F.col("time_unix") >= first) & (F.col("time_unix") <= last))
+    df = without_folders(df)
     holds = as_column(from_height) < as_column(to_height)
     low, high = aligned_time_bounds(block, from_height, to_height, resolution, offset, align_bounds_to_offset)
     return df.where(holds & (F.col("time_unix") >= low.scalar()) & (F.col("time_unix") <= high.scalar()))

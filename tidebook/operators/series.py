@@ -67,31 +67,32 @@ def tvl_timeseries(reserves: DataFrame, resolution: str = "minute", offset: Colu
 def swap_volume_timeseries(swaps: DataFrame, resolution: str = "minute", offset: Column | int = 0) -> DataFrame:
     """Per pair and bucket: positive reserve changes and their fees, per side; buckets without an amount are dropped.
 
-    ``swaps`` are tick updates with ``reserves_diff`` that belong to limit-order messages. Sums are exact; a missing
-    fee is skipped by the fee sum only.
+    ``swaps`` are tick updates with ``reserves_diff`` that belong to limit-order messages. Sums are exact per fee tier
+    and become floating point when tiers are multiplied and added, so that no product can leave the range of exact
+    numbers; a tier whose exact sum would, is summed in floating point. A missing fee is skipped by the fee sum only.
     """
-    grown = F.col("reserves_diff") > 0
-    first = F.col("token_in") == F.col("token0")
-    second = F.col("token_in") == F.col("token1")
-    zero = F.lit(0).cast("decimal(38,0)")
-
-    def total(side: Column, value: Column) -> Column:
-        return F.sum(F.when(side & grown, value.cast("decimal(38,0)")).otherwise(zero))
-
-    fee = F.col("reserves_diff") * F.col("fee").cast("decimal(10,0)")
-    sums = _bucketed(swaps, resolution, offset).agg(
-        total(first, F.col("reserves_diff")).alias("amount0"),
-        total(second, F.col("reserves_diff")).alias("amount1"),
-        total(first, fee).alias("fee0"),
-        total(second, fee).alias("fee1"),
+    change = F.col("reserves_diff")
+
+    def of_side(token: str) -> list[Column]:
+        counted = F.when((F.col("token_in") == F.col(token)) & (change > 0), change)
+        exact = F.try_sum(counted.cast("decimal(38,0)")).cast("double")
+        total = F.coalesce(exact, F.sum(counted.cast("double")), F.lit(0.0))
+        return [total.alias(f"of_{token}"), (F.count(counted) < F.count("*")).alias(f"others_{token}")]
+
+    tiers = swaps.groupBy(*PAIR, time_bucket("time_unix", resolution, offset).alias("time_unix"), "fee").agg(
+        *of_side("token0"), *of_side("token1")
     )
-    return sums.where((F.col("amount0") > 0) | (F.col("amount1") > 0)).select(
-        *PAIR,
-        "time_unix",
-        F.col("amount0").cast("double"),
-        F.col("amount1").cast("double"),
-        (F.col("fee0").cast("double") / 10000).alias("fee0"),
-        (F.col("fee1").cast("double") / 10000).alias("fee1"),
+
+    def fees(token: str) -> Column:
+        # a side with nothing but swaps of an unknown fee has an unknown sum
+        known = F.when(F.col("fee").isNotNull(), F.col(f"of_{token}") * F.col("fee").cast("double"))
+        return F.sum(known.when(F.col(f"others_{token}"), F.lit(0.0))) / 10000
+
+    sums = tiers.groupBy(*PAIR, "time_unix").agg(
+        F.sum("of_token0").alias("total0"), F.sum("of_token1").alias("total1"), fees("token0").alias("fee0"), fees("token1").alias("fee1")
+    )
+    return sums.where((F.col("total0") > 0) | (F.col("total1") > 0)).select(
+        *PAIR, "time_unix", F.col("total0").alias("amount0"), F.col("total1").alias("amount1"), "fee0", "fee1"
     )
 
 

@@ -25,7 +25,7 @@ from tidebook.operators.ordered import (
 )
 from tidebook.operators.ranges import block_range
 from tidebook.schemas import AMOUNT
-from tidebook.session import cut, stored
+from tidebook.session import cut
 
 PAIR = ["token0", "token1"]
 TICK = [*PAIR, "token_in", "tick"]
@@ -80,10 +80,11 @@ def reserves_series(
 ) -> DataFrame:
     """Live reserve totals of both sides of a pair after each change of a total.
 
-    The change log is read twice, so it is stored once in the shared folder.
+    The change log feeds two branches of the plan, which share its shuffle. A stored change log can be given to
+    ``reserves_of_changes`` instead.
     """
     changes = state_changes(updates, span, carry).select(*STATE, "seq", "height", "previous", "change")
-    return reserves_of_changes(stored(changes, "changes"), span, totals)
+    return reserves_of_changes(changes, span, totals)
 
 
 def reserves_of_changes(

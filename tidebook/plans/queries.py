@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.functions import as_column, day_offset
+from tidebook.functions import as_column, day_offset, floor_to_minute
 from tidebook.operators import liquidity, ranges, series
 
 HOUR = 3600
@@ -84,7 +84,8 @@ def volume_series(
 
 
 def _window(block: DataFrame, now: Column | int, last_completed: Column | int, length: int):
-    """Heights of the last ``length`` seconds, and the offset of the day buckets that end now."""
+    """Heights of the last ``length`` seconds, and the offset of the day buckets that end now, to the minute."""
+    now = now - now % 60 if isinstance(now, int) else floor_to_minute(as_column(now))
     if isinstance(now, int) and isinstance(last_completed, int):
         return *ranges.heights_now(block, now - length, now, last_completed), now % DAY
     low, high = ranges.resolve_heights(block, last_completed, after=as_column(now) - length, before=now)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidebook.operators import dimensions, events, state
 from tidebook.operators.ordered import DEFAULT_SPAN
 from tidebook.schemas import MESSAGE_TYPES, TABLES
-from tidebook.session import stored
-from tidebook.sources.tables import read_table, write_table
+from tidebook.session import scratch
+from tidebook.sources.tables import read_table, without_folders, write_table
 
 
 @dataclass
@@ -73,22 +73,28 @@ def decoded_events(log: DataFrame) -> DataFrame:
 
 
 def build(
-    log: DataFrame, span: int = DEFAULT_SPAN, loaded: DataFrame | None = None, block: DataFrame | None = None
+    log: DataFrame,
+    span: int = DEFAULT_SPAN,
+    loaded: DataFrame | None = None,
+    block: DataFrame | None = None,
+    changes: DataFrame | None = None,
+    pairs: DataFrame | None = None,
 ) -> Warehouse:
-    """Declare every table. ``loaded`` and ``block`` are tables that were stored before, to read the log only once."""
+    """Declare every table; nothing runs. ``loaded``, ``block``, ``changes`` and ``pairs`` are tables that were stored
+    before, so that what feeds several others is computed once."""
     found = decoded_events(log) if loaded is None else loaded
     blocks = events.load_blocks(events.valid_txs(log)) if block is None else block
     updates = events.event_tick_update(found)
-    # the change log feeds three tables
-    changes = stored(state.state_changes(updates, span), "changes")
+    changes = state.state_changes(updates, span) if changes is None else changes
+    pairs = dimensions.first_seen_pairs(found, span) if pairs is None else pairs
     return Warehouse(
         block=blocks,
         tx=events.load_txs(log),
         tx_msg_type=message_types(log.sparkSession),
         tx_msg=messages(found),
-        events=found,
+        events=events.pair_action_flags(found, pairs),
         tokens=dimensions.first_seen_tokens(found, span),
-        pairs=dimensions.first_seen_pairs(found, span),
+        pairs=pairs,
         deposit=events.event_deposit(found),
         withdraw=events.event_withdraw(found),
         place_order=events.event_place_order(found),
@@ -104,20 +110,30 @@ def store(log: DataFrame, folder: str, span: int = DEFAULT_SPAN) -> Warehouse:
     """Write all tables under a folder and return them as read back.
 
     The decoded events are written first and everything else is derived from the written table: the nested log is
-    decoded once, and a lost executor never makes the job decode it again.
+    decoded once, and a lost executor never makes the job decode it again. They and the change log are working tables
+    in the shared folder that go at the end.
     """
     spark = log.sparkSession
-    write_table(decoded_events(log), f"{folder}/events", SORT["events"])
-    write_table(events.load_blocks(events.valid_txs(log)), f"{folder}/block", SORT["block"])
-    written = {n: read_table(spark, f"{folder}/{n}", TABLES[n]) for n in ("events", "block")}
-    declared = build(log, span, written["events"], written["block"])
-    for name, table in declared.tables().items():
-        if name in ("events", "block"):
-            continue
-        if name in DICTIONARIES:
-            table.write.mode("overwrite").parquet(f"{folder}/{name}")
-        else:
-            write_table(table, f"{folder}/{name}", SORT[name])
+    with scratch(spark, "warehouse") as work:
+
+        def working(name: str, table: DataFrame) -> DataFrame:
+            table.write.parquet(f"{work}/{name}")
+            return spark.read.schema(table.schema).parquet(f"{work}/{name}")
+
+        found = working("decoded", decoded_events(log))
+        write_table(events.load_blocks(events.valid_txs(log)), f"{folder}/block", SORT["block"])
+        block = without_folders(read_table(spark, f"{folder}/block", TABLES["block"]))
+        changes = working("changes", state.state_changes(events.event_tick_update(found), span))
+        dimensions.first_seen_pairs(found, span).write.mode("overwrite").parquet(f"{folder}/pairs")
+        pairs = spark.read.schema(TABLES["pairs"]).parquet(f"{folder}/pairs")
+        declared = build(log, span, found, block, changes, pairs)
+        for name, table in declared.tables().items():
+            if name in ("block", "pairs"):
+                continue
+            if name in DICTIONARIES:
+                table.write.mode("overwrite").parquet(f"{folder}/{name}")
+            else:
+                write_table(table, f"{folder}/{name}", SORT[name])
     return load(spark, folder)
 
 

@@ -99,9 +99,8 @@ DEX_MODULE = "dex"
 DEX_EVENT_TYPES = ("message", "TickUpdate")
 DEX_ACTIONS = ("DepositLP", "WithdrawLP", "PlaceLimitOrder", "TickUpdate")
 
-# A packed sequence number is height, then 12 bits of transaction index, then 12 bits of event index.
-INDEX_BITS = 12
-INDEX_LIMIT = 1 << INDEX_BITS
+# A packed sequence number is the height, then 32 bits for the place of the event among all events of its block.
+PLACE_BITS = 32
 
 # Columns of the stored warehouse tables.
 _PLACE = "seq long, height long, tx_index int, event_index int, time_unix long, msg_seq long, msg_type int"
@@ -114,7 +113,7 @@ TABLES = {
     "tx_msg_type": "id int, action string",
     "tx_msg": "seq long, height long, type int",
     "events": "seq long, height long, tx_index int, time_unix long, event_index int, type string, "
-    "attributes map<string,string>, msg_seq long, msg_type int",
+    "attributes map<string,string>, msg_seq long, msg_type int, pair_swap long, pair_deposit long, pair_withdraw long",
     "tokens": "id long, token string, first_seq long",
     "pairs": f"id long, {_PAIR}, first_seq long",
     "deposit": f"{_LIQUIDITY}, deposited0 decimal(38,0), deposited1 decimal(38,0), shares decimal(38,0)",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 RANGE_SPAN = 100000
 FILE_SPAN = 2000
 RANGE = "height_range"
+SPAN = "blocks_per_folder"
 
 
 def write_table(
@@ -43,12 +44,37 @@ def read_table(
     to_height: int | None = None,
     span: int = RANGE_SPAN,
 ) -> DataFrame:
-    """Read a written table; a height range prunes folders first and then row groups."""
+    """Read a written table; a height range prunes folders first and then row groups.
+
+    The folder number stays as a column that knows its span, so that ranges asked for later prune folders as well;
+    ``without_folders`` takes it away.
+    """
     df = spark.read.schema(f"{schema}, {RANGE} long").parquet(path)
+    df = df.withColumn(RANGE, F.col(RANGE).alias(RANGE, metadata={SPAN: span}))
     if from_height > 0:
         df = df.where((F.col(RANGE) >= from_height // span) & (F.col("height") > from_height))
     if to_height is not None:
         df = df.where((F.col(RANGE) <= to_height // span) & (F.col("height") <= to_height))
+    return df
+
+
+def in_folders(df: DataFrame, above: Column | int | None = None, upto: Column | int | None = None) -> DataFrame:
+    """Only folders that can hold heights in ``(above, upto]``, without the folder column; other tables stay as they are.
+
+    Numbers become literals; columns, as scalar subqueries, are known before files are listed.
+    """
+    if RANGE not in df.columns:
+        return df
+    span = df.schema[RANGE].metadata[SPAN]
+    folder = lambda h: h // span if isinstance(h, int) else F.floor(h / F.lit(span)).cast("long")
+    if above is not None:
+        df = df.where(F.col(RANGE) >= folder(above))
+    if upto is not None:
+        df = df.where(F.col(RANGE) <= folder(upto))
+    return df.drop(RANGE)
+
+
+def without_folders(df: DataFrame) -> DataFrame:
     return df.drop(RANGE)
 
 
@@ -56,7 +82,7 @@ def browse_tables(tables: dict[str, DataFrame], order: dict[str, str], limit: in
     """Newest rows of every table; all rows when there is no limit."""
     found = {}
     for name in sorted(tables):
-        newest = tables[name].orderBy(F.desc(order[name]))
+        newest = without_folders(tables[name]).orderBy(F.desc(order[name]))
         found[name] = newest.limit(limit) if limit else newest
     return found
 

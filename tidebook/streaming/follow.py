@@ -20,12 +20,23 @@ UPDATE = f"seq long, height long, {TICK_KEYS}, fee int, reserves decimal(38,0)"
 
 
 class CompletedBlocks:
-    """Hands on only complete blocks; rows of the newest block wait for a later block or the end of a poll."""
+    """Hands on only complete blocks; rows of the newest block wait for a later block or the end of a poll.
+
+    Derived state depends on the order of blocks, so a row of a block that was handed on before ends the stream with an
+    error instead of changing what was derived from it.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, schema: str = UPDATE):
         self.pending = BatchOutput(spark, f"{folder}/pending", schema)
+        self.handed_on = BatchOutput(spark, f"{folder}/handed-on", "height long")
         self.spark, self.schema = spark, schema
 
+    def last_handed_on(self, batch: int) -> int:
+        """Newest height handed on by the batches below ``batch``, -1 before the first."""
+        if batch <= 0:
+            return -1
+        return self.spark.read.schema("height long").parquet(f"{self.handed_on.folder}/batch={batch - 1}").first()[0]
+
     def _waiting(self, batch: int) -> DataFrame:
         if batch <= 0:
             return self.spark.createDataFrame([], self.schema)
@@ -34,9 +45,13 @@ class CompletedBlocks:
     def complete(self, rows: DataFrame, batch: int) -> DataFrame:
         """Complete rows of this batch, with those that waited; at most one block of rows is held back."""
         found = rows.unionByName(self._waiting(batch))
-        newest = found.agg(F.max("height")).first()[0]
+        lowest, newest = found.agg(F.min("height"), F.max("height")).first()
+        done = self.last_handed_on(batch)
+        if lowest is not None and lowest <= done:
+            raise ValueError(f"rows of block {lowest} arrived after block {done} was handed on")
         limit = -1 if newest is None else newest
         self.pending.write(batch, found.where(F.col("height") >= limit))
+        self.handed_on.write(batch, self.spark.createDataFrame([(max(done, limit - 1),)], "height long"))
         return found.where(F.col("height") < limit)
 
     def rest(self, batch: int) -> DataFrame:

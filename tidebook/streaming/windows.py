@@ -49,18 +49,19 @@ def tvl_windows(reserves: DataFrame, size: str, offset: int = 0) -> DataFrame:
 
 
 def volume_windows(swaps: DataFrame, size: str, offset: int = 0) -> DataFrame:
-    zero = F.lit(0).cast("decimal(38,0)")
+    """Swapped amounts and fees per window, in floating point: no amount can leave its range and end the stream."""
+    change = F.col("reserves_diff").cast("double")
 
     def total(token: str, value: Column) -> Column:
         counts = (F.col("token_in") == F.col(token)) & (F.col("reserves_diff") > 0)
-        return F.sum(F.when(counts, value.cast("decimal(38,0)")).otherwise(zero))
+        return F.sum(F.when(counts, value).otherwise(F.lit(0.0)))
 
-    fee = F.col("reserves_diff") * F.col("fee").cast("decimal(10,0)")
+    fee = change * F.col("fee").cast("double")
     sums = windowed(swaps, size, offset).agg(
-        total("token0", F.col("reserves_diff")).cast("double").alias("amount0"),
-        total("token1", F.col("reserves_diff")).cast("double").alias("amount1"),
-        (total("token0", fee).cast("double") / 10000).alias("fee0"),
-        (total("token1", fee).cast("double") / 10000).alias("fee1"),
+        total("token0", change).alias("amount0"),
+        total("token1", change).alias("amount1"),
+        (total("token0", fee) / 10000).alias("fee0"),
+        (total("token1", fee) / 10000).alias("fee1"),
     )
     return _flat(sums, ["amount0", "amount1", "fee0", "fee1"])
 
