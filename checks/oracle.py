@@ -378,6 +378,10 @@ ORACLES: dict[str, str] = {
         WHERE reserves <> 0 GROUP BY token0, token1, token"""),
     "best_tick": sql(*STATE, "SELECT token0, token1, token, min(tick) AS tick FROM latest WHERE reserves <> 0 GROUP BY 1, 2, 3"),
     "ohlc": sql(*BEST, ohlc_of("hour")),
+    "ohlc_stored": sql(*BEST, ohlc_of("hour")),
+    "append_tick_state": sql(CHANGES, VERSIONS, "SELECT token0, token1, token, tick, fee, height, reserves FROM versions"),
+    "append_tokens": sql(RAW, DICTIONARY, "SELECT id, token, first_seq FROM tokens"),
+    "append_ohlc": sql(*BEST, ohlc_of("day", HALF)),
     "ohlc_since": sql(*BEST, ohlc_of("day", HALF)),
     "tvl_timeseries": sql(*TOTALS, tvl_of("hour")),
     "swap_volume_timeseries": sql(DIFFS, volume_of("hour")),
@@ -441,6 +445,15 @@ ORACLES: dict[str, str] = {
         CASE WHEN total > 1000 THEN last || ':' || ((n - 1) // 1000 * 1000 + 1) || '-'
           || least((n - 1) // 1000 * 1000 + 1000, total) || '/' || total ELSE CAST(last AS VARCHAR) END AS label
         FROM (SELECT *, row_number() OVER (ORDER BY tick, seq DESC) AS n, count(*) OVER () AS total FROM v), p"""),
+    "pages_first": sql("""SELECT seq, tick, token_in, n AS row, (n - 1) // 100 AS page,
+        CASE WHEN total > 100 THEN last || ':' || ((n - 1) // 100 * 100 + 1) || '-'
+          || least((n - 1) // 100 * 100 + 100, total) || '/' || total ELSE CAST(last AS VARCHAR) END AS label
+        FROM (SELECT *, row_number() OVER (ORDER BY tick, seq DESC) AS n, count(*) OVER () AS total FROM v), p"""),
+    "pages_two_sided": sql("""SELECT seq, tick, side, n AS row, (n - 1) // 100 AS page,
+        CASE WHEN total > 100 THEN last || ':' || ((n - 1) // 100 * 100 + 1) || '-'
+          || least((n - 1) // 100 * 100 + 100, total) || '/' || total ELSE CAST(last AS VARCHAR) END AS label
+        FROM (SELECT *, max(n) OVER () AS total FROM (SELECT seq, tick, CASE WHEN token_in = token0 THEN 0 ELSE 1 END AS side,
+          row_number() OVER (PARTITION BY token_in = token0 ORDER BY tick, seq DESC) AS n FROM v)), p"""),
     "completed_blocks": sql("SELECT seq, height FROM v, p WHERE height < newest"),
     "changes_since": sql(CHANGES, FRAMES, "SELECT frames.* FROM frames, p WHERE height > half AND height <= last"),
     "accumulate_changes": sql(CHANGES, VERSIONS, LATEST, """SELECT token0, token1, token, tick, CAST(sum(reserves) AS BIGINT) AS reserves
@@ -466,6 +479,12 @@ ORACLES |= {
     "stream_tick_book": sql(CHANGES, AFTER, RESERVES, PRICE, """SELECT 'reserves' AS kind, seq, token0, token1,
         CAST(reserves0 AS BIGINT) AS side0, CAST(reserves1 AS BIGINT) AS side1 FROM reserves
         UNION ALL SELECT 'price', seq, token0, token1, best0, best1 FROM price"""),
+    "stream_log_to_book": sql(CHANGES, AFTER, RESERVES, PRICE, """SELECT 'reserves' AS kind, height, token0, token1,
+        CAST(reserves0 AS BIGINT) AS side0, CAST(reserves1 AS BIGINT) AS side1 FROM reserves
+        UNION ALL SELECT 'price', height, token0, token1, best0, best1 FROM price"""),
+    "stream_log_to_windows": sql(*TOTALS, f"""SELECT token0, token1, {bucket('time_unix', 'hour')} AS time_unix,
+        arg_max(reserves0, seq) AS amount0, arg_max(reserves1, seq) AS amount1
+        FROM reserves JOIN block USING (height) GROUP BY 1, 2, 3"""),
     "stream_windows": sql(*TOTALS, f"""SELECT token0, token1, {bucket('time_unix', 'hour')} AS time_unix,
         arg_max(reserves0, seq) AS amount0, arg_max(reserves1, seq) AS amount1
         FROM reserves JOIN block USING (height) GROUP BY 1, 2, 3"""),

@@ -12,6 +12,7 @@ from checks import fixture as fx
 from tidebook import functions as fn
 from tidebook.operators import assets, changes, dimensions, events, liquidity, paging, ranges, series, state
 from tidebook.plans import queries as plans
+from tidebook.plans import warehouse
 from tidebook.session import new_folder, stored
 from tidebook.sources import reference_data, tables, tx_log
 
@@ -606,6 +607,41 @@ def ohlc(spark, sf_dir):
     return plans.price_series(inputs.timed(inputs.price()), inputs.block(), "hour", 0, inputs.last)
 
 
+@register
+def ohlc_stored(spark, sf_dir):
+    """The same from a stored warehouse, whose folders the range prunes."""
+    inputs = Inputs(spark, sf_dir)
+    house = warehouse.store(inputs.log(), new_folder(spark, "house"))
+    return plans.price_series(house.price, house.block, "hour", 0, inputs.last)
+
+
+def _appended(spark, sf_dir) -> tuple[Inputs, warehouse.Warehouse]:
+    """A warehouse of half of the blocks to which the others are added."""
+    inputs = Inputs(spark, sf_dir)
+    folder = new_folder(spark, "house")
+    warehouse.store(inputs.log().where(F.col("height") <= inputs.half), folder)
+    return inputs, warehouse.append(inputs.log(), folder)
+
+
+@register
+def append_tick_state(spark, sf_dir):
+    _, house = _appended(spark, sf_dir)
+    return house.tick_state.select(
+        "token0", "token1", "token", "tick", "fee", "height", F.col("reserves").cast("long").alias("reserves")
+    )
+
+
+@register
+def append_tokens(spark, sf_dir):
+    return _appended(spark, sf_dir)[1].tokens.select("id", "token", "first_seq")
+
+
+@register
+def append_ohlc(spark, sf_dir):
+    inputs, house = _appended(spark, sf_dir)
+    return plans.price_series(house.price, house.block, "day", inputs.half, inputs.last)
+
+
 @register
 def ohlc_since(spark, sf_dir):
     inputs = Inputs(spark, sf_dir)
@@ -904,6 +940,23 @@ def pages(spark, sf_dir):
     return paging.pages(rows, order, 1000, inputs.last)
 
 
+@register
+def pages_first(spark, sf_dir):
+    """Frames for a client without a known height: small pages."""
+    inputs = Inputs(spark, sf_dir)
+    rows = inputs.updates().select("seq", "tick", "token_in")
+    return paging.feed_pages(rows, [F.asc("tick"), F.desc("seq")], inputs.last)
+
+
+@register
+def pages_two_sided(spark, sf_dir):
+    """Both sides cut at the same places; the longer one counts."""
+    inputs = Inputs(spark, sf_dir)
+    side = F.when(F.col("token_in") == F.col("token0"), 0).otherwise(1).alias("side")
+    rows = inputs.updates().select("seq", "tick", side)
+    return paging.feed_pages(rows, [F.asc("tick"), F.desc("seq")], inputs.last, side="side")
+
+
 # --- change feeds ----------------------------------------------------------------------------------------------------------
 
 

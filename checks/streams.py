@@ -11,6 +11,7 @@ from tidebook.session import new_folder
 from tidebook.sources.tx_log import stream_tx_log as open_stream
 from tidebook.streaming import windows
 from tidebook.streaming.follow import UPDATE, CompletedBlocks, ReservesDiff, TickBook, finish, follow
+from tidebook.streaming.log import LogBook
 
 ARRIVALS = 4
 
@@ -84,6 +85,46 @@ def stream_tick_book(spark, sf_dir):
     return reserves.unionByName(price)
 
 
+def _followed_log(spark, sf_dir) -> LogBook:
+    inputs = Inputs(spark, sf_dir)
+    folder = new_folder(spark, "stream-log-book")
+    # cut by transaction, so that a block can be split between two arrivals
+    arrived = arrive(inputs.log(), folder, "position")
+    stream = open_stream(spark, arrived, module=None, files_per_trigger=1)
+    follower = LogBook(spark, folder, compact_every=2)
+    query = follow(stream, follower.advance, follower.gate, f"{folder}/checkpoint", available_now=True)
+    query.awaitTermination()
+    finish(follower.advance, follower.gate, query.lastProgress["batchId"] + 1)
+    return follower
+
+
+@register
+def stream_log_to_book(spark, sf_dir):
+    """Reserve and price rows of a book that follows the records of the log."""
+    book = _followed_log(spark, sf_dir).book
+    sides = {"reserves": ("reserves0", "reserves1"), "price": ("best0", "best1")}
+    parts = [
+        book.read(kind).select(
+            F.lit(kind).alias("kind"), "height", "token0", "token1",
+            F.col(a).cast("long").alias("side0"), F.col(b).cast("long").alias("side1"),
+        )
+        for kind, (a, b) in sides.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@register
+def stream_log_to_windows(spark, sf_dir):
+    """Hourly locked value from the log: records to book to windows, each a stream."""
+    follower = _followed_log(spark, sf_dir)
+    folder = new_folder(spark, "stream-log-windows")
+    query, output = windows.write_updates(
+        windows.tvl_windows(follower.stream("reserves"), "1 hour"), f"{folder}/out", f"{folder}/checkpoint", available_now=True
+    )
+    query.awaitTermination()
+    return windows.current_windows(output)
+
+
 def _windowed(spark, rows: DataFrame, make, having_amount: bool = False) -> DataFrame:
     folder = new_folder(spark, "stream-windows")
     arrived = arrive(rows, folder)

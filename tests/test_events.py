@@ -1,6 +1,7 @@
 """Decoding of hand-written transactions."""
 
 import json
+import random
 
 import pytest
 
@@ -170,6 +171,31 @@ def test_normalise(spark):
     assert (row["height"], row["txhash"], row["timestamp"], row["gas_used"]) == (12, "h", "t", "2")
 
 
+def test_appending_blocks_gives_the_warehouse_of_the_whole_log(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = []
+    for position in range(60):
+        kinds = [event("message", action=f"/neutron.dex.Msg{rnd.choice(['Deposit', 'PlaceLimitOrder'])}")]
+        for _ in range(rnd.randint(0, 4)):
+            pair = rnd.choice([("A", "B"), ("B", "A"), ("C", "D"), (f"T{position // 9}", "A")])
+            kinds.append(tick(*pair, tin=rnd.choice(pair), index=str(rnd.randint(-2, 2)), fee=rnd.choice(["1", "5"]),
+                              reserves=str(rnd.choice([0, 0, 3, 7, 10**30]))))
+        kinds.append(event("message", module="dex", action="PlaceLimitOrder", TokenZero=pair[0] if len(kinds) > 1 else "A",
+                           TokenOne=pair[1] if len(kinds) > 1 else "B", TokenIn="A", AmountIn="7"))
+        rows.append(tx(position, 1 + position // 3, kinds, code=5 * (position % 7 == 0), time=f"2024-01-01T00:{position // 3:02d}:00Z"))
+    log = spark.createDataFrame([tuple(r[f] for f in TX_LOG.names) for r in rows], TX_LOG)
+    whole = warehouse.store(log, str(tmp_path / "whole"), span=4)
+    folder = str(tmp_path / "parts")
+    warehouse.store(log.where("height <= 6"), folder, span=4)
+    warehouse.append(log.where("height <= 13"), folder, span=4)
+    warehouse.append(log, folder, span=4)
+    parts = warehouse.append(log, folder, span=4)  # nothing new
+    for name, table in whole.tables().items():
+        found = getattr(parts, name).select(table.columns)
+        assert sorted(map(str, found.collect())) == sorted(map(str, table.collect())), name
+    assert whole.price.count() > 20 and whole.events.where("pair_swap > 0").count() > 10
+
+
 def test_store_and_load_the_warehouse(spark, log, tmp_path):
     stored = warehouse.store(log, str(tmp_path / "house"))
     declared = warehouse.build(log)

@@ -34,18 +34,33 @@ def number_by_first_seen(entries: DataFrame, order: str, span: int = DEFAULT_SPA
 
 def first_seen_tokens(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
     """Token dictionary: ``id, token, first_seq``."""
-    seen = (
+    return _numbered_tokens(seen_tokens(events), span)
+
+
+def seen_tokens(events: DataFrame) -> DataFrame:
+    """``token, height`` and the first place of each token, the slot of the event included."""
+    # wider than a sequence number, so that no height overflows
+    place = F.col("seq").cast("decimal(20,0)") * 8 + F.col("slot").cast("decimal(2,0)")
+    return (
         _token_slots(events)
         .groupBy("token")
-        .agg(F.min(F.col("seq") * 8 + F.col("slot")).alias("_order"), F.min("height").alias("height"))
+        .agg(F.min(place.cast("decimal(24,0)")).alias("_order"), F.min("height").alias("height"))
     )
-    return number_by_first_seen(seen, "_order", span).select(
+
+
+def _numbered_tokens(seen: DataFrame, span: int, after: Column | int = 0) -> DataFrame:
+    return number_by_first_seen(seen, "_order", span, after).select(
         "id", "token", F.floor(F.col("_order") / 8).cast("long").alias("first_seq")
     )
 
 
 def first_seen_pairs(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
     """Pair dictionary: ``id, token0, token1, first_seq``; the first event of a pair fixes its token order."""
+    return number_by_first_seen(seen_pairs(events), "first_seq", span).select("id", "token0", "token1", "first_seq")
+
+
+def seen_pairs(events: DataFrame) -> DataFrame:
+    """``token0, token1, height, first_seq`` of each pair, in the order of its first event."""
     token0, token1 = F.col("attributes")["TokenZero"], F.col("attributes")["TokenOne"]
     both = (F.coalesce(token0, F.lit("")) != "") & (F.coalesce(token1, F.lit("")) != "")
     # numbers first, so that the full input is reduced by hash aggregation; names only on what is left
@@ -54,7 +69,7 @@ def first_seen_pairs(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
         .groupBy(token0.alias("token0"), token1.alias("token1"))
         .agg(F.min("seq").alias("first_seq"), F.min("height").alias("height"))
     )
-    seen = oriented.groupBy(
+    return oriented.groupBy(
         F.least("token0", "token1").alias("_low"), F.greatest("token0", "token1").alias("_high")
     ).agg(
         F.min_by("token0", "first_seq").alias("token0"),
@@ -62,7 +77,24 @@ def first_seen_pairs(events: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
         F.min("height").alias("height"),
         F.min("first_seq").alias("first_seq"),
     )
-    return number_by_first_seen(seen, "first_seq", span).select("id", "token0", "token1", "first_seq")
+
+
+def new_tokens(events: DataFrame, known: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
+    """Dictionary entries of tokens that ``known`` lacks, with ids that go on after its greatest."""
+    new = seen_tokens(events).join(known.select("token"), "token", "left_anti")
+    return _numbered_tokens(new, span, _greatest_id(known))
+
+
+def new_pairs(events: DataFrame, known: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
+    """The same for pairs, which are known in either token order."""
+    sides = known.select(F.least("token0", "token1").alias("_low"), F.greatest("token0", "token1").alias("_high"))
+    new = seen_pairs(events).join(sides, ["_low", "_high"], "left_anti")
+    numbered = number_by_first_seen(new, "first_seq", span, _greatest_id(known))
+    return numbered.select("id", "token0", "token1", "first_seq")
+
+
+def _greatest_id(known: DataFrame) -> Column:
+    return known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
 
 
 def add_new_entries(known: DataFrame, seen: DataFrame, keys: list[str], span: int = DEFAULT_SPAN) -> DataFrame:
@@ -71,8 +103,7 @@ def add_new_entries(known: DataFrame, seen: DataFrame, keys: list[str], span: in
     ``seen`` has the keys, ``first_seq`` and ``height``.
     """
     new = seen.join(known.select(*keys), keys, "left_anti")
-    greatest = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
-    numbered = number_by_first_seen(new, "first_seq", span, after=greatest)
+    numbered = number_by_first_seen(new, "first_seq", span, after=_greatest_id(known))
     return known.select("id", *keys).unionByName(numbered.select("id", *keys))
 
 

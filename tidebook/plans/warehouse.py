@@ -137,6 +137,77 @@ def store(log: DataFrame, folder: str, span: int = DEFAULT_SPAN) -> Warehouse:
     return load(spark, folder)
 
 
+def carried(house: Warehouse) -> dict[str, DataFrame]:
+    """What derivations of later blocks have to know of a stored warehouse, one small row per key: the last reserves of
+    each tick (``marks`` without the fee, ``ticks`` with it), the totals of each pair and its best ticks."""
+    pair, price = state.PAIR, without_folders(house.price)
+    marks = house.tick_update.groupBy(*state.TICK).agg(F.max_by("reserves", "seq").alias("reserves"))
+    latest = state.latest_tick_state(without_folders(house.tick_state))
+    first = F.col("token") == F.col("token0")
+    zero = F.lit(0).cast("decimal(38,0)")
+    total = lambda side: F.sum(F.when(side, F.col("reserves")).otherwise(zero)).cast("decimal(38,0)")
+    totals = latest.groupBy(*pair).agg(
+        total(first).alias("reserves0"), total(~first).alias("reserves1"),
+        F.count_if(first).alias("seen0"), F.count_if(~first).alias("seen1"),
+    )
+    best = price.groupBy(*pair).agg(F.max_by("best0", "seq").alias("best0"), F.max_by("best1", "seq").alias("best1"))
+    return {
+        "marks": marks,
+        "ticks": latest.withColumnRenamed("token", "token_in").select(*state.STATE, "reserves"),
+        "totals": totals,
+        "best": best.withColumns({"given0": F.lit(True), "given1": F.lit(True)}),
+    }
+
+
+def append(log: DataFrame, folder: str, span: int = DEFAULT_SPAN) -> Warehouse:
+    """Add the blocks of ``log`` that are newer than those of a stored warehouse; older ones are ignored.
+
+    Only new blocks are decoded and only new rows written: every derivation starts from the state that is stored. All
+    rows are computed into working tables before the first is added; the block table, which tells what is stored, comes
+    last, and added folders are not read while that happens. The last height of a log that still grows has to be left
+    out, as for ``store``.
+    """
+    spark = log.sparkSession
+    house = load(spark, folder)
+    newest = house.block.agg(F.max("height")).first()[0]
+    log = log.where(F.col("height") > (-1 if newest is None else newest))
+    with scratch(spark, "append") as work:
+
+        def working(name: str, table: DataFrame) -> DataFrame:
+            table.write.parquet(f"{work}/{name}")
+            return spark.read.schema(table.schema).parquet(f"{work}/{name}")
+
+        found = working("decoded", decoded_events(log))
+        block = working("block", events.load_blocks(events.valid_txs(log)))
+        known = {name: working(f"known-{name}", table) for name, table in carried(house).items()}
+        updates = events.event_tick_update(found)
+        changes = working("changes", state.state_changes(updates, span, known["ticks"]))
+        tokens = working("tokens", dimensions.new_tokens(found, house.tokens, span))
+        pairs = working("pairs", dimensions.new_pairs(found, house.pairs, span))
+        all_pairs = house.pairs.unionByName(pairs)
+        price = state.best_price_of_changes(changes, span, known["ticks"], known["best"])
+        totals = state.reserves_of_changes(changes, span, known["totals"])
+        new = {
+            "tx": events.load_txs(log),
+            "tx_msg": messages(found),
+            "events": events.pair_action_flags(found, working("all-pairs", all_pairs)),
+            "deposit": events.event_deposit(found),
+            "withdraw": events.event_withdraw(found),
+            "place_order": events.event_place_order(found),
+            "tick_update": state.reserves_diff(updates, span=span, carry=known["marks"]),
+            "rejected": events.rejected_tick_updates(found),
+            "tick_state": state.versions_of_changes(changes),
+            "price": dimensions.join_event_time(price, block),
+            "reserves": dimensions.join_event_time(totals, block),
+        }
+        ready = {name: working(f"new-{name}", table) for name, table in new.items()} | {"block": block}
+        for name, table in (("tokens", tokens), ("pairs", pairs)):
+            table.write.mode("append").parquet(f"{folder}/{name}")
+        for name, table in ready.items():
+            write_table(table, f"{folder}/{name}", SORT[name], mode="append")
+    return load(spark, folder)
+
+
 def load(spark: SparkSession, folder: str, from_height: int = 0, to_height: int | None = None) -> Warehouse:
     """Open a stored warehouse."""
     found = {}
