@@ -94,4 +94,48 @@ ORACLES = {
         SELECT d.doc_id, coalesce(c.n_lines, 0)::INT AS n_lines, coalesce(c.n_removed, 0)::INT AS n_removed, c.text
         FROM documents d LEFT JOIN cleaned c USING (doc_id)
     """,
+    "op7_embedding_dedup": """
+        WITH RECURSIVE vectors AS (
+            SELECT row_number() OVER () AS k, vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+                CASE WHEN vec_id IS NULL OR label IS NULL OR embedding IS NULL OR len(embedding) = 0 THEN false
+                    WHEN list_count(embedding) < len(embedding) THEN false
+                    WHEN NOT isfinite(list_sum(CAST(embedding AS DOUBLE[]))) THEN false
+                    ELSE list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0 END AS usable
+            FROM embeddings
+        ), normed AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM vectors WHERE usable),
+        links AS (
+            SELECT a.k AS x, b.k AS y, a.vec_id AS of_x, b.vec_id AS of_y
+            FROM normed a JOIN normed b ON a.label = b.label AND a.k <> b.k AND len(a.e) = len(b.e)
+            WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+        ), reach AS (
+            SELECT k AS x, k AS y FROM vectors UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+        ), counted AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+        named AS (SELECT r.x, min(v.vec_id) AS component FROM reach r JOIN vectors v ON r.y = v.k GROUP BY r.x)
+        SELECT v.vec_id, coalesce(c.n, 0) AS n_links, n.component AS component_id,
+            coalesce(v.vec_id = n.component, true) AS kept
+        FROM vectors v JOIN named n ON n.x = v.k LEFT JOIN counted c ON c.x = v.k
+    """,
+    "op8_minhash": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM words WHERE len(w) > 0)
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        sized AS (SELECT * FROM shingles JOIN sizes USING (doc_id)),
+        links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y
+            FROM sized a JOIN sized b ON a.s = b.s AND a.doc_id <> b.doc_id
+            WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+        ), named AS (SELECT x, min(y) AS component FROM reach GROUP BY x)
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component AS component_id, d.doc_id = c.component AS kept
+        FROM documents d JOIN named c ON c.x = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+    """,
 }
