@@ -379,6 +379,8 @@ ORACLES: dict[str, str] = {
     "best_tick": sql(*STATE, "SELECT token0, token1, token, min(tick) AS tick FROM latest WHERE reserves <> 0 GROUP BY 1, 2, 3"),
     "ohlc": sql(*BEST, ohlc_of("hour")),
     "ohlc_stored": sql(*BEST, ohlc_of("hour")),
+    "tick_liquidity_stored": sql(*STATE, liquidity_of("latest WHERE reserves <> 0")),
+    "pairs_liquidity_stored": sql(*TOTALS, UNIT_PRICES, valued("valued", LAST), ranking("ranked", "valued"), "SELECT * FROM ranked"),
     "append_tick_state": sql(CHANGES, VERSIONS, "SELECT token0, token1, token, tick, fee, height, reserves FROM versions"),
     "append_tokens": sql(RAW, DICTIONARY, "SELECT id, token, first_seq FROM tokens"),
     "append_ohlc": sql(*BEST, ohlc_of("day", HALF)),

@@ -631,6 +631,21 @@ def append_tick_state(spark, sf_dir):
     )
 
 
+@register
+def tick_liquidity_stored(spark, sf_dir):
+    """Live ticks from the last snapshot and the folder after it."""
+    inputs = Inputs(spark, sf_dir)
+    house = warehouse.store(inputs.log(), new_folder(spark, "house"), blocks=max(1, inputs.half // 3))
+    return liquidity.tick_liquidity(house.tick_state_at(inputs.last), 0, inputs.last)
+
+
+@register
+def pairs_liquidity_stored(spark, sf_dir):
+    inputs = Inputs(spark, sf_dir)
+    house = warehouse.store(inputs.log(), new_folder(spark, "house"), blocks=max(1, inputs.half // 3))
+    return liquidity.pairs_liquidity(house.reserves_at(inputs.last), inputs.unit_prices(), inputs.last)
+
+
 @register
 def append_tokens(spark, sf_dir):
     return _appended(spark, sf_dir)[1].tokens.select("id", "token", "first_seq")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidebook.operators import dimensions, events, state
 from tidebook.operators.ordered import DEFAULT_SPAN
+from tidebook.operators.snapshots import since_snapshot, snapshots
 from tidebook.schemas import MESSAGE_TYPES, TABLES
 from tidebook.session import scratch
-from tidebook.sources.tables import read_table, without_folders, write_table
+from tidebook.sources.tables import RANGE_SPAN, read_table, without_folders, write_folders, write_table
 
 
 @dataclass
@@ -33,6 +34,19 @@ class Warehouse:
     tick_state: DataFrame
     price: DataFrame
     reserves: DataFrame
+    tick_snapshot: DataFrame
+    reserves_snapshot: DataFrame
+
+    def newest(self) -> int:
+        return self.block.agg(F.max("height")).first()[0] or 0
+
+    def tick_state_at(self, to_height: int, from_height: int = 0) -> DataFrame:
+        """Tick versions for queries at a height, and on changes since another one; for a stored warehouse."""
+        return since_snapshot(self.tick_state, self.tick_snapshot, self.newest(), to_height, from_height)
+
+    def reserves_at(self, to_height: int, from_height: int = 0) -> DataFrame:
+        """Reserve rows for queries at one or two heights."""
+        return since_snapshot(self.reserves, self.reserves_snapshot, self.newest(), to_height, from_height)
 
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
@@ -53,6 +67,10 @@ SORT = {
     "price": ["token0", "token1", "seq"],
     "reserves": ["token0", "token1", "seq"],
 }
+SNAPSHOTS = {
+    "tick_snapshot": ("tick_state", [*state.PAIR, "token", "tick", "fee"]),
+    "reserves_snapshot": ("reserves", state.PAIR),
+}
 DICTIONARIES = ("tokens", "pairs", "tx_msg_type")
 
 
@@ -72,23 +90,35 @@ def decoded_events(log: DataFrame) -> DataFrame:
     return events.load_events(timed)
 
 
+def _snapshots(name: str, rows: DataFrame, blocks: int, newest: int, after: int = -1) -> DataFrame:
+    live = F.col("reserves") != 0 if name == "tick_snapshot" else None
+    return snapshots(rows, SNAPSHOTS[name][1], "seq", blocks, newest, after, live)
+
+
 def build(
     log: DataFrame,
     span: int = DEFAULT_SPAN,
+    blocks: int = RANGE_SPAN,
+    newest: int | None = None,
     loaded: DataFrame | None = None,
     block: DataFrame | None = None,
     changes: DataFrame | None = None,
     pairs: DataFrame | None = None,
 ) -> Warehouse:
-    """Declare every table; nothing runs. ``loaded``, ``block``, ``changes`` and ``pairs`` are tables that were stored
-    before, so that what feeds several others is computed once."""
+    """Declare every table; nothing but the look-up of the newest height runs. ``loaded``, ``block``, ``changes`` and ``pairs`` are tables that were stored
+    before, so that what feeds several others is computed once. ``newest`` is the newest height, known before as well; it
+    bounds the snapshots, of which there is one for every ``blocks`` blocks."""
     found = decoded_events(log) if loaded is None else loaded
-    blocks = events.load_blocks(events.valid_txs(log)) if block is None else block
+    block = events.load_blocks(events.valid_txs(log)) if block is None else block
+    if newest is None:
+        newest = block.agg(F.max("height")).first()[0] or 0
     updates = events.event_tick_update(found)
     changes = state.state_changes(updates, span) if changes is None else changes
     pairs = dimensions.first_seen_pairs(found, span) if pairs is None else pairs
+    tick_state = state.versions_of_changes(changes)
+    reserves = dimensions.join_event_time(state.reserves_of_changes(changes, span), block)
     return Warehouse(
-        block=blocks,
+        block=block,
         tx=events.load_txs(log),
         tx_msg_type=message_types(log.sparkSession),
         tx_msg=messages(found),
@@ -100,14 +130,16 @@ def build(
         place_order=events.event_place_order(found),
         tick_update=state.reserves_diff(updates, span=span),
         rejected=events.rejected_tick_updates(found),
-        tick_state=state.versions_of_changes(changes),
-        price=dimensions.join_event_time(state.best_price_of_changes(changes, span), blocks),
-        reserves=dimensions.join_event_time(state.reserves_of_changes(changes, span), blocks),
+        tick_state=tick_state,
+        price=dimensions.join_event_time(state.best_price_of_changes(changes, span), block),
+        reserves=reserves,
+        tick_snapshot=_snapshots("tick_snapshot", tick_state, blocks, newest),
+        reserves_snapshot=_snapshots("reserves_snapshot", reserves, blocks, newest),
     )
 
 
-def store(log: DataFrame, folder: str, span: int = DEFAULT_SPAN) -> Warehouse:
-    """Write all tables under a folder and return them as read back.
+def store(log: DataFrame, folder: str, span: int = DEFAULT_SPAN, blocks: int = RANGE_SPAN) -> Warehouse:
+    """Write all tables under a folder, in folders of ``blocks`` blocks, and return them as read back.
 
     The decoded events are written first and everything else is derived from the written table: the nested log is
     decoded once, and a lost executor never makes the job decode it again. They and the change log are working tables
@@ -121,20 +153,24 @@ def store(log: DataFrame, folder: str, span: int = DEFAULT_SPAN) -> Warehouse:
             return spark.read.schema(table.schema).parquet(f"{work}/{name}")
 
         found = working("decoded", decoded_events(log))
-        write_table(events.load_blocks(events.valid_txs(log)), f"{folder}/block", SORT["block"])
+        write_table(events.load_blocks(events.valid_txs(log)), f"{folder}/block", SORT["block"], blocks)
         block = without_folders(read_table(spark, f"{folder}/block", TABLES["block"]))
+        newest = block.agg(F.max("height")).first()[0] or 0
         changes = working("changes", state.state_changes(events.event_tick_update(found), span))
         dimensions.first_seen_pairs(found, span).write.mode("overwrite").parquet(f"{folder}/pairs")
         pairs = spark.read.schema(TABLES["pairs"]).parquet(f"{folder}/pairs")
-        declared = build(log, span, found, block, changes, pairs)
+        declared = build(log, span, blocks, newest, found, block, changes, pairs)
         for name, table in declared.tables().items():
-            if name in ("block", "pairs"):
+            if name in ("block", "pairs", *SNAPSHOTS):
                 continue
             if name in DICTIONARIES:
                 table.write.mode("overwrite").parquet(f"{folder}/{name}")
             else:
-                write_table(table, f"{folder}/{name}", SORT[name])
-    return load(spark, folder)
+                write_table(table, f"{folder}/{name}", SORT[name], blocks)
+        for name, (source, keys) in SNAPSHOTS.items():
+            rows = without_folders(read_table(spark, f"{folder}/{source}", TABLES[source]))
+            write_folders(_snapshots(name, rows, blocks, newest), f"{folder}/{name}", keys)
+    return load(spark, folder, blocks=blocks)
 
 
 def carried(house: Warehouse) -> dict[str, DataFrame]:
@@ -142,14 +178,16 @@ def carried(house: Warehouse) -> dict[str, DataFrame]:
     each tick (``marks`` without the fee, ``ticks`` with it), the totals of each pair and its best ticks."""
     pair, price = state.PAIR, without_folders(house.price)
     marks = house.tick_update.groupBy(*state.TICK).agg(F.max_by("reserves", "seq").alias("reserves"))
-    latest = state.latest_tick_state(without_folders(house.tick_state))
+    latest = state.latest_tick_state(house.tick_state_at(1 << 62))
     first = F.col("token") == F.col("token0")
     zero = F.lit(0).cast("decimal(38,0)")
     total = lambda side: F.sum(F.when(side, F.col("reserves")).otherwise(zero)).cast("decimal(38,0)")
-    totals = latest.groupBy(*pair).agg(
-        total(first).alias("reserves0"), total(~first).alias("reserves1"),
-        F.count_if(first).alias("seen0"), F.count_if(~first).alias("seen1"),
-    )
+    # snapshots have live ticks only; that a side was there before is in the names of the whole history
+    seen = house.tick_state.groupBy(*pair).agg(F.count_if(first).alias("seen0"), F.count_if(~first).alias("seen1"))
+    sums = latest.groupBy(*pair).agg(total(first).alias("reserves0"), total(~first).alias("reserves1"))
+    totals = seen.join(sums, pair, "left").select(
+        *pair, F.coalesce("reserves0", zero).alias("reserves0"), F.coalesce("reserves1", zero).alias("reserves1"), "seen0", "seen1"
+    )
     best = price.groupBy(*pair).agg(F.max_by("best0", "seq").alias("best0"), F.max_by("best1", "seq").alias("best1"))
     return {
         "marks": marks,
@@ -159,7 +197,7 @@ def carried(house: Warehouse) -> dict[str, DataFrame]:
     }
 
 
-def append(log: DataFrame, folder: str, span: int = DEFAULT_SPAN) -> Warehouse:
+def append(log: DataFrame, folder: str, span: int = DEFAULT_SPAN, blocks: int = RANGE_SPAN) -> Warehouse:
     """Add the blocks of ``log`` that are newer than those of a stored warehouse; older ones are ignored.
 
     Only new blocks are decoded and only new rows written: every derivation starts from the state that is stored. All
@@ -168,9 +206,14 @@ def append(log: DataFrame, folder: str, span: int = DEFAULT_SPAN) -> Warehouse:
     out, as for ``store``.
     """
     spark = log.sparkSession
-    house = load(spark, folder)
+    house = load(spark, folder, blocks=blocks)
     newest = house.block.agg(F.max("height")).first()[0]
     log = log.where(F.col("height") > (-1 if newest is None else newest))
+    # the state that snapshots of later folders start from
+    since = 1 << 62
+    start = {name: getattr(house, source) for name, (source, _) in SNAPSHOTS.items()}
+    if newest is not None:
+        start = {"tick_snapshot": house.tick_state_at(since), "reserves_snapshot": house.reserves_at(since)}
     with scratch(spark, "append") as work:
 
         def working(name: str, table: DataFrame) -> DataFrame:
@@ -201,20 +244,33 @@ def append(log: DataFrame, folder: str, span: int = DEFAULT_SPAN) -> Warehouse:
             "reserves": dimensions.join_event_time(totals, block),
         }
         ready = {name: working(f"new-{name}", table) for name, table in new.items()} | {"block": block}
+        now = block.agg(F.max("height")).first()[0]
+        taken = {}
+        if now is not None:
+            done = -1 if newest is None else newest // blocks
+            for name, (source, _) in SNAPSHOTS.items():
+                rows = without_folders(start[name]).unionByName(ready[source])
+                taken[name] = working(f"new-{name}", _snapshots(name, rows, blocks, now, done))
         for name, table in (("tokens", tokens), ("pairs", pairs)):
             table.write.mode("append").parquet(f"{folder}/{name}")
+        for name, table in taken.items():
+            write_folders(table, f"{folder}/{name}", SNAPSHOTS[name][1], "append")
         for name, table in ready.items():
-            write_table(table, f"{folder}/{name}", SORT[name], mode="append")
-    return load(spark, folder)
+            write_table(table, f"{folder}/{name}", SORT[name], blocks, mode="append")
+    return load(spark, folder, blocks=blocks)
 
 
-def load(spark: SparkSession, folder: str, from_height: int = 0, to_height: int | None = None) -> Warehouse:
-    """Open a stored warehouse."""
+def load(
+    spark: SparkSession, folder: str, from_height: int = 0, to_height: int | None = None, blocks: int = RANGE_SPAN
+) -> Warehouse:
+    """Open a stored warehouse; ``blocks`` is the number it was stored with."""
     found = {}
     for name, schema in TABLES.items():
         path = f"{folder}/{name}"
         if name in DICTIONARIES:
             found[name] = spark.read.schema(schema).parquet(path)
+        elif name in SNAPSHOTS:
+            found[name] = read_table(spark, path, schema, span=blocks)
         else:
-            found[name] = read_table(spark, path, schema, from_height, to_height)
+            found[name] = read_table(spark, path, schema, from_height, to_height, blocks)
     return Warehouse(**found)

@@ -124,6 +124,8 @@ TABLES = {
     "reserves_diff decimal(38,0)",
     "rejected": f"{_PLACE}, {_PAIR}, token_in string, tick int, fee int, reserves_text string",
     "tick_state": f"{_PAIR}, token string, tick int, fee int, reserves decimal(38,0), height long, seq long",
+    "tick_snapshot": f"{_PAIR}, token string, tick int, fee int, reserves decimal(38,0), height long, seq long",
+    "reserves_snapshot": f"height long, seq long, {_PAIR}, reserves0 double, reserves1 double, time_unix long",
     "price": f"height long, seq long, {_PAIR}, best0 int, best1 int, last int, time_unix long",
     "reserves": f"height long, seq long, {_PAIR}, reserves0 double, reserves1 double, time_unix long",
 }

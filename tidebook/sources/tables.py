@@ -36,6 +36,12 @@ def write_table(
     )
 
 
+def write_folders(df: DataFrame, path: str, sort: list[str], mode: str = "overwrite") -> None:
+    """Write rows that name their folder themselves; a folder is spread by its first sort columns, here pairs."""
+    spread = F.pmod(F.xxhash64(*sort), F.lit(16))
+    df.repartition(RANGE, spread).sortWithinPartitions(RANGE, *sort).write.mode(mode).partitionBy(RANGE).parquet(path)
+
+
 def read_table(
     spark: SparkSession,
     path: str,
