@@ -20,6 +20,8 @@ BUCKETS = 1 << 16
 #: What a document keeps of its summed log-ratio: the mean per n-gram times this, so that length alone decides nothing.
 SHARPNESS = 240.0
 SEED = 17
+#: Labelled documents that the target model is counted on, at most; the other model is counted on all documents.
+TARGET_ROWS = 24_000
 
 
 def text_buckets(text: str) -> np.ndarray:
@@ -82,15 +84,16 @@ class Ratio:
         return float(self.values[buckets].mean()) if len(buckets) else 0.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Ratio:
-    """Models of the documents labelled 1 and of all documents, over all of both.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", target_rows: int = TARGET_ROWS) -> Ratio:
+    """Models of at most ``target_rows`` documents labelled 1, chosen by a hash of their id, and of all documents.
 
     Of several labels of a document the lowest counts; null labels and ids are no labels. Without any target document
-    the ratio is 1 everywhere.
+    the ratio is 1 everywhere. As the chosen ids are bounded they go to every task, and no text is shuffled.
     """
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("good")).where("good = 1")
-    # the marks are ids only; texts are joined with them by a hash of the id
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.col("good").isNotNull().alias("is_target"))
+    chosen = keep(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows), "targets")
+    marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left")
+    marked = marked.select("text", F.col("good").isNotNull().alias("is_target"))
     found = bucket_counts(marked).toPandas()  # at most one row per bucket
     target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
     target[found["bucket"]], raw[found["bucket"]] = found["target"], found["raw"]
