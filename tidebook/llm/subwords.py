@@ -21,9 +21,12 @@ BATCH_CHARACTERS = 200_000
 
 #: Leading bits of hashes by which most substrings are known not to be pieces.
 FLAG_BITS = 21
+#: Slots for remembered pairs of pieces, as a power of two.
+MEMO_BITS = 21
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FLAG_SHIFT = np.uint64(64 - FLAG_BITS)
+_MEMO_SHIFT = np.uint64(64 - MEMO_BITS)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +68,9 @@ class Model:
         by_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         by_lines = not any("\n" in p and len(p) > 1 for p in self.ids)
         if by_words and by_lines:
-            self.word = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+            marks = re.escape("".join(sorted(self._apart_marks())))
+            runs = f"{SPACE}*[^{SPACE}\n{marks}]+|{SPACE}*[{marks}]+" if marks else f"{SPACE}*[^{SPACE}\n]+"
+            self.word = re.compile(f"{runs}|{SPACE}+|\n")
         else:
             self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if by_words else ".+", re.DOTALL)
         raw = np.array([self._raw_hash(p) for p in self.ids], dtype=np.uint64)
@@ -82,6 +87,17 @@ class Model:
         if self.merges:
             self._prepare_merges(raw)
 
+    def _apart_marks(self) -> set[str]:
+        """Characters other than letters and digits that no piece has next to anything but a space or such punctuation: no piece can reach from a word
+        into it or out of it."""
+        marks = {c for p in self.ids for c in p if not (c.isalpha() or c.isdecimal())} - {SPACE, "\n"}
+        neighbours = {pair for p in self.ids for pair in zip(p, p[1:], strict=False) if SPACE not in pair}
+        while True:
+            joined = {c for a, b in neighbours if (a in marks) != (b in marks) for c in (a, b) if c in marks}
+            if not joined:
+                return marks
+            marks -= joined
+
     def _prepare_merges(self, raw: np.ndarray) -> None:
         """For each piece its place in the order of merges, its two parts and what its hash needs to be put behind another."""
         n = len(self.pieces)
@@ -106,6 +122,7 @@ class Model:
                 late = max(self.order[self.left[i]], self.order[self.right[i]]) > self.order[i]
                 self.odd[i] = late or self.score[i] in tied or self.odd[self.left[i]] or self.odd[self.right[i]]
         self.answers: dict[tuple[int, int], bool] = {}
+        self.memo = np.full(1 << MEMO_BITS, -2, dtype=np.int64)
         self.hash = np.zeros(n, dtype=np.uint64)
         self.shift = np.ones(n, dtype=np.uint64)
         at = np.fromiter(self.ids.values(), dtype=np.int64)
@@ -131,20 +148,21 @@ class Model:
         return (SPACE if self.prefix else "") + text.replace(" ", SPACE)
 
     def split(self, text: str) -> list[str]:
-        """Words that no piece runs across: spaces and what follows them up to the next space or line break."""
+        """Words that no piece runs across: spaces and what follows them up to the next space, line break or mark."""
         return self.word.findall(text)
 
     # --- the pass ---
 
     def _look_up(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of pieces by hash of a substring, -1 where there is none."""
-        keys = _mix(hashes)
-        found = np.full(keys.shape, -1, dtype=np.int64)
-        likely = np.nonzero(self.flags[(keys >> _FLAG_SHIFT).view(np.int64)])
+        keys = _mix(hashes).ravel()
+        found = np.full(len(keys), -1, dtype=np.int64)
+        likely = np.flatnonzero(self.flags[(keys >> _FLAG_SHIFT).view(np.int64)])
         some = keys[likely]
         at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
-        found[likely] = np.where(self.keys[at] == some, self.key_ids[at], -1)
-        return found
+        hit = self.keys[at] == some
+        found[likely[hit]] = self.key_ids[at[hit]]
+        return found.reshape(hashes.shape)
 
     def segment(self, words: list[str]) -> list[bytes]:
         """Ids of words of one length, all advancing together one character at a time, as 32-bit integers."""
@@ -208,8 +226,20 @@ class Model:
         out = wanted.copy()
         out[wanted] = self.whole[right[wanted]]
         ask = out & (left >= 0)
-        pairs, inverse = np.unique(left[ask] * len(self.pieces) + right[ask], return_inverse=True)
-        out[ask] = self.stay_apart(pairs // len(self.pieces), pairs % len(self.pieces))[inverse]
+        out[ask] = self._remembered(left[ask] * len(self.pieces) + right[ask])
+        return out
+
+    def _remembered(self, pairs: np.ndarray) -> np.ndarray:
+        """``stay_apart`` of numbered pairs, from a table of fixed size where the last answer per slot stays."""
+        slot = (pairs.view(np.uint64) * _BASE >> _MEMO_SHIFT).view(np.int64)
+        held = self.memo[slot]
+        out = (held & 1).astype(bool)
+        asked = np.flatnonzero(held >> 1 != pairs)
+        if len(asked):
+            fresh, inverse = np.unique(pairs[asked], return_inverse=True)
+            answers = self.stay_apart(fresh // len(self.pieces), fresh % len(self.pieces))
+            self.memo[(fresh.view(np.uint64) * _BASE >> _MEMO_SHIFT).view(np.int64)] = fresh << 1 | answers
+            out[asked] = answers[inverse]
         return out
 
     def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -261,13 +291,11 @@ class Model:
         if len(self.words) > REMEMBERED_WORDS:
             self.words = {}
         known = self.words
-        new: dict[int, set[str]] = {}
-        for words in split:
-            for w in words:
-                if w not in known:
-                    new.setdefault(len(w), set()).add(w)
-        for length, group in sorted(new.items()):
-            ordered = sorted(group)
+        new: dict[int, list[str]] = {}
+        for w in set().union(*split):
+            if w not in known:
+                new.setdefault(len(w), []).append(w)
+        for length, ordered in sorted(new.items()):
             step = max(1, BATCH_CHARACTERS // length)
             for at in range(0, len(ordered), step):
                 part = ordered[at : at + step]
@@ -377,8 +405,8 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         pieces = load(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 384):
+                part = batch.slice(at, 384)
                 found = pieces.encode([t or "" for t in part.column(1).to_pylist()])
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 values = np.concatenate(found) if found else np.zeros(0, dtype=np.int32)
