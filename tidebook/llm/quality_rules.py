@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import keep, map_texts
+from tidebook.llm.common import keep, map_texts, sampled
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -192,8 +192,9 @@ def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = stats.where(~base_failed()).join(known, "doc_id")
     deal = F.xxhash64("doc_id")
-    sample = rows.select(deal.alias("deal"), "quality", *[c.alias(f"m{k}") for k, c in enumerate(measures().values())])
-    found = sample.orderBy("deal", *[f"m{k}" for k in range(len(measures()))]).limit(sample_rows).toPandas()
+    named = [c.alias(f"m{k}") for k, c in enumerate(measures().values())]
+    sample = rows.select("doc_id", deal.alias("deal"), "quality", *named)
+    found = sampled(sample, sample_rows, "doc_id", *[f"m{k}" for k in range(len(named))]).toPandas()
     x = found[[f"m{k}" for k in range(len(measures()))]].to_numpy(dtype=float)
     bad = (found["quality"] == 0).to_numpy()
     return learn_rules(x, bad, (found["deal"].to_numpy(dtype=np.int64) >> 7) % 3)
