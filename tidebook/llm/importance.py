@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidebook.llm.common import SLICE_ROWS, keep, map_texts
+from tidebook.llm.common import SLICE_ROWS, keep, map_texts, sampled
 
 #: Words and pairs of words fall into so many buckets; the two models are a count per bucket, whatever the corpus.
 BUCKETS = 1 << 16
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", target_rows:
     the ratio is 1 everywhere. As the chosen ids are bounded they go to every task, and no text is shuffled.
     """
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("good")).where("good = 1")
-    chosen = keep(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows), "targets")
+    chosen = keep(sampled(good, target_rows, "doc_id"), "targets")
     marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left")
     marked = marked.select("text", F.col("good").isNotNull().alias("is_target"))
     found = bucket_counts(marked).toPandas()  # at most one row per bucket

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm import tagger
-from tidebook.llm.common import keep, map_texts
+from tidebook.llm.common import keep, map_texts, sampled
 
 KINDS = ("email", "ip", "card", "phone")
 #: Length of a window, and characters around digits and at signs that it has to hold.
@@ -237,8 +237,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_windows: int = S
     The labelled spans are those of the base patterns, each as it stands, in a form that they don't take, and with
     another one behind it, which they would often take for one number.
     """
-    holding = docs.where("doc_id IS NOT NULL").where(F.col("text").rlike("[0-9@]"))
-    chosen = holding.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    holding = F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")
+    chosen = sampled(docs.select("doc_id", "text"), sample_rows, "doc_id", having=holding, spare=20).select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(keep(chosen, "tagger-sample"), "doc_id")
 
     def make():
@@ -252,8 +252,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_windows: int = S
 
     found = map_texts(texts, make, "windows array<struct<symbols: binary, tags: binary>>")
     windows = found.select(F.explode("windows").alias("w")).select("w.*")
-    order = F.xxhash64("symbols", "tags")
-    rows = windows.orderBy(order).limit(sample_windows).toPandas()
+    rows = sampled(keep(windows, "tagger-windows"), sample_windows, "symbols", "tags").toPandas()
     if rows.empty:
         return None
     symbols = np.stack([np.frombuffer(x, dtype=np.int64) for x in rows["symbols"]])
