@@ -127,6 +127,7 @@ def block_links(near: DataFrame, groups: DataFrame, texts: DataFrame, words: int
     main = named.where("id = low").select("low", F.col("component").alias("main"))
     sided = keep(named.join(main, "low").withColumn("outside", F.col("component") != F.col("main")), "neighbourhoods")
     sizes = sided.groupBy("low").agg(F.count("*").alias("all"), F.count_if("outside").alias("out")).where("out > 0")
+    sizes = keep(sizes, "neighbourhood-sizes")  # as a table, so that the join with a large neighbourhood can be split
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     open_ones = sided.join(sizes.select("low", blocks("out").alias("rows"), blocks("all").alias("columns")), "low")
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
