@@ -60,7 +60,8 @@ def block_links(members: DataFrame, cosine: float) -> DataFrame:
     are compared two by two, each pair of blocks in one place. Two vectors can be in several neighbourhoods; a link
     counts in the one with the smallest name only.
     """
-    sizes = members.groupBy("low").agg(F.count("*").alias("size"))
+    # as a table, so that the join with a large neighbourhood can be split
+    sizes = keep(members.groupBy("low").agg(F.count("*").alias("size")), "neighbourhood-sizes")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = members.join(sizes, "low").withColumn("blocks", blocks)
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
