@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import keep, map_texts
+from tidebook.llm.common import keep, map_texts, sampled
 
 #: Labelled documents that the model is fitted on, at most; parts of so many are fitted in parallel and averaged.
 SAMPLE_ROWS = 36_000
@@ -142,8 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     A shard with one label only adds nothing; without both labels every score is one half.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
-    sample = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    sample = keep(sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "toxic-sample")
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    sample = keep(sampled(known, sample_rows, "doc_id"), "toxic-sample")
     shards = max(1, math.ceil(sample.count() / SHARD_ROWS))
     rows = docs.select("doc_id", "text").join(sample, "doc_id").select(
         "doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard")
