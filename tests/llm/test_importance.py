@@ -82,3 +82,14 @@ def test_edges(make_docs, labelled, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.kept for r in imp.selected(make_docs(rows), none).collect()} == {True}
     assert imp.target_share(labelled) == pytest.approx(0.75, abs=0.03)
+
+
+def test_every_target_counts(make_docs, spark):
+    n = 30_000  # more than any sample that was ever drawn
+    docs = make_docs([(i, f"w{i}") for i in range(n)] + [(None, "w0 other")])
+    labels = spark.createDataFrame([(i, 1) for i in range(n)], "doc_id long, quality int")
+    counted = np.bincount(np.concatenate([imp.text_buckets(f"w{i}") for i in range(n)]), minlength=imp.BUCKETS)
+    everything = counted + np.bincount(imp.text_buckets("w0 other"), minlength=imp.BUCKETS)
+    expected = np.log((counted + 0.5) / (counted.sum() + imp.BUCKETS / 2))
+    expected -= np.log((everything + 0.5) / (everything.sum() + imp.BUCKETS / 2))
+    assert np.allclose(imp.fit(docs, labels).values, expected)

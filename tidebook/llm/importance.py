@@ -13,15 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidebook.llm.common import SLICE_ROWS, keep, map_texts, sampled
+from tidebook.llm.common import SLICE_ROWS, keep, map_texts
 
 #: Words and pairs of words fall into so many buckets; the two models are a count per bucket, whatever the corpus.
 BUCKETS = 1 << 16
 #: What a document keeps of its summed log-ratio: the mean per n-gram times this, so that length alone decides nothing.
 SHARPNESS = 240.0
 SEED = 17
-#: Labelled documents that the target model is counted on, at most; the other model is counted on all documents.
-TARGET_ROWS = 24_000
 
 
 def text_buckets(text: str) -> np.ndarray:
@@ -84,16 +82,18 @@ class Ratio:
         return float(self.values[buckets].mean()) if len(buckets) else 0.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", target_rows: int = TARGET_ROWS) -> Ratio:
-    """Models of at most ``target_rows`` documents labelled 1, chosen by a hash of their id, and of all documents.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Ratio:
+    """Models of all documents labelled 1 and of all documents.
 
     Of several labels of a document the lowest counts; null labels and ids are no labels. Without any target document
-    the ratio is 1 everywhere. As the chosen ids are bounded they go to every task, and no text is shuffled.
+    the ratio is 1 everywhere. Texts are joined with the marks by a hash of the id, at every size, so that what is sent
+    to all tasks doesn't grow with the labels; texts without an id stay where they are.
     """
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("good")).where("good = 1")
-    chosen = keep(sampled(good, target_rows, "doc_id"), "targets")
-    marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left")
-    marked = marked.select("text", F.col("good").isNotNull().alias("is_target"))
+    named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
+    marked = named.select("text", F.col("good").isNotNull().alias("is_target"))
+    unnamed = docs.where(F.col("doc_id").isNull()).select("text", F.lit(False).alias("is_target"))
+    marked = marked.union(unnamed)
     found = bucket_counts(marked).toPandas()  # at most one row per bucket
     target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
     target[found["bucket"]], raw[found["bucket"]] = found["target"], found["raw"]
