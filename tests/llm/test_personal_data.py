@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidebook.llm import personal_data as p
 from tidebook.llm import tagger
@@ -154,3 +155,18 @@ def test_gradient():
                 moved[at] += sign * 1e-5
                 nudged.append(tagger.loss({**weights, name: moved}, symbols, tags)[0])
             assert (nudged[0] - nudged[1]) / 2e-5 == pytest.approx(grads[name][at], abs=1e-6)
+
+
+def test_rare_personal_data_is_found_for_training(spark):
+    # 80 of 70,000 documents hold a digit and 40 a span; one footer stands in every one of the 80
+    text = F.when(F.col("id") % 875 != 0, F.lit("nothing")).otherwise(
+        F.concat(F.lit("token 7 "), F.when(F.col("id") % 2 == 0, F.concat(F.lit("ann"), F.col("id"), F.lit("@b.cd "))).otherwise(""), F.lit("x " * 100 + "page 1 of 2"))
+    )
+    docs = spark.range(70_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    found = p.training_windows(docs, 60, 200).toPandas()
+    assert not found.duplicated(["symbols", "tags"]).any()
+    assert found["holds"].sum() > 12 and (~found["holds"]).sum() > 1  # all digits are one symbol
+    unnamed = docs.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    assert p.training_windows(unnamed, 60, 200).where("holds").count() > 12
+    few = spark.range(70_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 69_999, "a@b.cd").otherwise("no").alias("text"))
+    assert p.fit(few, 60, 200) is not None

@@ -230,29 +230,47 @@ def examples(text: str, turn: int, pool: list[tuple[str, str]] = []) -> list[tup
     return out
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_windows: int = SAMPLE_WINDOWS) -> tagger.Weights | None:
-    """A tagger trained on windows of at most ``sample_rows`` documents that hold digits or at signs, chosen by a hash of
-    their id; at most ``sample_windows`` windows, also chosen by hash, reach the driver. None without any.
-
-    The labelled spans are those of the base patterns, each as it stands, in a form that they don't take, and with
-    another one behind it, which they would often take for one number.
-    """
-    holding = F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")
-    chosen = sampled(docs.select("doc_id", "text"), sample_rows, "doc_id", having=holding, spare=20).select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(keep(chosen, "tagger-sample"), "doc_id")
+def balanced(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+    """At most ``n`` rows by a hash of ``columns``: three quarters with ``holds`` and one without, or more of one where
+    the other has fewer. Both are counted on their own, so rare rows are found in a table of any size."""
+    counts = {r["holds"]: r["count"] for r in rows.groupBy("holds").count().collect()}
+    with_any, without = counts.get(True, 0), counts.get(False, 0)
+    first = min(with_any, max(n - n // 4, n - without))
+    rest = sampled(rows.where("NOT holds"), min(without, n - first), *columns)
+    return sampled(rows.where("holds"), first, *columns).unionByName(rest)
+
+
+def training_windows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_windows: int = SAMPLE_WINDOWS) -> DataFrame:
+    """``symbols, tags, holds``: distinct windows of documents that hold digits or at signs, most of them with spans."""
+    anchored = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("row"), "text")
+    marks = map_texts(anchored, lambda: lambda texts: [[bool(base_spans(t)) for t in texts]], "holds boolean", ("row", "text"))
+    marks = keep(marks.groupBy("row").agg(F.max("holds").alias("holds")), "tagger-marks")  # equal rows are one
+    chosen = keep(balanced(marks, sample_rows, "row").select("row"), "tagger-sample")
+    texts = anchored.join(chosen, "row")
 
     def make():
         def work(batch):
             pool = [(kind, t[a:b]) for t in batch for kind, a, b in base_spans(t)]
             made = [examples(t, k, pool) for k, t in enumerate(batch)]
-            rows = [[[x.tobytes() for x in pair] for pair in e] for e in made]
-            return [[[{"symbols": s, "tags": t} for s, t in e] for e in rows]]
+            rows = [[[x.tobytes() for x in pair] + [bool(pair[1].any())] for pair in e] for e in made]
+            return [[[{"symbols": s, "tags": t, "holds": h} for s, t, h in e] for e in rows]]
 
         return work
 
-    found = map_texts(texts, make, "windows array<struct<symbols: binary, tags: binary>>")
-    windows = found.select(F.explode("windows").alias("w")).select("w.*")
-    rows = sampled(keep(windows, "tagger-windows"), sample_windows, "symbols", "tags").toPandas()
+    found = map_texts(texts, make, "windows array<struct<symbols: binary, tags: binary, holds: boolean>>", ("row", "text"))
+    windows = found.select(F.explode("windows").alias("w")).select("w.*").distinct()
+    return balanced(keep(windows, "tagger-windows"), sample_windows, "symbols", "tags")
+
+
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_windows: int = SAMPLE_WINDOWS) -> tagger.Weights | None:
+    """A tagger trained on windows of at most ``sample_rows`` documents that hold digits or at signs, chosen by a hash,
+    those that hold a base span first; at most ``sample_windows`` distinct windows, chosen in the same way, reach the
+    driver. None without any.
+
+    The labelled spans are those of the base patterns, each as it stands, in a form that they don't take, and with
+    another one behind it, which they would often take for one number.
+    """
+    rows = training_windows(docs, sample_rows, sample_windows).toPandas()
     if rows.empty:
         return None
     symbols = np.stack([np.frombuffer(x, dtype=np.int64) for x in rows["symbols"]])
