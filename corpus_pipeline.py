@@ -23,9 +23,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word runs are similar by 0.8 or more."""
-    gone = minhash.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group whose sets of five-word runs are similar by 0.8 or more: the one with the smallest id.
+
+    Every row is a document of its own here, also one that repeats an id or has none. Of rows with the same id, or all
+    without one, the one with the smallest hash of all columns stays; a row without words is no copy of another.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = keep(docs.select(F.struct(*columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered-rows")
+    found = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "doc.text"), words=5, percent=80)
+    order = F.struct(F.col("doc.doc_id").isNull(), "doc.doc_id", F.xxhash64("doc"), "row")
+    groups = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", order.alias("order")), "row")
+    groups = keep(groups, "row-groups")
+    first = groups.groupBy("component_id").agg(F.min("order").alias("first"))
+    gone = groups.join(first, "component_id").where(F.col("row") != F.col("first.row")).select("row")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,3 +95,17 @@ def test_stages_on_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_one_row_of_repeated_rows_and_of_rows_without_id_stays(spark):
+    long = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcde"]
+    rows = [(7, long[0], "x"), (7, long[0], "y"), (7, long[0], "y"), (None, long[1], "x"), (None, long[1], "x")]
+    rows += [(None, long[2], "x"), (3, long[2] + " more", "x"), (5, long[2], "x"), (9, long[3], "x"), (9, long[4], "x"), (1, None, "x"), (2, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert found.columns == docs.columns
+    expected = [(7, long[0]), (None, long[1]), (3, long[2] + " more"), (9, long[3]), (9, long[4]), (1, None), (2, "")]
+    kept = [tuple(r) for r in found.collect()]
+    assert sorted((r[:2] for r in kept), key=str) == sorted(expected, key=str)
+    again = corpus_pipeline.near_duplicates(spark, docs.repartition(5), "").collect()
+    assert sorted(kept, key=str) == sorted((tuple(r) for r in again), key=str)
