@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import importance, licences, line_dedup, minhash, packing, personal_data, quality_rules, subwords, toxicity, vector_dedup
+from tidebook.llm import (
+    byte_pairs,
+    centroids,
+    importance,
+    licences,
+    line_dedup,
+    minhash,
+    packing,
+    personal_data,
+    quality_rules,
+    spelling,
+    subwords,
+    toxicity,
+    vector_dedup,
+)
 from tidebook.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -58,6 +72,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.selected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.digest(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pack": op2_pack,
@@ -69,8 +95,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_pii": op9_pii,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_centroids": op11_centroids,
+    "op12_byte_pairs": op12_byte_pairs,
+    "op13_spelling": op13_spelling,
 }
 
+
+def _centroid_sql(rounds: int = 3) -> str:
+    """Vectors and centroids with one row per component; every round is an assignment and a mean."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        assigned{r} AS MATERIALIZED (
+            SELECT k, min(c) AS c, min(d) AS d FROM (
+                SELECT k, c, d, min(d) OVER (PARTITION BY k) AS least FROM (
+                    SELECT p.k, z.c, sum((p.x - z.x) * (p.x - z.x))::BIGINT AS d
+                    FROM parts p JOIN centroids{r} z ON p.i = z.i GROUP BY p.k, z.c
+                )
+            ) WHERE d = least GROUP BY k
+        )""")
+        if r < rounds:
+            steps.append(f"""
+        centroids{r + 1} AS MATERIALIZED (
+            SELECT z.c, z.i, coalesce(m.x, z.x) AS x FROM centroids{r} z LEFT JOIN (
+                SELECT c, i, (s - ((s % n) + n) % n) // n AS x
+                FROM (SELECT a.c, p.i, sum(p.x)::BIGINT AS s, count(*)::BIGINT AS n
+                    FROM assigned{r} a JOIN parts p ON a.k = p.k GROUP BY a.c, p.i)
+            ) m ON m.c = z.c AND m.i = z.i
+        )""")
+    return f"""
+        WITH points AS MATERIALIZED (
+            SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE len(embedding) = 64 AND list_count(embedding) = 64
+                AND len(list_filter(embedding, lambda e: NOT isfinite(e))) = 0
+        ), parts AS MATERIALIZED (SELECT k, unnest(v) AS x, unnest(range(64)) AS i FROM points),
+        centroids0 AS MATERIALIZED (
+            SELECT s.c, p.i, p.x FROM (
+                SELECT k, row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c
+                FROM points WHERE vec_id IS NOT NULL QUALIFY c < 16
+            ) s JOIN parts p ON s.k = p.k
+        ), {",".join(steps)},
+        named AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS sha FROM centroids{rounds} GROUP BY c)
+        SELECT p.vec_id, a.c::INT AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia,
+            sum(a.d) OVER ()::BIGINT AS inertia, n.sha AS centroid_sha256
+        FROM points p JOIN assigned{rounds} a ON p.k = a.k JOIN named n ON n.c = a.c
+    """
+
+
 ORACLES = {
     "op5_line_dedup": r"""
         WITH lines AS (
@@ -138,4 +210,48 @@ ORACLES = {
         SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component AS component_id, d.doc_id = c.component AS kept
         FROM documents d JOIN named c ON c.x = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
     """,
+    "op11_centroids": _centroid_sql(),
+    "op13_spelling": """
+        WITH RECURSIVE runs AS (
+            SELECT id, run, count(*) AS c FROM (
+                SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(
+                    unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+                FROM documents WHERE text IS NOT NULL
+            ) WHERE length(run) >= 6 GROUP BY id, run
+        ), halves AS (  -- half bytes of the text to hash, the lower half of each byte first
+            SELECT *, list_transform(string_split(regexp_replace(hex(encode(id || ':' || run)), '(.)(.)', '\\2\\1', 'g'), ''),
+                lambda x: (strpos('0123456789ABCDEF', x) - 1)::BIGINT) AS h
+            FROM runs
+        ), hashed AS (  -- crc32 by half bytes; the list is its table
+            SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295, h), lambda a, x: xor(a >> 4, [0, 498536548,
+                997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888,
+                3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(a, x) & 15) + 1]))) AS h
+            FROM halves
+        ), words AS MATERIALIZED (
+            SELECT word, sum(c)::BIGINT AS n FROM (
+                SELECT c, CASE WHEN h % 199 = 0
+                    THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word
+                FROM hashed
+            ) WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+        ), places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+        cuts AS MATERIALIZED (
+            SELECT word, n, i, substr(word, 1, i - 1) AS l, substr(word, i + 1) AS r FROM places
+        ), pairs AS MATERIALIZED (
+            SELECT a.word AS a, b.word AS b, b.n AS n
+            FROM cuts a JOIN cuts b ON a.i = b.i AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+            UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.l || c.r
+            UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.l || c.r
+        ), near AS (
+            SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS form, max(n) AS form_n FROM pairs GROUP BY a
+        ), found AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(m.n_near, 0) AS n_near, CASE WHEN m.form_n >= 5 * w.n THEN m.form END AS form,
+                CASE WHEN m.form_n >= 5 * w.n THEN m.form_n END AS form_n
+            FROM words w LEFT JOIN near m ON m.a = w.word
+        ), steps AS (
+            SELECT word, word AS here, 0 AS depth FROM found
+            UNION ALL SELECT s.word, f.form, depth + 1 FROM steps s JOIN found f ON f.word = s.here WHERE f.form IS NOT NULL
+        ), ends AS (SELECT word, arg_max(here, depth) AS root FROM steps GROUP BY word)
+        SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM found f JOIN ends l ON l.word = f.word
+    """,
 }
