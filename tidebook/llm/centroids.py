@@ -48,8 +48,9 @@ def starting_centroids(points: DataFrame, k: int = CENTROIDS, seed: int = SEED)
     return [[int(c) for c in row["v"]] for row in first.collect()]  # k rows
 
 
-def _literal(values: list[int], of: str = "long") -> Column:
-    return F.array(*[F.lit(c).cast(of) for c in values])
+def _literal(values: list[int], of: str) -> Column:
+    """One literal array from text: a column per number would cost the driver more than the tasks need."""
+    return F.expr(f"array({','.join(str(c) + {'long': 'L', 'double': 'D'}[of] for c in values)})")
 
 
 def _nearest(vector: Column, centroids: list[list[int]], of: str) -> Column:
