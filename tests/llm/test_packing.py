@@ -32,6 +32,34 @@ def test_ids_with_special_text(library):
     assert packing.encoder(PATH).encode(text, allowed_special="all") == library.encode(text, add_special_tokens=False).ids
 
 
+N = 1_000_000
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a" + " " * N + "b",
+        "a" + "\t" * N,
+        "\n" * N + "<|endoftext|>" + " " * N + "x",
+        "a" + "\r\n \t" * (N // 4) + "'s",
+        ("\u3000 " * 9_000 + "word ") * 3,
+        (" " * 9_999 + "x") * 20,
+        "word" * (N // 4) + " " * 20_000 + "7" * N + "?!" * (N // 2),
+    ],
+    ids=range(7),
+)
+def test_long_runs(library, text):
+    assert packing.text_encoder(PATH)(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_documents_with_long_runs_are_packed(make_docs):
+    rows = packing.pack_digest(make_docs([(1, "a" + " " * N + "b"), (2, "x")]), PATH).collect()
+    first = sorted((r for r in rows if r["doc_id"] == 1), key=lambda r: r["piece"])
+    ids = Tokenizer.from_file(PATH).encode("a" + " " * N + "b", add_special_tokens=False).ids
+    assert sum(r["length"] for r in first) == len(ids) + 1
+    assert first[-1]["ids_crc32"] == zlib.crc32(np.array([*ids, 2][-first[-1]["length"] :], dtype="<u4").tobytes())
+
+
 def check_plan(counts, capacity):
     plan = packing.plan_patterns(counts, capacity)
     used = np.zeros(capacity + 1, dtype=np.int64)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidebook.llm.byte_pairs import WORD_PATTERN, byte_letters, vocabulary
 from tidebook.llm.common import keep
 
 CAPACITY = 1024
@@ -24,18 +27,13 @@ END_ID = 2
 RANK_ROWS = 100_000
 #: Shares of the fitted repeats that are tried.
 SHARES = (0.1, 0.5, 0.8, 0.9, 1.0)
-#: Fixed: how byte-level vocabularies split text, and the token that stands for an end of text.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-# --- tokens ----------------------------------------------------------------------------------------------------
-
+#: White space beyond this many characters in a row is left to the encoder that needs no stack.
+LONG_RUN = 10_000
+BLANKS = re.compile(r"\s{2,}")
 
-def _byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: itself where printable, else from 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+# --- tokens ----------------------------------------------------------------------------------------------------
 
 
 @lru_cache(maxsize=2)
@@ -43,13 +41,26 @@ def encoder(path: str) -> tiktoken.Encoding:
     """The vocabulary file of a byte-level tokenizer; the order of its ids is the order of its merges."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    letters = _byte_letters()
+    letters = byte_letters()
     ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items()}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     return tiktoken.Encoding(path, pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def text_encoder(path: str) -> Callable[[str], np.ndarray]:
+    """The ids of a text of any kind. The fast encoder's pattern keeps a stack entry per blank of a run and fails where
+    that overflows; texts with long runs of white space go to the encoder by backtracking, which gives the same ids."""
+    fast = encoder(path)
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in BLANKS.finditer(text)):
+            return np.frombuffer(vocabulary(path).encode(text), dtype="<u4")
+        return fast.encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+    return encode
+
+
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``doc_id, piece, start, length, tokens``: the ids of each document and ``end_id``, cut where longer than a sequence.
 
     ``tokens`` are little-endian unsigned 32-bit ids. Only longer documents are cut, into pieces of full length with the
@@ -63,14 +74,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        encode = encoder(vocabulary).encode_to_numpy
+        encode = text_encoder(path)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows: list[list] = [[], [], [], [], []]
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.concatenate([encode(text or "", allowed_special="all").astype("<u4"), end])
+                    ids = np.concatenate([encode(text or ""), end])
                     first = len(ids) % capacity or capacity
                     bounds = [0, *range(first, len(ids) + 1, capacity)]
                     for piece, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
@@ -243,9 +254,9 @@ def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return done.select(*pieces.columns, "__place.sequence_id", "__place.offset")
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of documents with their tokens and places: ``doc_id, piece, start, length, tokens, sequence_id, offset``."""
-    return assign_sequences(keep(token_pieces(docs, vocabulary, capacity, end_id), "pieces"), capacity)
+    return assign_sequences(keep(token_pieces(docs, path, capacity, end_id), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -255,8 +266,8 @@ def sequences(packed: DataFrame) -> DataFrame:
     return packed.groupBy("sequence_id").agg(whole.alias("tokens"), F.count("*").alias("n_pieces"))
 
 
-def pack_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
+def pack_digest(docs: DataFrame, path: str) -> DataFrame:
     """Places with a checksum in place of the tokens, which then take no part in the shuffle."""
-    pieces = token_pieces(docs, vocabulary)
+    pieces = token_pieces(docs, path)
     narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"))
     return assign_sequences(keep(narrow, "pieces"))
