@@ -32,8 +32,8 @@ DIVISOR = 199
 MIN_LENGTH, MIN_COUNT, RATIO = 6, 5, 5
 #: Words per filter, bits per word, and bytes of filters that are broadcast in one round.
 FILTER_WORDS, BITS, ROUND_BYTES = 1 << 20, 32, 64 << 20
-#: Words whose edits are made at once.
-SLICE_ROWS = 512
+#: Words whose edits are made at once, and words per task of the search.
+SLICE_ROWS, TASK_WORDS = 512, 50_000
 #: Multiplier of the rolling hash (odd, so that it has an inverse), and its seed per code point.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -211,11 +211,12 @@ def near_pairs(words: DataFrame, filter_words: int = FILTER_WORDS, round_bytes:
     shards = {length: math.ceil(n / filter_words) for length, n in sizes.items()}
     each = {length: sizes[length] / shards[length] * BITS / 8 for length in shards}
     made = keep(filters(words, shards), "filters")
+    spread = words.repartition(max(1, sum(sizes.values()) // TASK_WORDS))
     pairs = None
     for wanted in rounds(shards, each, round_bytes):
         chosen = F.struct("length", "shard").isin([F.struct(F.lit(a), F.lit(b)) for a, b in wanted])
         held = [(r["length"], r["shard"], bytes(r["bits"])) for r in made.where(chosen).collect()]  # round_bytes
-        found = candidates(words, held, shards, letters)
+        found = candidates(spread, held, shards, letters)
         exact = found.join(words.select(F.col("word").alias("other"), F.col("n").alias("n_other")), "other")
         exact = keep(exact.selectExpr("word AS a", "n AS n_a", "other AS b", "n_other AS n_b"), "near-pairs")
         pairs = exact if pairs is None else pairs.unionByName(exact)
