@@ -382,6 +382,10 @@ ORACLES: dict[str, str] = {
     "tick_liquidity_stored": sql(*STATE, liquidity_of("latest WHERE reserves <> 0")),
     "pairs_liquidity_stored": sql(*TOTALS, UNIT_PRICES, valued("valued", LAST), ranking("ranked", "valued"), "SELECT * FROM ranked"),
     "append_tick_state": sql(CHANGES, VERSIONS, "SELECT token0, token1, token, tick, fee, height, reserves FROM versions"),
+    "append_after_failure": sql(CHANGES, VERSIONS, AFTER, RESERVES, PRICE, """SELECT 'tick_state' AS kind, height, token0, token1,
+        CAST(reserves AS DOUBLE) AS side0, CAST(tick AS DOUBLE) AS side1 FROM versions
+        UNION ALL SELECT 'price', height, token0, token1, CAST(best0 AS DOUBLE), CAST(best1 AS DOUBLE) FROM price
+        UNION ALL SELECT 'reserves', height, token0, token1, reserves0, reserves1 FROM reserves"""),
     "append_tokens": sql(RAW, DICTIONARY, "SELECT id, token, first_seq FROM tokens"),
     "append_ohlc": sql(*BEST, ohlc_of("day", HALF)),
     "ohlc_since": sql(*BEST, ohlc_of("day", HALF)),

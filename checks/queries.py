@@ -631,6 +631,32 @@ def append_tick_state(spark, sf_dir):
     )
 
 
+@register
+def append_after_failure(spark, sf_dir):
+    """Tick versions, price and reserve rows of an append that ended while it wrote and was run again."""
+    inputs = Inputs(spark, sf_dir)
+    folder = new_folder(spark, "house")
+    warehouse.store(inputs.log().where(F.col("height") <= inputs.half), folder)
+
+    def ends(name):
+        if name == "reserves":
+            raise InterruptedError(name)
+
+    try:
+        warehouse.append(inputs.log(), folder, wrote=ends)
+    except InterruptedError:
+        house = warehouse.append(inputs.log(), folder)
+    shown = {"tick_state": ("reserves", "tick"), "price": ("best0", "best1"), "reserves": ("reserves0", "reserves1")}
+    parts = [
+        house.tables()[kind].select(
+            F.lit(kind).alias("kind"), "height", "token0", "token1",
+            F.col(one).cast("double").alias("side0"), F.col(two).cast("double").alias("side1"),
+        )
+        for kind, (one, two) in shown.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @register
 def tick_liquidity_stored(spark, sf_dir):
     """Live ticks from the last snapshot and the folder after it."""

@@ -187,8 +187,25 @@ def test_appending_blocks_gives_the_warehouse_of_the_whole_log(spark, tmp_path):
     whole = warehouse.store(log, str(tmp_path / "whole"), span=4, blocks=3)
     folder = str(tmp_path / "parts")
     warehouse.store(log.where("height <= 6"), folder, span=4, blocks=3)
-    warehouse.append(log.where("height <= 13"), folder, span=4, blocks=3)
-    parts = warehouse.append(log, folder, span=4, blocks=3)
+    warehouse.append(log.where("height <= 13"), folder, span=4)
+    opened = warehouse.load(spark, folder)
+    before = {name: table.count() for name, table in opened.tables().items()}
+
+    def ends_at(last):
+        def wrote(name):
+            if name == last:
+                raise KeyboardInterrupt(name)
+
+        with pytest.raises(KeyboardInterrupt):
+            warehouse.append(log, folder, span=4, wrote=wrote)
+
+    for last in ("pairs", "reserves", "carried_reserves"):
+        ends_at(last)
+    assert {name: table.count() for name, table in warehouse.load(spark, folder).tables().items()} == before
+    parts = warehouse.append(log, folder, span=4)
+    assert {name: table.count() for name, table in opened.tables().items()} == before
+    assert warehouse.append(log, folder, span=4).tx.count() == parts.tx.count()
+    parts = warehouse.compact(spark, folder)
     for to, since in ((2, 0), (11, 4), (99, 0)):
         plain, quick = whole.tick_state.drop("height_range"), parts.tick_state_at(to, since)
         assert sorted(map(str, liquidity.tick_liquidity(quick, since, to).collect())) == sorted(

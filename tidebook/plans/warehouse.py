@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 from tidebook.operators import dimensions, events, state
 from tidebook.operators.ordered import DEFAULT_SPAN
 from tidebook.operators.snapshots import since_snapshot, snapshots
-from tidebook.schemas import MESSAGE_TYPES, TABLES
+from tidebook.schemas import CARRIED, MESSAGE_TYPES, TABLES
 from tidebook.session import scratch
+from tidebook.sources import versions
 from tidebook.sources.tables import RANGE_SPAN, read_table, without_folders, write_folders, write_table
 
 
@@ -71,6 +74,8 @@ SNAPSHOTS = {
     "tick_snapshot": ("tick_state", [*state.PAIR, "token", "tick", "fee"]),
     "reserves_snapshot": ("reserves", state.PAIR),
 }
+#: Tables of a commit that are written at the same time.
+SIDE_BY_SIDE = 6
 DICTIONARIES = ("tokens", "pairs", "tx_msg_type")
 
 
@@ -138,139 +143,201 @@ def build(
     )
 
 
-def store(log: DataFrame, folder: str, span: int = DEFAULT_SPAN, blocks: int = RANGE_SPAN) -> Warehouse:
+class _Writer:
+    """Writes the tables of one commit; nothing of them is read before ``publish``."""
+
+    def __init__(self, spark: SparkSession, folder: str, span: int, blocks: int, wrote: Callable[[str], None] | None):
+        self.spark, self.folder, self.span, self.blocks = spark, folder, span, blocks
+        self.commit, self.wrote = versions.new_commit(), wrote or (lambda name: None)
+
+    def path(self, name: str) -> str:
+        return versions.commit_folder(self.folder, name, self.commit)
+
+    def table(self, name: str, rows: DataFrame) -> DataFrame:
+        """Write the rows that this commit adds to a table and return them as stored."""
+        if name in SNAPSHOTS:
+            write_folders(rows, self.path(name), SNAPSHOTS[name][1])
+        elif name in SORT:
+            write_table(rows, self.path(name), SORT[name], self.blocks)
+        else:
+            rows.write.parquet(self.path(name))
+        self.wrote(name)
+        return self.added(name)
+
+    def tables(self, rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The same for tables that do not depend on each other: their jobs run side by side."""
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            running = {name: pool.submit(self.table, name, table) for name, table in rows.items()}
+        return {name: job.result() for name, job in running.items()}
+
+    def added(self, name: str) -> DataFrame:
+        if name in SORT:
+            return without_folders(read_table(self.spark, f"{self.folder}/{name}", TABLES[name], commits=[self.commit]))
+        return versions.read_commits(self.spark, self.folder, name, (TABLES | CARRIED)[name], [self.commit])
+
+
+def store(
+    log: DataFrame,
+    folder: str,
+    span: int = DEFAULT_SPAN,
+    blocks: int = RANGE_SPAN,
+    wrote: Callable[[str], None] | None = None,
+) -> Warehouse:
     """Write all tables under a folder, in folders of ``blocks`` blocks, and return them as read back.
 
-    The decoded events are written first and everything else is derived from the written table: the nested log is
-    decoded once, and a lost executor never makes the job decode it again. They and the change log are working tables
-    in the shared folder that go at the end.
+    Tables that are there already are replaced when all new ones are written, see ``append``.
     """
-    spark = log.sparkSession
-    with scratch(spark, "warehouse") as work:
+    before = versions.newest_version(log.sparkSession, folder)
+    number = 0 if before is None else before.number
+    return _commit(log, folder, span, versions.Version(number=number, blocks=blocks), wrote)
 
-        def working(name: str, table: DataFrame) -> DataFrame:
-            table.write.parquet(f"{work}/{name}")
-            return spark.read.schema(table.schema).parquet(f"{work}/{name}")
 
-        found = working("decoded", decoded_events(log))
-        write_table(events.load_blocks(events.valid_txs(log)), f"{folder}/block", SORT["block"], blocks)
-        block = without_folders(read_table(spark, f"{folder}/block", TABLES["block"]))
-        newest = block.agg(F.max("height")).first()[0] or 0
-        changes = working("changes", state.state_changes(events.event_tick_update(found), span))
-        dimensions.first_seen_pairs(found, span).write.mode("overwrite").parquet(f"{folder}/pairs")
-        pairs = spark.read.schema(TABLES["pairs"]).parquet(f"{folder}/pairs")
-        declared = build(log, span, blocks, newest, found, block, changes, pairs)
-        for name, table in declared.tables().items():
-            if name in ("block", "pairs", *SNAPSHOTS):
-                continue
-            if name in DICTIONARIES:
-                table.write.mode("overwrite").parquet(f"{folder}/{name}")
-            else:
-                write_table(table, f"{folder}/{name}", SORT[name], blocks)
-        for name, (source, keys) in SNAPSHOTS.items():
-            rows = without_folders(read_table(spark, f"{folder}/{source}", TABLES[source]))
-            write_folders(_snapshots(name, rows, blocks, newest), f"{folder}/{name}", keys)
-    return load(spark, folder, blocks=blocks)
-
-
-def carried(house: Warehouse) -> dict[str, DataFrame]:
-    """What derivations of later blocks have to know of a stored warehouse, one small row per key: the last reserves of
-    each tick (``marks`` without the fee, ``ticks`` with it), the totals of each pair and its best ticks."""
-    pair, price = state.PAIR, without_folders(house.price)
-    marks = house.tick_update.groupBy(*state.TICK).agg(F.max_by("reserves", "seq").alias("reserves"))
-    latest = state.latest_tick_state(house.tick_state_at(1 << 62))
-    first = F.col("token") == F.col("token0")
-    zero = F.lit(0).cast("decimal(38,0)")
-    total = lambda side: F.sum(F.when(side, F.col("reserves")).otherwise(zero)).cast("decimal(38,0)")
-    # snapshots have live ticks only; that a side was there before is in the names of the whole history
-    seen = house.tick_state.groupBy(*pair).agg(F.count_if(first).alias("seen0"), F.count_if(~first).alias("seen1"))
-    sums = latest.groupBy(*pair).agg(total(first).alias("reserves0"), total(~first).alias("reserves1"))
-    totals = seen.join(sums, pair, "left").select(
-        *pair, F.coalesce("reserves0", zero).alias("reserves0"), F.coalesce("reserves1", zero).alias("reserves1"), "seen0", "seen1"
-    )
-    best = price.groupBy(*pair).agg(F.max_by("best0", "seq").alias("best0"), F.max_by("best1", "seq").alias("best1"))
-    return {
-        "marks": marks,
-        "ticks": latest.withColumnRenamed("token", "token_in").select(*state.STATE, "reserves"),
-        "totals": totals,
-        "best": best.withColumns({"given0": F.lit(True), "given1": F.lit(True)}),
-    }
+def append(
+    log: DataFrame, folder: str, span: int = DEFAULT_SPAN, wrote: Callable[[str], None] | None = None
+) -> Warehouse:
+    """Add the blocks of ``log`` that are newer than those of a stored warehouse; older ones are ignored.
 
+    Only new blocks are decoded and only new rows written. Every derivation starts from the carried tables, which have
+    one row per key and are written anew by each commit, so no table of the history is read. All tables change at once
+    with the new version: an append that ends early at any place changes nothing and can be run again, and readers
+    meanwhile see the old tables. Of two appends at the same time one fails with ``VersionTaken``. ``wrote`` is told the
+    name of each table that has been written. The last height of a log that still grows has to be left out.
+    """
+    before = versions.newest_version(log.sparkSession, folder)
+    if before is None:
+        raise ValueError(f"no warehouse is stored in {folder}")
+    return _commit(log, folder, span, before, wrote)
 
-def append(log: DataFrame, folder: str, span: int = DEFAULT_SPAN, blocks: int = RANGE_SPAN) -> Warehouse:
-    """Add the blocks of ``log`` that are newer than those of a stored warehouse; older ones are ignored.
 
-    Only new blocks are decoded and only new rows written: every derivation starts from the state that is stored. All
-    rows are computed into working tables before the first is added; the block table, which tells what is stored, comes
-    last, and added folders are not read while that happens. The last height of a log that still grows has to be left
-    out, as for ``store``.
+def _commit(
+    log: DataFrame, folder: str, span: int, before: versions.Version, wrote: Callable[[str], None] | None
+) -> Warehouse:
+    """Derive what a log adds to a version, write it as one commit and publish the next version.
+
+    The decoded events are written first and everything else is derived from the written table: the nested log is
+    decoded once, and a lost executor never makes the job decode it again. They and the change log are working tables
+    in the shared folder that go at the end.
     """
     spark = log.sparkSession
-    house = load(spark, folder, blocks=blocks)
-    newest = house.block.agg(F.max("height")).first()[0]
-    log = log.where(F.col("height") > (-1 if newest is None else newest))
-    # the state that snapshots of later folders start from
-    since = 1 << 62
-    start = {name: getattr(house, source) for name, (source, _) in SNAPSHOTS.items()}
-    if newest is not None:
-        start = {"tick_snapshot": house.tick_state_at(since), "reserves_snapshot": house.reserves_at(since)}
-    with scratch(spark, "append") as work:
+    blocks = before.blocks or RANGE_SPAN
+    house, known = _load(spark, folder, before), carried(spark, folder, before)
+    log = log.where(F.col("height") > (-1 if before.newest is None else before.newest))
+    writer = _Writer(spark, folder, span, blocks, wrote)
+    with scratch(spark, "commit") as work:
 
         def working(name: str, table: DataFrame) -> DataFrame:
             table.write.parquet(f"{work}/{name}")
+            writer.wrote(name)
             return spark.read.schema(table.schema).parquet(f"{work}/{name}")
 
         found = working("decoded", decoded_events(log))
-        block = working("block", events.load_blocks(events.valid_txs(log)))
-        known = {name: working(f"known-{name}", table) for name, table in carried(house).items()}
+        block = writer.table("block", events.load_blocks(events.valid_txs(log)))
+        now = block.agg(F.max("height")).first()[0]
+        newest = before.newest if now is None else now
         updates = events.event_tick_update(found)
-        changes = working("changes", state.state_changes(updates, span, known["ticks"]))
-        tokens = working("tokens", dimensions.new_tokens(found, house.tokens, span))
-        pairs = working("pairs", dimensions.new_pairs(found, house.pairs, span))
-        all_pairs = house.pairs.unionByName(pairs)
-        price = state.best_price_of_changes(changes, span, known["ticks"], known["best"])
-        totals = state.reserves_of_changes(changes, span, known["totals"])
+        changes = working("changes", state.state_changes(updates, span, known["carried_ticks"]))
+        writer.table("tokens", dimensions.new_tokens(found, house.tokens, span))
+        pairs = house.pairs.unionByName(writer.table("pairs", dimensions.new_pairs(found, house.pairs, span)))
+        best = known["carried_best"].withColumns({"given0": F.lit(True), "given1": F.lit(True)})
+        price = state.best_price_of_changes(changes, span, known["carried_ticks"], best)
+        totals = state.reserves_of_changes(changes, span, known["carried_totals"])
         new = {
             "tx": events.load_txs(log),
             "tx_msg": messages(found),
-            "events": events.pair_action_flags(found, working("all-pairs", all_pairs)),
+            "events": events.pair_action_flags(found, pairs),
             "deposit": events.event_deposit(found),
             "withdraw": events.event_withdraw(found),
             "place_order": events.event_place_order(found),
-            "tick_update": state.reserves_diff(updates, span=span, carry=known["marks"]),
+            "tick_update": state.reserves_diff(updates, span=span, carry=known["carried_marks"]),
             "rejected": events.rejected_tick_updates(found),
             "tick_state": state.versions_of_changes(changes),
             "price": dimensions.join_event_time(price, block),
             "reserves": dimensions.join_event_time(totals, block),
         }
-        ready = {name: working(f"new-{name}", table) for name, table in new.items()} | {"block": block}
-        now = block.agg(F.max("height")).first()[0]
-        taken = {}
-        if now is not None:
-            done = -1 if newest is None else newest // blocks
-            for name, (source, _) in SNAPSHOTS.items():
-                rows = without_folders(start[name]).unionByName(ready[source])
-                taken[name] = working(f"new-{name}", _snapshots(name, rows, blocks, now, done))
-        for name, table in (("tokens", tokens), ("pairs", pairs)):
-            table.write.mode("append").parquet(f"{folder}/{name}")
-        for name, table in taken.items():
-            write_folders(table, f"{folder}/{name}", SNAPSHOTS[name][1], "append")
-        for name, table in ready.items():
-            write_table(table, f"{folder}/{name}", SORT[name], blocks, mode="append")
-    return load(spark, folder, blocks=blocks)
-
-
-def load(
-    spark: SparkSession, folder: str, from_height: int = 0, to_height: int | None = None, blocks: int = RANGE_SPAN
+        added = writer.tables(new)
+        rest = _carried_on(known, added, changes)
+        done = -1 if before.newest is None else before.newest // blocks
+        for name, (source, _) in SNAPSHOTS.items():
+            start = known["carried_ticks" if source == "tick_state" else "carried_reserves"]
+            rows = start.withColumnRenamed("token_in", "token").unionByName(added[source])
+            rest[name] = _snapshots(name, rows, blocks, -1 if newest is None else newest, done)
+        writer.tables(rest)
+    once = ["tx_msg_type"] if "tx_msg_type" not in before.commits else []
+    for name in once:
+        writer.table(name, message_types(spark))
+    adds = ["block", "tokens", "pairs", *new, *SNAPSHOTS, *once]
+    after = replace(before.following(writer.commit, adds, list(CARRIED), newest), blocks=blocks)
+    versions.publish(spark, folder, after)
+    return load(spark, folder)
+
+
+def carried(spark: SparkSession, folder: str, version: versions.Version) -> dict[str, DataFrame]:
+    """What derivations of later blocks have to know of a version, one small row per key: the last reserves of each tick
+    (``marks`` without the fee, ``ticks`` with it, also of empty ones), the totals and best ticks of each pair and its
+    newest row of reserves."""
+    return {
+        name: versions.read_commits(spark, folder, name, schema, version.commits.get(name, []))
+        for name, schema in CARRIED.items()
+    }
+
+
+def _carried_on(known: dict[str, DataFrame], added: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:
+    """The carried tables after the added rows, from those before them."""
+
+    def newest(name: str, rows: DataFrame, keys: list[str]) -> DataFrame:
+        old = known[name]
+        return state.upsert_latest(old.unionByName(rows.select(old.columns)), keys, "seq")
+
+    first = F.col("token_in") == F.col("token0")
+    zero = F.lit(0).cast("decimal(38,0)")
+    sums = changes.select(
+        *state.PAIR,
+        F.when(first, F.col("change")).otherwise(zero).alias("reserves0"),
+        F.when(first, zero).otherwise(F.col("change")).alias("reserves1"),
+        first.cast("long").alias("seen0"),
+        (~first).cast("long").alias("seen1"),
+    )
+    every = known["carried_totals"].unionByName(sums)
+    kinds = {f.name: f.dataType for f in known["carried_totals"].schema}
+    totals = every.groupBy(*state.PAIR).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in state.TOTALS])
+    return {
+        "carried_marks": newest("carried_marks", added["tick_update"], state.TICK).where("reserves <> 0"),
+        "carried_ticks": newest("carried_ticks", added["tick_state"].withColumnRenamed("token", "token_in"), state.STATE),
+        "carried_totals": totals,
+        "carried_best": newest("carried_best", added["price"], state.PAIR),
+        "carried_reserves": newest("carried_reserves", added["reserves"], state.PAIR),
+    }
+
+
+def compact(spark: SparkSession, folder: str) -> Warehouse:
+    """Write the rows of many small commits as one, with the files of a single ``store``; the tables stay the same."""
+    before = versions.newest_version(spark, folder)
+    if before is None:
+        raise ValueError(f"no warehouse is stored in {folder}")
+    writer = _Writer(spark, folder, DEFAULT_SPAN, before.blocks, None)
+    for name, table in _load(spark, folder, before).tables().items():
+        writer.table(name, table if name in SNAPSHOTS else without_folders(table))
+    versions.publish(spark, folder, before.following(writer.commit, [], list(TABLES), before.newest))
+    return load(spark, folder)
+
+
+def load(spark: SparkSession, folder: str, from_height: int = 0, to_height: int | None = None) -> Warehouse:
+    """Open the newest version of a stored warehouse; later writes do not change what was opened."""
+    version = versions.newest_version(spark, folder)
+    if version is None:
+        raise ValueError(f"no warehouse is stored in {folder}")
+    return _load(spark, folder, version, from_height, to_height)
+
+
+def _load(
+    spark: SparkSession, folder: str, version: versions.Version, from_height: int = 0, to_height: int | None = None
 ) -> Warehouse:
-    """Open a stored warehouse; ``blocks`` is the number it was stored with."""
     found = {}
     for name, schema in TABLES.items():
-        path = f"{folder}/{name}"
+        commits = version.commits.get(name, [])
         if name in DICTIONARIES:
-            found[name] = spark.read.schema(schema).parquet(path)
-        elif name in SNAPSHOTS:
-            found[name] = read_table(spark, path, schema, span=blocks)
-        else:
-            found[name] = read_table(spark, path, schema, from_height, to_height, blocks)
+            found[name] = versions.read_commits(spark, folder, name, schema, commits)
+            continue
+        heights = (0, None) if name in SNAPSHOTS else (from_height, to_height)
+        found[name] = read_table(spark, f"{folder}/{name}", schema, *heights, version.blocks or RANGE_SPAN, commits)
     return Warehouse(**found)

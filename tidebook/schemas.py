@@ -129,3 +129,13 @@ TABLES = {
     "price": f"height long, seq long, {_PAIR}, best0 int, best1 int, last int, time_unix long",
     "reserves": f"height long, seq long, {_PAIR}, reserves0 double, reserves1 double, time_unix long",
 }
+
+# What later blocks have to know of a stored warehouse: one row per key, whatever the length of the history.
+_TICK = f"{_PAIR}, token_in string, tick int"
+CARRIED = {
+    "carried_marks": f"{_TICK}, reserves decimal(38,0), seq long",
+    "carried_ticks": f"{_TICK}, fee int, reserves decimal(38,0), height long, seq long",
+    "carried_totals": f"{_PAIR}, reserves0 decimal(38,0), reserves1 decimal(38,0), seen0 long, seen1 long",
+    "carried_best": f"{_PAIR}, best0 int, best1 int, seq long",
+    "carried_reserves": TABLES["reserves"],
+}

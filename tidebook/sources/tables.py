@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook.sources.versions import read_commits
+
 # Blocks per folder, and blocks whose rows go to one file.
 RANGE_SPAN = 100000
 FILE_SPAN = 2000
@@ -49,13 +51,17 @@ def read_table(
     from_height: int = 0,
     to_height: int | None = None,
     span: int = RANGE_SPAN,
+    commits: list[str] | None = None,
 ) -> DataFrame:
-    """Read a written table; a height range prunes folders first and then row groups.
+    """Read a written table, or some commits of it; a height range prunes folders first and then row groups.
 
     The folder number stays as a column that knows its span, so that ranges asked for later prune folders as well;
     ``without_folders`` takes it away.
     """
-    df = spark.read.schema(f"{schema}, {RANGE} long").parquet(path)
+    if commits is None:
+        df = spark.read.schema(f"{schema}, {RANGE} long").parquet(path)
+    else:
+        df = read_commits(spark, *path.rsplit("/", 1), f"{schema}, {RANGE} long", commits)
     df = df.withColumn(RANGE, F.col(RANGE).alias(RANGE, metadata={SPAN: span}))
     if from_height > 0:
         df = df.where((F.col(RANGE) >= from_height // span) & (F.col("height") > from_height))
