@@ -1,9 +1,12 @@
-"""Registered streaming queries: the driver's events arrive as a few files and are followed to their end."""
+"""Registered streaming queries: the driver's events arrive part by part and are followed to their end."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from checks.queries import Inputs, register
 from tidebook.operators import events
@@ -12,29 +15,44 @@ from tidebook.sources.tx_log import stream_tx_log as open_stream
 from tidebook.streaming import windows
 from tidebook.streaming.follow import UPDATE, CompletedBlocks, ReservesDiff, TickBook, finish, follow
 from tidebook.streaming.log import LogBook
+from tidebook.streaming.state_table import BatchOutput
 
-ARRIVALS = 4
+#: Rows of an arrival; a small table still arrives in several parts.
+ARRIVAL_ROWS = 5_000_000
+FEWEST_ARRIVALS = 4
 
 
-def arrive(rows: DataFrame, folder: str, order: str = "height", arrivals: int = ARRIVALS) -> str:
-    """Write rows as files that arrive one after the other, in the order of a column."""
+def arrivals(rows: DataFrame, folder: str, order: str = "height") -> Iterator[str]:
+    """Rows that arrive part by part in the order of a column; a part has the files of all tasks and appears at once."""
+    spark = rows.sparkSession
     rows.write.parquet(f"{folder}/all")
-    stored = rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/all")
-    newest = stored.agg(F.max(order)).first()[0]
-    step = newest // arrivals + 1
-    for i in range(arrivals):
-        part = stored.where((F.col(order) >= i * step) & (F.col(order) < (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/arrived")
-    return f"{folder}/arrived"
+    stored = spark.read.schema(rows.schema).parquet(f"{folder}/all")
+    newest, count = stored.agg(F.max(order), F.count(F.lit(1))).first()
+    step = newest // max(FEWEST_ARRIVALS, count // ARRIVAL_ROWS) + 1
+    output = BatchOutput(spark, f"{folder}/arrived", "")
+    for i in range(newest // step + 1):
+        output.write(i, stored.where((F.col(order) >= i * step) & (F.col(order) < (i + 1) * step)))
+        yield f"{folder}/arrived/*"
 
 
-def follow_updates(inputs: Inputs, folder: str, advance, arrivals: int = ARRIVALS) -> None:
-    # cut by event, so that a block can be split between two arrivals
-    arrived = arrive(inputs.updates(), folder, "seq", arrivals)
-    stream = inputs.spark.readStream.schema(UPDATE).option("maxFilesPerTrigger", 1).parquet(arrived)
+def follow_parts(rows: DataFrame, folder: str, order: str, run: Callable[[str], StreamingQuery]) -> StreamingQuery:
+    """Run a query to its end after each arrival, going on from its checkpoint as after a restart."""
+    query = None
+    for path in arrivals(rows, folder, order):
+        query = run(path)
+        query.awaitTermination()
+    return query
+
+
+def follow_updates(inputs: Inputs, folder: str, advance) -> None:
     gate = CompletedBlocks(inputs.spark, f"{folder}/gate")
-    query = follow(stream, advance, gate, f"{folder}/checkpoint", available_now=True)
-    query.awaitTermination()
+
+    def run(path: str) -> StreamingQuery:
+        stream = inputs.spark.readStream.schema(UPDATE).parquet(path)
+        return follow(stream, advance, gate, f"{folder}/checkpoint", available_now=True)
+
+    # cut by event, so that a block can be split between two arrivals
+    query = follow_parts(inputs.updates(), folder, "seq", run)
     finish(advance, gate, query.lastProgress["batchId"] + 1)
 
 
@@ -42,16 +60,18 @@ def follow_updates(inputs: Inputs, folder: str, advance, arrivals: int = ARRIVAL
 def stream_tx_log(spark, sf_dir):
     inputs = Inputs(spark, sf_dir)
     folder = new_folder(spark, "stream-log")
-    arrived = arrive(inputs.log(), folder)
-    stream = events.valid_txs(open_stream(spark, arrived, module=None, files_per_trigger=1))
-    query = (
-        stream.select("height", "txhash", F.size("events").alias("n_events"))
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{folder}/out")
-    )
-    query.awaitTermination()
+
+    def run(path: str) -> StreamingQuery:
+        stream = events.valid_txs(open_stream(spark, path, module=None))
+        return (
+            stream.select("height", "txhash", F.size("events").alias("n_events"))
+            .writeStream.format("parquet")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{folder}/out")
+        )
+
+    follow_parts(inputs.log(), folder, "height", run)
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -88,12 +108,14 @@ def stream_tick_book(spark, sf_dir):
 def _followed_log(spark, sf_dir) -> LogBook:
     inputs = Inputs(spark, sf_dir)
     folder = new_folder(spark, "stream-log-book")
-    # cut by transaction, so that a block can be split between two arrivals
-    arrived = arrive(inputs.log(), folder, "position")
-    stream = open_stream(spark, arrived, module=None, files_per_trigger=1)
     follower = LogBook(spark, folder, compact_every=2)
-    query = follow(stream, follower.advance, follower.gate, f"{folder}/checkpoint", available_now=True)
-    query.awaitTermination()
+
+    def run(path: str) -> StreamingQuery:
+        stream = open_stream(spark, path, module=None)
+        return follow(stream, follower.advance, follower.gate, f"{folder}/checkpoint", available_now=True)
+
+    # cut by transaction, so that a block can be split between two arrivals
+    query = follow_parts(inputs.log(), folder, "position", run)
     finish(follower.advance, follower.gate, query.lastProgress["batchId"] + 1)
     return follower
 
@@ -121,18 +143,17 @@ def stream_log_to_windows(spark, sf_dir):
     query, output = windows.write_updates(
         windows.tvl_windows(follower.stream("reserves"), "1 hour"), f"{folder}/out", f"{folder}/checkpoint", available_now=True
     )
-    query.awaitTermination()
+    windows.end(query)
     return windows.current_windows(output)
 
 
 def _windowed(spark, rows: DataFrame, make, having_amount: bool = False) -> DataFrame:
     folder = new_folder(spark, "stream-windows")
-    arrived = arrive(rows, folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
-    query, output = windows.write_updates(
-        make(stream), f"{folder}/out", f"{folder}/checkpoint", available_now=True
-    )
-    query.awaitTermination()
+    output = None
+    for path in arrivals(rows, folder):
+        stream = make(spark.readStream.schema(rows.schema).parquet(path))
+        query, output = windows.write_updates(stream, f"{folder}/out", f"{folder}/checkpoint", available_now=True)
+        windows.end(query)
     return windows.current_windows(output, having_amount)
 
 

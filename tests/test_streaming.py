@@ -1,13 +1,14 @@
 """A followed log gives the rows of a full run."""
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tests import brute
 from tidebook.operators import changes, state
 from tidebook.streaming import windows
 from tidebook.streaming.follow import UPDATE, CompletedBlocks, TickBook, finish, follow
-from tidebook.streaming.state_table import StateTable
+from tidebook.streaming.state_table import BatchOutput, StateTable
 
 
 def rows_of(df, columns):
@@ -77,6 +78,44 @@ def test_state_table_compacts(spark, tmp_path):
     assert rows_of(table.before(6), ["k", "v"]) == [("a", 3), ("b", 5), ("c", 4)]
 
 
+PRICES = "seq long, token0 string, token1 string, time_unix long, last int"
+
+
+def prices(n):
+    return [(i, "A", f"B{i % 3}", i * 400, i * 7 % 100) for i in range(n)]
+
+
+def run_windows(spark, path, folder, limit=None):
+    reader = spark.readStream.schema(PRICES)
+    stream = (reader.option("maxFilesPerTrigger", limit) if limit else reader).parquet(path)
+    return windows.write_updates(windows.ohlc_windows(stream, "1 hour"), f"{folder}/out", f"{folder}/checkpoint", available_now=True)
+
+
+def test_batches_of_many_files_give_the_windows_of_one_read(spark, tmp_path):
+    rows = prices(240)
+    output = BatchOutput(spark, str(tmp_path / "rows"), PRICES)
+    expected = {}
+    for i, token0, token1, time, last in rows:
+        first = expected.setdefault((token1, time // 3600 * 3600), [last, last, last, last])
+        first[1:] = [max(first[1], last), min(first[2], last), last]
+    for batch, (low, high) in enumerate(((0, 90), (90, 100), (100, 240))):
+        part = spark.createDataFrame(rows[low:high], PRICES).repartition(5, "seq")  # no file is in the order of time
+        for _ in range(2):  # a batch that runs again writes nothing new
+            assert output.write(batch, part).count() == high - low
+        query, found = run_windows(spark, output.folder, str(tmp_path / "windows"))
+        windows.end(query)
+    columns = ["token1", "time_unix", "open", "high", "low", "close"]
+    assert rows_of(windows.current_windows(found), columns) == sorted(((*k, *v) for k, v in expected.items()), key=str)
+    assert output.read().count() == 240
+
+
+def test_a_torn_batch_is_an_error(spark, tmp_path):
+    output = BatchOutput(spark, str(tmp_path / "rows"), PRICES)
+    output.write(0, spark.createDataFrame(prices(240), PRICES).repartition(4, "seq"))
+    with pytest.raises((windows.LateRows, StreamingQueryException)):
+        windows.end(run_windows(spark, output.folder, str(tmp_path / "windows"), limit=1)[0])
+
+
 def test_windows_are_updated(spark, tmp_path):
     arrived = str(tmp_path / "prices")
     schema = "seq long, token0 string, token1 string, time_unix long, last int"

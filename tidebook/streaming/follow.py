@@ -27,31 +27,34 @@ class CompletedBlocks:
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema: str = UPDATE):
-        self.pending = BatchOutput(spark, f"{folder}/pending", schema)
+        self.received = BatchOutput(spark, f"{folder}/received", schema)
         self.handed_on = BatchOutput(spark, f"{folder}/handed-on", "height long")
         self.spark, self.schema = spark, schema
 
     def last_handed_on(self, batch: int) -> int:
         """Newest height handed on by the batches below ``batch``, -1 before the first."""
-        if batch <= 0:
-            return -1
-        return self.spark.read.schema("height long").parquet(f"{self.handed_on.folder}/batch={batch - 1}").first()[0]
+        return -1 if batch <= 0 else self.handed_on.of(batch - 1).first()[0]
 
     def _waiting(self, batch: int) -> DataFrame:
         if batch <= 0:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.pending.folder}/batch={batch - 1}")
+        return self.received.of(batch - 1).where(F.col("height") > self.last_handed_on(batch))
 
     def complete(self, rows: DataFrame, batch: int) -> DataFrame:
-        """Complete rows of this batch, with those that waited; at most one block of rows is held back."""
-        found = rows.unionByName(self._waiting(batch))
+        """Complete rows of this batch, with those that waited; at most one block of rows is held back.
+
+        The rows are evaluated once: they are written, and bounds, result and what waits are read from that. Rows of
+        batches that cannot run again are deleted.
+        """
+        found = self.received.write(batch, rows.unionByName(self._waiting(batch)))
         lowest, newest = found.agg(F.min("height"), F.max("height")).first()
         done = self.last_handed_on(batch)
         if lowest is not None and lowest <= done:
+            self.received.remove(batch)
             raise ValueError(f"rows of block {lowest} arrived after block {done} was handed on")
         limit = -1 if newest is None else newest
-        self.pending.write(batch, found.where(F.col("height") >= limit))
         self.handed_on.write(batch, self.spark.createDataFrame([(max(done, limit - 1),)], "height long"))
+        self.received.remove(batch - 2)
         return found.where(F.col("height") < limit)
 
     def rest(self, batch: int) -> DataFrame:

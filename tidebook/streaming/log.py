@@ -52,10 +52,11 @@ class LogBook:
             columns = [c.split()[0] for c in output.schema.split(", ")]
             output.write(batch, dimensions.join_event_time(rows, block).select(*columns))
 
-    def stream(self, name: str, batches_per_trigger: int | None = None) -> DataFrame:
-        """Timed rows as a stream, oldest batch first: ``reserves``, ``price`` or ``swaps``."""
+    def stream(self, name: str) -> DataFrame:
+        """Timed rows as a stream: ``reserves``, ``price`` or ``swaps``.
+
+        A trigger takes all whole batches that are there. Files of a batch are not in the order of time, so a limit on files
+        would tear batches apart and let the watermark pass rows that have not been read.
+        """
         output = self.timed[name]
-        reader = self.spark.readStream.schema(f"{output.schema}, batch long")
-        if batches_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", batches_per_trigger)
-        return reader.parquet(output.folder).drop("batch")
+        return self.spark.readStream.schema(f"{output.schema}, batch long").parquet(output.folder).drop("batch")

@@ -7,10 +7,15 @@ a batch that is run again after a failure overwrites its own output and nothing
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidebook.session import remove
+from tidebook.sources.versions import rename_once
+
 _BATCH = "_batch"
 
 
@@ -57,16 +62,36 @@ class StateTable:
 
 
 class BatchOutput:
-    """Rows produced per batch, one folder per batch number."""
+    """Rows produced per batch, one folder per batch number.
+
+    A folder is written aside and appears whole by one rename, which never replaces another: whoever follows the folder
+    as a stream sees all files of a batch or none, and a batch that runs again gives back what it wrote before, under the
+    same file names, so that nothing downstream takes it for new rows.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, schema: str):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
 
     def write(self, batch: int, rows: DataFrame) -> DataFrame:
         """Write the rows of a batch and return them as stored, so that nothing computes them again."""
-        path = f"{self.folder}/batch={batch}"
-        rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        place = fs.Path(f"{self.folder}/batch={batch}")
+        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(place):
+            aside = f"{self.folder}.aside/{uuid.uuid4().hex}"
+            rows.write.parquet(aside)
+            files.mkdirs(fs.Path(self.folder))
+            if not rename_once(self.spark, fs.Path(aside), place):
+                remove(self.spark, aside)
+        return self.of(batch, rows.schema)
+
+    def of(self, batch: int, schema: T.StructType | str | None = None) -> DataFrame:
+        """The stored rows of one batch."""
+        return self.spark.read.schema(schema or self.schema).parquet(f"{self.folder}/batch={batch}")
+
+    def remove(self, batch: int) -> None:
+        """Delete the rows of a batch that nobody needs any more."""
+        remove(self.spark, f"{self.folder}/batch={batch}")
 
     def read(self) -> DataFrame:
         """All rows written so far, with their ``batch``."""

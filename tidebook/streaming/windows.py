@@ -1,7 +1,8 @@
 """Tumbling windows over streams, updated as blocks arrive.
 
-The input is ordered by block time, so the watermark has no delay. Aggregation is partial on the map side; a hot
-pair adds one small row per task and window to the shuffle.
+What a trigger reads has to be later than what triggers before it read, as whole batches of a followed log are: the
+watermark has no delay. A row that comes after its window was closed ends the stream with ``LateRows``; none is dropped in
+silence. Aggregation is partial on the map side; a hot pair adds one small row per task and window to the shuffle.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from tidebook.streaming.state_table import BatchOutput
 PAIR = ["token0", "token1"]
 
 
+class LateRows(RuntimeError):
+    """Rows came after their window was closed, so that results would lack them."""
+
+
 def windowed(rows: DataFrame, size: str, offset: int = 0):
     """Group a stream with ``time_unix`` by pair and window."""
     timed = rows.withColumn("ts", F.timestamp_seconds("time_unix")).withWatermark("ts", "0 seconds")
@@ -69,16 +74,36 @@ def volume_windows(swaps: DataFrame, size: str, offset: int = 0) -> DataFrame:
 def write_updates(
     windows: DataFrame, folder: str, checkpoint: str, available_now: bool = False, interval: str = "500 milliseconds"
 ) -> tuple[StreamingQuery, BatchOutput]:
-    """Write the windows changed by each batch; ``current_windows`` folds them."""
+    """Write the windows changed by each batch; ``current_windows`` folds them.
+
+    After a late row the next batch fails, and so does ``end``, which waits for the last one.
+    """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in windows.schema)
     output = BatchOutput(windows.sparkSession, folder, schema)
-    writer = (
-        windows.writeStream.outputMode("update")
-        .foreachBatch(lambda rows, batch: output.write(batch, rows) and None)
-        .option("checkpointLocation", checkpoint)
-    )
+    started: list[StreamingQuery] = []
+
+    def step(rows: DataFrame, batch: int) -> None:
+        if started:
+            ensure_no_late_rows(started[0])
+        output.write(batch, rows)
+
+    writer = windows.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    return writer.trigger(**trigger).start(), output
+    started.append(writer.trigger(**trigger).start())
+    return started[0], output
+
+
+def ensure_no_late_rows(query: StreamingQuery) -> None:
+    """Raise ``LateRows`` when a window has missed rows."""
+    late = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    if late:
+        raise LateRows(f"{late} groups of rows came after their window was closed")
+
+
+def end(query: StreamingQuery) -> None:
+    """Wait for the end of a query over what is there, and make sure that every row was counted."""
+    query.awaitTermination()
+    ensure_no_late_rows(query)
 
 
 def current_windows(output: BatchOutput, having_amount: bool = False) -> DataFrame:
