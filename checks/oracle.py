@@ -117,6 +117,12 @@ def sql(*parts: str) -> str:
     return "WITH " + ",".join([EV, *parts[:-1]]) + "\n" + parts[-1]
 
 
+def larger(value: str) -> str:
+    """Text of ``10**40 + 1`` times a number."""
+    digits = f"CAST(abs({value}) AS VARCHAR)"
+    return f"""CASE WHEN {value} = 0 THEN '0' ELSE CASE WHEN {value} < 0 THEN '-' ELSE '' END || {digits} || lpad({digits}, 40, '0') END"""
+
+
 def bucket(time: str, resolution: str, offset: int | str = 0) -> str:
     return f"CAST(epoch(date_trunc('{resolution}', make_timestamp(({time} - ({offset})) * 1000000))) AS BIGINT) + ({offset})"
 
@@ -386,6 +392,13 @@ ORACLES: dict[str, str] = {
         CAST(reserves AS DOUBLE) AS side0, CAST(tick AS DOUBLE) AS side1 FROM versions
         UNION ALL SELECT 'price', height, token0, token1, CAST(best0 AS DOUBLE), CAST(best1 AS DOUBLE) FROM price
         UNION ALL SELECT 'reserves', height, token0, token1, reserves0, reserves1 FROM reserves"""),
+    "wide_amounts": sql(DIFFS, CHANGES, VERSIONS, AFTER, RESERVES, PRICE, f"""SELECT 'tick_update' AS kind, height, token0, token1,
+        ({larger('reserves')}) || ' ' || ({larger('reserves_diff')}) AS amounts, CAST(tick AS DOUBLE) AS number0, CAST(NULL AS DOUBLE) AS number1
+        FROM diffs
+        UNION ALL SELECT 'tick_state', height, token0, token1, {larger('reserves')}, CAST(tick AS DOUBLE), CAST(fee AS DOUBLE) FROM versions
+        UNION ALL SELECT 'price', height, token0, token1, NULL, CAST(best0 AS DOUBLE), CAST(best1 AS DOUBLE) FROM price
+        UNION ALL SELECT 'reserves', height, token0, token1, NULL, CAST({larger('CAST(reserves0 AS BIGINT)')} AS DOUBLE),
+          CAST({larger('CAST(reserves1 AS BIGINT)')} AS DOUBLE) FROM reserves"""),
     "append_tokens": sql(RAW, DICTIONARY, "SELECT id, token, first_seq FROM tokens"),
     "append_ohlc": sql(*BEST, ohlc_of("day", HALF)),
     "ohlc_since": sql(*BEST, ohlc_of("day", HALF)),

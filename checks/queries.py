@@ -657,6 +657,39 @@ def append_after_failure(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@register
+def wide_amounts(spark, sf_dir):
+    """Changes, tick versions, totals and best prices of a log whose amounts are ``10**40 + 1`` times as large."""
+    inputs = Inputs(spark, sf_dir)
+
+    def larger(a):
+        far = (a["key"] == "Reserves") & a["value"].rlike("^[1-9]")
+        value = F.when(far, F.concat(a["value"], F.lpad(a["value"], 40, "0"))).otherwise(a["value"])
+        return F.struct(a["key"].alias("key"), value.alias("value"))
+
+    one = lambda e: F.struct(e["type"].alias("type"), F.transform(e["attributes"], larger).alias("attributes"))
+    log = inputs.log().withColumn("events", F.transform("events", one))
+    folder = new_folder(spark, "house")
+    warehouse.store(log.where(F.col("height") <= inputs.half), folder)
+    house = warehouse.append(log, folder)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.col(f"{c}_wide"))
+    none = F.lit(None).cast("double")
+    shown = {
+        "tick_update": (F.concat_ws(" ", text("reserves"), text("reserves_diff")), F.col("tick"), none),
+        "tick_state": (text("reserves"), F.col("tick"), F.col("fee")),
+        "price": (F.lit(None).cast("string"), F.col("best0"), F.col("best1")),
+        "reserves": (F.lit(None).cast("string"), F.col("reserves0"), F.col("reserves1")),
+    }
+    parts = [
+        house.tables()[kind].select(
+            F.lit(kind).alias("kind"), "height", "token0", "token1",
+            amounts.alias("amounts"), a.cast("double").alias("number0"), b.cast("double").alias("number1"),
+        )
+        for kind, (amounts, a, b) in shown.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register
 def tick_liquidity_stored(spark, sf_dir):
     """Live ticks from the last snapshot and the folder after it."""

@@ -20,6 +20,7 @@ from tidebook.functions import (
     message_type_id,
     pack_seq,
 )
+from tidebook.functions.wide import beyond, wide_amount
 from tidebook.schemas import DEX_ACTIONS, DEX_EVENT_TYPES, DEX_MODULE
 
 
@@ -227,6 +228,16 @@ def _amount(key: str) -> Column:
     return amount(F.col("attributes")[key])
 
 
+def with_wide_texts(rows: DataFrame, events: DataFrame, amounts: dict[str, str]) -> DataFrame:
+    """Typed events with a column ``<amount>_wide`` for the text of amounts that have more than 38 digits.
+
+    ``amounts`` names the attribute of each amount; only events with such a text are looked up.
+    """
+    texts = {name: beyond(_text(key)).alias(f"{name}_wide") for name, key in amounts.items()}
+    found = events.where(dex_filter()).select("seq", *texts.values()).where(F.coalesce(*[f"{n}_wide" for n in texts]).isNotNull())
+    return rows.join(found, "seq", "left")
+
+
 def event_deposit(events: DataFrame) -> DataFrame:
     return events.where(dex_filter() & (_text("action") == "DepositLP")).select(
         *_keys(events),
@@ -300,9 +311,17 @@ def event_tick_update(events: DataFrame) -> DataFrame:
     )
 
 
+def wide_tick_updates(events: DataFrame) -> DataFrame:
+    """Tick updates whose reserves have more than 38 digits, as limbs."""
+    given = F.col("_reserves")
+    wide = _tick_updates(events).where(amount(given).isNull()).withColumn("reserves", wide_amount(given))
+    return wide.where(F.col("reserves").isNotNull()).drop("_reserves")
+
+
 def rejected_tick_updates(events: DataFrame) -> DataFrame:
-    """Tick updates whose reserves do not fit an exact 38-digit integer, with the original text."""
-    return _tick_updates(events).where(amount(F.col("_reserves")).isNull()).withColumnRenamed(
+    """Tick updates whose reserves are no integer, with the original text."""
+    given = F.col("_reserves")
+    return _tick_updates(events).where(amount(given).isNull() & wide_amount(given).isNull()).withColumnRenamed(
         "_reserves", "reserves_text"
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.functions import as_column, round_significant
+from tidebook.functions.wide import total
 from tidebook.operators.ordered import number_rows
 from tidebook.operators.ranges import block_range, check_range
 from tidebook.operators.state import latest_tick_state, live_ticks
@@ -32,7 +33,7 @@ def tick_liquidity(versions: DataFrame, from_height: Column | int = 0, to_height
         kept = live_ticks(latest)
     else:
         kept = ticks_changed(latest, versions, from_height, to_height)
-    return kept.groupBy(*TICK).agg(F.sum("reserves").cast("double").alias("reserves")).select(
+    return kept.groupBy(*TICK).agg(total(kept, "reserves").alias("reserves")).select(
         *PAIR, "token", (-F.col("tick")).alias("tick"), round_significant(F.col("reserves"), 3).alias("reserves")
     )
 

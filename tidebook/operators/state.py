@@ -1,7 +1,8 @@
 """State derived from tick updates: reserve changes, tick state, best prices and reserve totals.
 
 Input rows of every function here are tick updates with ``seq, height, token0, token1, token_in, tick, fee,
-reserves`` (``reserves`` an exact decimal). Extra columns pass through.
+reserves``. Extra columns pass through. ``reserves`` is an exact decimal, or limbs of ``functions.wide`` for numbers of more
+digits; changes and exact totals then are limbs as well, and so must be what is carried.
 """
 
 from __future__ import annotations
@@ -10,11 +11,21 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebook.functions import amount_difference
+from tidebook.functions.wide import (
+    from_limb_columns,
+    is_positive,
+    is_wide,
+    limb_columns,
+    total,
+    wide_difference,
+    wide_text,
+    wide_zero,
+)
 from tidebook.operators.ordered import (
     CHUNK,
     CHUNK_LEVELS,
@@ -27,11 +38,24 @@ from tidebook.operators.ranges import block_range
 from tidebook.schemas import AMOUNT
 from tidebook.session import cut
 
+def _zero(wide: bool) -> Column:
+    return wide_zero() if wide else F.lit(0).cast(AMOUNT)
+
+
+def _difference(current: Column, previous: Column, wide: bool) -> Column:
+    return wide_difference(current, previous) if wide else amount_difference(current, previous)
+
+
+def _live(value: Column, wide: bool) -> Column:
+    return is_positive(value) if wide else value > 0
+
+
 PAIR = ["token0", "token1"]
 TICK = [*PAIR, "token_in", "tick"]
 STATE = [*TICK, "fee"]
 SIDE = [*PAIR, "side"]
-TOTALS = ["reserves0", "reserves1", "seen0", "seen1"]
+RESERVES = ["reserves0", "reserves1"]
+TOTALS = [*RESERVES, "seen0", "seen1"]
 
 
 def reserves_diff(
@@ -42,11 +66,12 @@ def reserves_diff(
     The previous update is looked up without the fee unless ``by_fee`` is set.
     """
     keys = STATE if by_fee else TICK
-    given = updates.withColumn("reserves", F.coalesce("reserves", F.lit(0).cast(AMOUNT)))
+    wide = is_wide(updates, "reserves")
+    given = updates.withColumn("reserves", F.coalesce("reserves", _zero(wide)))
     return (
         previous_value(given, keys, "seq", "reserves", "_previous", span=span, carry=carry)
-        .withColumn("reserves_diff", amount_difference(F.col("reserves"), F.col("_previous")))
-        .where(F.col("reserves_diff") != 0)
+        .withColumn("reserves_diff", _difference(F.col("reserves"), F.col("_previous"), wide))
+        .where(F.col("reserves_diff") != _zero(wide))
         .drop("_previous", CHUNK)
     )
 
@@ -55,7 +80,7 @@ def state_changes(updates: DataFrame, span: int = DEFAULT_SPAN, carry: DataFrame
     """Updates that set a new value for their (pair, token, tick, fee), with the change and the chunk."""
     changed = previous_value(updates, STATE, "seq", "reserves", "previous", span=span, carry=carry)
     return changed.where(~F.col("reserves").eqNullSafe(F.col("previous"))).withColumn(
-        "change", amount_difference(F.col("reserves"), F.col("previous"))
+        "change", _difference(F.col("reserves"), F.col("previous"), is_wide(updates, "reserves"))
     )
 
 
@@ -96,28 +121,58 @@ def reserves_of_changes(
     ``reserves0, reserves1, seen0, seen1`` per pair; ``exact`` keeps these columns as they are.
     """
     first = F.col("token_in") == F.col("token0")
-    zero = F.lit(0).cast(AMOUNT)
+    wide = is_wide(changes, "change")
+    zero = _zero(wide)
+    changed = F.col("change") != zero
     # a side's first change is the first of its key, so all other unchanged totals can go before the sum
-    moved = changes.where((F.col("change") != 0) | F.col("previous").isNull()).select(
+    moved = changes.where(changed | F.col("previous").isNull()).select(
         "seq",
         "height",
         *PAIR,
-        (F.col("change") != 0).alias("_moved"),
+        changed.alias("_moved"),
         first.alias("_first"),
-        F.when(first, F.col("change")).otherwise(zero).alias("reserves0"),
-        F.when(first, zero).otherwise(F.col("change")).alias("reserves1"),
-        F.when(first, 1).otherwise(0).cast("long").alias("seen0"),
-        F.when(first, 0).otherwise(1).cast("long").alias("seen1"),
+        *side_changes(first, zero),
     )
-    sums = {c: c for c in TOTALS}
-    series = running_sum(moved, PAIR, "seq", sums, span=span, carry=totals)
+    sums = TOTALS
+    if wide:
+        moved, sums = _limbs_apart(moved)
+        totals = None if totals is None else _limbs_apart(totals)[0]
+    series = running_sum(moved, PAIR, "seq", {c: c for c in sums}, span=span, carry=totals)
+    if wide:
+        series = series.withColumns({c: from_limb_columns(c) for c in RESERVES})
     opening = F.when(F.col("_first"), F.col("seen0")).otherwise(F.col("seen1")) == 1
     kept = series.where(F.col("_moved") | opening)
     if exact:
         return kept.select("seq", "height", *PAIR, *TOTALS)
-    return kept.select(
-        "seq", "height", *PAIR, F.col("reserves0").cast("double"), F.col("reserves1").cast("double")
-    )
+    double = lambda c: (wide_text(F.col(c)) if wide else F.col(c)).cast("double").alias(c)
+    return kept.select("seq", "height", *PAIR, *[double(c) for c in RESERVES])
+
+
+def side_changes(first: Column, zero: Column) -> list[Column]:
+    """What a change adds to the totals of its pair, in the order of ``TOTALS``."""
+    return [
+        F.when(first, F.col("change")).otherwise(zero).alias("reserves0"),
+        F.when(first, zero).otherwise(F.col("change")).alias("reserves1"),
+        F.when(first, 1).otherwise(0).cast("long").alias("seen0"),
+        F.when(first, 0).otherwise(1).cast("long").alias("seen1"),
+    ]
+
+
+def _limbs_apart(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows with one column per limb of the totals, and the columns to add up."""
+    apart = {name: limb for c in RESERVES for name, limb in limb_columns(rows, c).items()}
+    return rows.withColumns(apart).drop(*RESERVES), [*apart, "seen0", "seen1"]
+
+
+def summed_totals(rows: DataFrame) -> DataFrame:
+    """The totals of each pair from rows that add to them."""
+    wide = is_wide(rows, "reserves0")
+    apart, sums = _limbs_apart(rows) if wide else (rows, TOTALS)
+    kinds = {c: apart.schema[c].dataType for c in sums}
+    found = apart.groupBy(*PAIR).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in sums])
+    if wide:
+        found = found.withColumns({c: from_limb_columns(c) for c in RESERVES})
+    return found.select(*PAIR, *TOTALS)
 
 
 def best_price_series(
@@ -146,10 +201,21 @@ def best_price_of_changes(
     best: DataFrame | None = None,
 ) -> DataFrame:
     """The same from a stored change log."""
-    was_live = F.coalesce(F.col("previous") > 0, F.lit(False)).cast("int")
-    rows = changes.select(
-        *STATE, CHUNK, "seq", "height", (F.col("reserves") > 0).cast("int").alias("live"), was_live.alias("was_live")
-    )
+    return best_price_of_turns(live_turns(changes), span, carry, best)
+
+
+def live_turns(changes: DataFrame) -> DataFrame:
+    """The changes without their amounts: whether a tick is live after each and was before."""
+    wide = is_wide(changes, "reserves")
+    live = _live(F.col("reserves"), wide).cast("int").alias("live")
+    was_live = F.coalesce(_live(F.col("previous"), wide), F.lit(False)).cast("int").alias("was_live")
+    return changes.select(*STATE, CHUNK, "seq", "height", live, was_live)
+
+
+def best_price_of_turns(
+    rows: DataFrame, span: int = DEFAULT_SPAN, carry: DataFrame | None = None, best: DataFrame | None = None
+) -> DataFrame:
+    """The same from ``live_turns``. Of ``carry`` it only matters which ticks are live."""
     return _best_prices(_turns(rows), span, carry, best)
 
 
@@ -313,20 +379,27 @@ def _lowest_live_pass():
 def latest_tick_state(versions: DataFrame, from_height=0, to_height=None) -> DataFrame:
     """Per (pair, token, tick, fee) the version with the greatest height in ``(from, to]``."""
     keys = [*PAIR, "token", "tick", "fee"]
+    amounts = [c for c in ("reserves", "reserves_wide") if c in versions.columns]
     return (
         block_range(versions, from_height, to_height)
         .groupBy(*keys)
-        .agg(F.max_by("reserves", "height").alias("reserves"), F.max("height").alias("height"))
+        .agg(*[F.max_by(c, "height").alias(c) for c in amounts], F.max("height").alias("height"))
     )
 
 
+def is_live(state: DataFrame) -> Column:
+    """Whether a tick of a table has reserves, of any size."""
+    live = F.col("reserves") != 0
+    return F.col("reserves_wide").isNotNull() | live if "reserves_wide" in state.columns else live
+
+
 def live_ticks(state: DataFrame) -> DataFrame:
-    return state.where(F.col("reserves") != 0)
+    return state.where(is_live(state))
 
 
 def live_reserves_total(state: DataFrame) -> DataFrame:
     """Sum of live reserves per (pair, token)."""
-    return live_ticks(state).groupBy(*PAIR, "token").agg(F.sum("reserves").cast("double").alias("reserves"))
+    return live_ticks(state).groupBy(*PAIR, "token").agg(total(state, "reserves").alias("reserves"))
 
 
 def best_tick(state: DataFrame) -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook.functions.wide import is_large, shown, unshown, wide_zero, widened
 from tidebook.operators import dimensions, events, state
 from tidebook.operators.ordered import DEFAULT_SPAN
 from tidebook.operators.snapshots import since_snapshot, snapshots
-from tidebook.schemas import CARRIED, MESSAGE_TYPES, TABLES
+from tidebook.schemas import AMOUNT, CARRIED, MESSAGE_TYPES, TABLES
 from tidebook.session import scratch
 from tidebook.sources import versions
 from tidebook.sources.tables import RANGE_SPAN, read_table, without_folders, write_folders, write_table
@@ -76,6 +78,16 @@ SNAPSHOTS = {
 }
 #: Tables of a commit that are written at the same time.
 SIDE_BY_SIDE = 6
+# Attributes of amounts that can be too long for a decimal.
+WIDE_TEXTS = {
+    "deposit": {"deposited0": "ReservesZeroDeposited", "deposited1": "ReservesOneDeposited", "shares": "SharesMinted"},
+    "withdraw": {
+        "withdrawn0": "ReservesZeroWithdrawn",
+        "withdrawn1": "ReservesOneWithdrawn",
+        "shares_removed": "SharesRemoved",
+    },
+    "place_order": {"amount_in": "AmountIn", "shares": "Shares"},
+}
 DICTIONARIES = ("tokens", "pairs", "tx_msg_type")
 
 
@@ -96,51 +108,81 @@ def decoded_events(log: DataFrame) -> DataFrame:
 
 
 def _snapshots(name: str, rows: DataFrame, blocks: int, newest: int, after: int = -1) -> DataFrame:
-    live = F.col("reserves") != 0 if name == "tick_snapshot" else None
+    live = state.is_live(rows) if name == "tick_snapshot" else None
     return snapshots(rows, SNAPSHOTS[name][1], "seq", blocks, newest, after, live)
 
 
-def build(
-    log: DataFrame,
-    span: int = DEFAULT_SPAN,
-    blocks: int = RANGE_SPAN,
-    newest: int | None = None,
-    loaded: DataFrame | None = None,
-    block: DataFrame | None = None,
-    changes: DataFrame | None = None,
-    pairs: DataFrame | None = None,
-) -> Warehouse:
-    """Declare every table; nothing but the look-up of the newest height runs. ``loaded``, ``block``, ``changes`` and ``pairs`` are tables that were stored
-    before, so that what feeds several others is computed once. ``newest`` is the newest height, known before as well; it
-    bounds the snapshots, of which there is one for every ``blocks`` blocks."""
-    found = decoded_events(log) if loaded is None else loaded
-    block = events.load_blocks(events.valid_txs(log)) if block is None else block
-    if newest is None:
-        newest = block.agg(F.max("height")).first()[0] or 0
-    updates = events.event_tick_update(found)
-    changes = state.state_changes(updates, span) if changes is None else changes
-    pairs = dimensions.first_seen_pairs(found, span) if pairs is None else pairs
-    tick_state = state.versions_of_changes(changes)
-    reserves = dimensions.join_event_time(state.reserves_of_changes(changes, span), block)
-    return Warehouse(
-        block=block,
-        tx=events.load_txs(log),
-        tx_msg_type=message_types(log.sparkSession),
-        tx_msg=messages(found),
-        events=events.pair_action_flags(found, pairs),
-        tokens=dimensions.first_seen_tokens(found, span),
-        pairs=pairs,
-        deposit=events.event_deposit(found),
-        withdraw=events.event_withdraw(found),
-        place_order=events.event_place_order(found),
-        tick_update=state.reserves_diff(updates, span=span),
-        rejected=events.rejected_tick_updates(found),
-        tick_state=tick_state,
-        price=dimensions.join_event_time(state.best_price_of_changes(changes, span), block),
-        reserves=reserves,
-        tick_snapshot=_snapshots("tick_snapshot", tick_state, blocks, newest),
-        reserves_snapshot=_snapshots("reserves_snapshot", reserves, blocks, newest),
-    )
+def large_pairs(updates: DataFrame, wide: DataFrame, known: dict[str, DataFrame]) -> DataFrame:
+    """Pairs with an amount, now or carried, that has to be counted in limbs."""
+    ticks, totals = known["carried_ticks"], known["carried_totals"]
+    large = [
+        wide,
+        updates.where(is_large(updates, "reserves")),
+        ticks.where(is_large(ticks, "reserves")),
+        totals.where(is_large(totals, "reserves0") | is_large(totals, "reserves1")),
+    ]
+    return reduce(DataFrame.unionByName, [rows.select(*state.PAIR) for rows in large]).distinct()
+
+
+def derived(
+    updates: DataFrame,
+    known: dict[str, DataFrame],
+    span: int,
+    working: Callable[[str, DataFrame], DataFrame],
+    wide: bool,
+) -> dict[str, DataFrame]:
+    """What follows from tick updates and the carried tables, with amounts in one form: as decimals or as limbs."""
+    if wide:
+        amounts = {"carried_marks": ["reserves"], "carried_ticks": ["reserves"], "carried_totals": state.RESERVES}
+        known = known | {name: unshown(known[name], *columns) for name, columns in amounts.items()}
+    name = "large-changes" if wide else "changes"
+    changes = working(name, state.state_changes(updates, span, known["carried_ticks"]))
+    zero = F.lit(0).cast(AMOUNT) if not wide else wide_zero()
+    sums = changes.select(*state.PAIR, *state.side_changes(F.col("token_in") == F.col("token0"), zero))
+    totals = known["carried_totals"].select(*state.PAIR, *state.TOTALS)
+    return {
+        "tick_update": shown(
+            state.reserves_diff(updates, span=span, carry=known["carried_marks"]), "reserves", "reserves_diff"
+        ),
+        "tick_state": shown(state.versions_of_changes(changes), "reserves"),
+        "reserves": state.reserves_of_changes(changes, span, known["carried_totals"]),
+        "turns": state.live_turns(changes),
+        "carried_totals": shown(state.summed_totals(totals.unionByName(sums)), *state.RESERVES),
+    }
+
+
+def derived_in_parts(
+    updates: DataFrame,
+    wide: DataFrame,
+    known: dict[str, DataFrame],
+    span: int,
+    working: Callable[[str, DataFrame], DataFrame],
+) -> dict[str, DataFrame]:
+    """The same for all pairs. Pairs without large amounts keep plain decimals; the others, if there are any, are counted
+    in limbs, all of their rows, so that every difference and total is exact."""
+    large = working("large-pairs", large_pairs(updates, wide, known))
+    if large.isEmpty():
+        return derived(updates, known, span, working, wide=False)
+    own = {"carried_marks", "carried_ticks", "carried_totals"}
+    split = lambda rows, how: rows.join(large, state.PAIR, how)
+    some = updates.withColumn("reserves", widened(F.col("reserves")))
+    parts = [
+        derived(
+            split(updates, "left_anti"),
+            known | {name: split(known[name], "left_anti").select(known[name].columns) for name in own},
+            span,
+            working,
+            wide=False,
+        ),
+        derived(
+            split(some, "left_semi").unionByName(wide),
+            known | {name: split(known[name], "left_semi").select(known[name].columns) for name in own},
+            span,
+            working,
+            wide=True,
+        ),
+    ]
+    return {name: parts[0][name].unionByName(parts[1][name]) for name in parts[0]}
 
 
 class _Writer:
@@ -234,28 +276,29 @@ def _commit(
         block = writer.table("block", events.load_blocks(events.valid_txs(log)))
         now = block.agg(F.max("height")).first()[0]
         newest = before.newest if now is None else now
-        updates = events.event_tick_update(found)
-        changes = working("changes", state.state_changes(updates, span, known["carried_ticks"]))
+        updates, wide = events.event_tick_update(found), events.wide_tick_updates(found)
+        states = derived_in_parts(updates, wide, known, span, working)
         writer.table("tokens", dimensions.new_tokens(found, house.tokens, span))
         pairs = house.pairs.unionByName(writer.table("pairs", dimensions.new_pairs(found, house.pairs, span)))
         best = known["carried_best"].withColumns({"given0": F.lit(True), "given1": F.lit(True)})
-        price = state.best_price_of_changes(changes, span, known["carried_ticks"], best)
-        totals = state.reserves_of_changes(changes, span, known["carried_totals"])
+        # for best prices only the fact counts that a tick is live
+        live = known["carried_ticks"].withColumn("reserves", state.is_live(known["carried_ticks"]).cast("int"))
+        price = state.best_price_of_turns(states["turns"], span, live, best)
         new = {
             "tx": events.load_txs(log),
             "tx_msg": messages(found),
             "events": events.pair_action_flags(found, pairs),
-            "deposit": events.event_deposit(found),
-            "withdraw": events.event_withdraw(found),
-            "place_order": events.event_place_order(found),
-            "tick_update": state.reserves_diff(updates, span=span, carry=known["carried_marks"]),
+            "deposit": events.with_wide_texts(events.event_deposit(found), found, WIDE_TEXTS["deposit"]),
+            "withdraw": events.with_wide_texts(events.event_withdraw(found), found, WIDE_TEXTS["withdraw"]),
+            "place_order": events.with_wide_texts(events.event_place_order(found), found, WIDE_TEXTS["place_order"]),
+            "tick_update": states["tick_update"],
             "rejected": events.rejected_tick_updates(found),
-            "tick_state": state.versions_of_changes(changes),
+            "tick_state": states["tick_state"],
             "price": dimensions.join_event_time(price, block),
-            "reserves": dimensions.join_event_time(totals, block),
+            "reserves": dimensions.join_event_time(states["reserves"], block),
         }
         added = writer.tables(new)
-        rest = _carried_on(known, added, changes)
+        rest = _carried_on(known, added, states["carried_totals"])
         done = -1 if before.newest is None else before.newest // blocks
         for name, (source, _) in SNAPSHOTS.items():
             start = known["carried_ticks" if source == "tick_state" else "carried_reserves"]
@@ -281,29 +324,18 @@ def carried(spark: SparkSession, folder: str, version: versions.Version) -> dict
     }
 
 
-def _carried_on(known: dict[str, DataFrame], added: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:
+def _carried_on(known: dict[str, DataFrame], added: dict[str, DataFrame], totals: DataFrame) -> dict[str, DataFrame]:
     """The carried tables after the added rows, from those before them."""
 
     def newest(name: str, rows: DataFrame, keys: list[str]) -> DataFrame:
         old = known[name]
-        return state.upsert_latest(old.unionByName(rows.select(old.columns)), keys, "seq")
-
-    first = F.col("token_in") == F.col("token0")
-    zero = F.lit(0).cast("decimal(38,0)")
-    sums = changes.select(
-        *state.PAIR,
-        F.when(first, F.col("change")).otherwise(zero).alias("reserves0"),
-        F.when(first, zero).otherwise(F.col("change")).alias("reserves1"),
-        first.cast("long").alias("seen0"),
-        (~first).cast("long").alias("seen1"),
-    )
-    every = known["carried_totals"].unionByName(sums)
-    kinds = {f.name: f.dataType for f in known["carried_totals"].schema}
-    totals = every.groupBy(*state.PAIR).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in state.TOTALS])
+        return state.upsert_latest(old.unionByName(rows.select(old.columns)), keys, "seq").select(old.columns)
+
+    marks = newest("carried_marks", added["tick_update"], state.TICK)
     return {
-        "carried_marks": newest("carried_marks", added["tick_update"], state.TICK).where("reserves <> 0"),
+        "carried_marks": marks.where(state.is_live(marks)),
         "carried_ticks": newest("carried_ticks", added["tick_state"].withColumnRenamed("token", "token_in"), state.STATE),
-        "carried_totals": totals,
+        "carried_totals": totals.select(known["carried_totals"].columns),
         "carried_best": newest("carried_best", added["price"], state.PAIR),
         "carried_reserves": newest("carried_reserves", added["reserves"], state.PAIR),
     }

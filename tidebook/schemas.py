@@ -102,7 +102,7 @@ DEX_ACTIONS = ("DepositLP", "WithdrawLP", "PlaceLimitOrder", "TickUpdate")
 # A packed sequence number is the height, then 32 bits for the place of the event among all events of its block.
 PLACE_BITS = 32
 
-# Columns of the stored warehouse tables.
+# Columns of the stored warehouse tables. An amount of more than 38 digits is null, its text is in ``<amount>_wide``.
 _PLACE = "seq long, height long, tx_index int, event_index int, time_unix long, msg_seq long, msg_type int"
 _PAIR = "token0 string, token1 string"
 _LIQUIDITY = f"{_PLACE}, creator string, receiver string, {_PAIR}, tick int, fee int"
@@ -116,15 +116,20 @@ TABLES = {
     "attributes map<string,string>, msg_seq long, msg_type int, pair_swap long, pair_deposit long, pair_withdraw long",
     "tokens": "id long, token string, first_seq long",
     "pairs": f"id long, {_PAIR}, first_seq long",
-    "deposit": f"{_LIQUIDITY}, deposited0 decimal(38,0), deposited1 decimal(38,0), shares decimal(38,0)",
-    "withdraw": f"{_LIQUIDITY}, withdrawn0 decimal(38,0), withdrawn1 decimal(38,0), shares_removed decimal(38,0)",
+    "deposit": f"{_LIQUIDITY}, deposited0 decimal(38,0), deposited1 decimal(38,0), shares decimal(38,0), "
+    "deposited0_wide string, deposited1_wide string, shares_wide string",
+    "withdraw": f"{_LIQUIDITY}, withdrawn0 decimal(38,0), withdrawn1 decimal(38,0), shares_removed decimal(38,0), "
+    "withdrawn0_wide string, withdrawn1_wide string, shares_removed_wide string",
     "place_order": f"{_PLACE}, creator string, receiver string, {_PAIR}, token_in string, token_out string, "
-    "amount_in decimal(38,0), limit_tick int, order_type string, shares decimal(38,0), tranche string",
+    "amount_in decimal(38,0), limit_tick int, order_type string, shares decimal(38,0), tranche string, "
+    "amount_in_wide string, shares_wide string",
     "tick_update": f"{_PLACE}, {_PAIR}, token_in string, tick int, fee int, reserves decimal(38,0), "
-    "reserves_diff decimal(38,0)",
+    "reserves_diff decimal(38,0), reserves_wide string, reserves_diff_wide string",
     "rejected": f"{_PLACE}, {_PAIR}, token_in string, tick int, fee int, reserves_text string",
-    "tick_state": f"{_PAIR}, token string, tick int, fee int, reserves decimal(38,0), height long, seq long",
-    "tick_snapshot": f"{_PAIR}, token string, tick int, fee int, reserves decimal(38,0), height long, seq long",
+    "tick_state": f"{_PAIR}, token string, tick int, fee int, reserves decimal(38,0), height long, seq long, "
+    "reserves_wide string",
+    "tick_snapshot": f"{_PAIR}, token string, tick int, fee int, reserves decimal(38,0), height long, seq long, "
+    "reserves_wide string",
     "reserves_snapshot": f"height long, seq long, {_PAIR}, reserves0 double, reserves1 double, time_unix long",
     "price": f"height long, seq long, {_PAIR}, best0 int, best1 int, last int, time_unix long",
     "reserves": f"height long, seq long, {_PAIR}, reserves0 double, reserves1 double, time_unix long",
@@ -133,9 +138,10 @@ TABLES = {
 # What later blocks have to know of a stored warehouse: one row per key, whatever the length of the history.
 _TICK = f"{_PAIR}, token_in string, tick int"
 CARRIED = {
-    "carried_marks": f"{_TICK}, reserves decimal(38,0), seq long",
-    "carried_ticks": f"{_TICK}, fee int, reserves decimal(38,0), height long, seq long",
-    "carried_totals": f"{_PAIR}, reserves0 decimal(38,0), reserves1 decimal(38,0), seen0 long, seen1 long",
+    "carried_marks": f"{_TICK}, reserves decimal(38,0), seq long, reserves_wide string",
+    "carried_ticks": f"{_TICK}, fee int, reserves decimal(38,0), height long, seq long, reserves_wide string",
+    "carried_totals": f"{_PAIR}, reserves0 decimal(38,0), reserves1 decimal(38,0), seen0 long, seen1 long, "
+    "reserves0_wide string, reserves1_wide string",
     "carried_best": f"{_PAIR}, best0 int, best1 int, seq long",
     "carried_reserves": TABLES["reserves"],
 }
