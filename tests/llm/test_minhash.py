@@ -98,3 +98,11 @@ def test_pairs_at_the_threshold_share_a_band():
 
 def test_empty_table(make_docs):
     assert minhash.near_duplicates(make_docs([])).count() == 0
+
+
+def test_rows_that_share_an_id_keep_the_links_of_each_text(make_docs):
+    one = " ".join(f"a{i}" for i in range(60))
+    two = " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " y"), (0, "c d e f g h"), (0, one + " z"), (1, one), (4, "d e")]
+    found = sorted(tuple(r)[::2] for r in minhash.near_duplicates(make_docs(rows), words=2).collect())
+    assert found == [(0, 0), (0, 0), (1, 0), (1, 0), (1, 1), (2, 0), (3, 1), (4, 4)]

@@ -54,6 +54,8 @@ def test_against_brute_force(spark):
     rows += [(1200, None, 1), (1201, [0.0] * 24, 1), (1202, [None, *same[1:]], 1), (1203, [float("nan"), *same[1:]], 1)]
     rows += [(1204, [float("inf"), *same[1:]], 1), (1205, [], 1), (1206, same[:5], 0), (None, same, 0), (1207, same[:5], 0)]
     rows += [rows[3], rows[3]]
+    far = rng.normal(size=24).tolist()  # rows that share an id but not the vector, or not the label
+    rows += [(7, far, 0), (7, far, 1), (2000, far, 0), (2001, [c * 1.001 for c in far], 1), (7, rows[40][1], 2), (2002, rows[40][1], 2)]
     frame = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], SCHEMA)
     found = sorted((tuple(r) for r in v.near_vectors(frame).collect()), key=str)
     assert found == brute(rows, 0.98)

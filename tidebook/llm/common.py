@@ -10,7 +10,7 @@ import atexit
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,8 +52,8 @@ def map_texts(
     return narrow.mapInArrow(run, schema)
 
 
-def sampled(rows: DataFrame, n: int, *columns: str, having: Column | None = None, spare: float = 1.5) -> DataFrame:
-    """At most ``n`` rows (of those that fulfil ``having``): the ones with the smallest hash of ``columns``.
+def sampled(rows: DataFrame, n: int, *columns: str, spare: float = 1.5) -> DataFrame:
+    """At most ``n`` rows: the ones with the smallest hash of ``columns``.
 
     Rows whose hash is beyond the place where ``spare`` times ``n`` rows are expected are left out before anything is
     ordered. What tasks send then grows with ``n``, and not with ``n`` times the tasks. ``rows`` is counted first.
@@ -61,8 +61,7 @@ def sampled(rows: DataFrame, n: int, *columns: str, having: Column | None = None
     draw = F.shiftrightunsigned(F.xxhash64(*columns), 1)
     total = rows.count()
     near = rows if total <= spare * n else rows.where(draw < F.lit(int(spare * n / total * (1 << 63))))
-    chosen = near if having is None else near.where(having)
-    return chosen.orderBy(draw, *columns).limit(n)
+    return near.orderBy(draw, *columns).limit(n)
 
 
 _stored: list[tuple[SparkSession, str]] = []

@@ -70,7 +70,7 @@ def band_keys(values: np.ndarray, mixer: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key, bands``; no bands for an empty set."""
+    """``doc_id, n_shingles, set_key, text_key, bands``; no bands for an empty set. ``text_key`` is ``xxhash64`` of the text."""
 
     def make():
         scale, shift, mixer = _permutations()
@@ -79,11 +79,12 @@ def features(docs: DataFrame, words: int) -> DataFrame:
             sets = [shingle_set(t, words) for t in texts]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             bands = [band_keys(signature(s, scale, shift), mixer) if len(s) else [] for s in sets]
-            return [[len(s) for s in sets], keys, bands]
+            own = [np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64) for t in texts]
+            return [[len(s) for s in sets], keys, own, bands]
 
         return work
 
-    return map_texts(docs, make, "n_shingles long, set_key binary, bands array<long>")
+    return map_texts(docs, make, "n_shingles long, set_key binary, text_key long, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -186,21 +187,21 @@ def _links_of_block(rows: list[tuple], percent: int) -> list[dict]:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: groups of documents whose shingle sets have similarity >= percent.
 
-    Texts with equal sets are one class, which its smallest ``doc_id`` stands for. Classes meet in the buckets of
+    Texts with equal sets are one class, with a number of its own and the text of its smallest ``doc_id``. Classes meet in the buckets of
     their bands. Every class is first compared with one smallest and one largest member of its buckets, those that it
     shares most bands with, which joins groups of copies by stars: a group of a million copies costs two million
     comparisons. Then members of a bucket that are not yet in one component are compared with each other in blocks, so
     that no link between candidates is left out. Full sets decide each link.
 
-    A null, empty or blank text has no shingles and links with nothing. Rows that repeat a ``doc_id`` and its text are
-    the same document and give a row each. A null ``doc_id`` has no component and is kept. An empty table gives none.
+    A null, empty or blank text has no shingles and links with nothing. Rows that repeat a ``doc_id`` give a
+    row each, as documents of their own: with the same text they are in one class, with other texts each has its own links. A null ``doc_id`` has no component and is kept. An empty table gives none.
     """
     rows = keep(features(docs, words), "shingle-bands")
     known = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = keep(classes, "classes")
-    ids = classes.select(F.col("rep").alias("doc_id"))
-    members = known.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
+    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("text_key", "doc_id").alias("of"))
+    classes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    own = known.join(classes, "set_key").where((F.col("doc_id") == F.col("rep")) & (F.col("text_key") == F.col("of")))
+    members = own.select("id", F.explode("bands").alias("band"))
     ends = members.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     shared = keep(members.join(ends, "band"), "shared-bands")
 
@@ -211,8 +212,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     votes = stars.where("a <> b").groupBy("b", "end", "a").agg(F.count("*").alias("n"))
     best = votes.groupBy("b", "end").agg(F.max_by("a", "n").alias("a"))
     pairs = keep(best.select("a", "b").distinct(), "star-pairs")
-    candidates = shared.select(F.col("id").alias("doc_id")).distinct()
-    texts = keep(docs.select("doc_id", "text").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+    candidates = classes.join(shared.select("id").distinct(), "id").select(F.col("id").alias("class"), "rep", "of")
+    keyed = docs.select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("of"))
+    texts = keyed.join(candidates, ["rep", "of"]).select(F.col("class").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    texts = keep(texts, "candidate-texts")
     links = keep(confirmed(pairs, texts, words, percent), "star-links")
     groups = components(links)
 
@@ -220,9 +223,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if not more.isEmpty():
         groups = components(links.unionByName(more))
 
-    named_docs = rows.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    found = named_docs.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    linked = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    # the smallest doc_id of each component, over classes
+    placed = classes.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    smallest = placed.groupBy("component").agg(F.min("rep").alias("first"))
+    named = placed.join(smallest, "component").select("set_key", "first")
+    found = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    linked = F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), linked)
     return found.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")

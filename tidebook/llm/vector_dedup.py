@@ -131,7 +131,7 @@ def _links_of_block(key: list | None, rows: list[tuple], cosine: float) -> list[
 def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """``vec_id, n_links, component_id, kept``: links between vectors of equal labels with at least this cosine.
 
-    Equal vectors of a label are one class, which its smallest ``vec_id`` stands for; classes meet in the cells of the
+    Equal vectors of a label are one class with a number of its own, also where rows share a ``vec_id``; classes meet in the cells of the
     tables and every two that meet are compared in double precision. Vectors that are null, zero, of another length, or
     hold null or non-finite numbers, and those with a null label or id link with nothing. Repeated rows are vectors of
     their own: each counts as a link of the others. Only ids break ties. An empty table gives none.
@@ -145,10 +145,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     rows = vectors.select("vec_id", "embedding", F.col("label").cast("long").alias("label"), usable.alias("usable"))
     keys = [F.xxhash64("embedding").alias("a"), F.xxhash64("embedding", F.lit(1)).alias("b")]
     keyed = rows.select("vec_id", "label", "usable", *keys)
-    classes = keyed.where("usable").groupBy("label", "a", "b").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-    classes = keep(classes, "vector-classes")
-    first = rows.where("usable").select(F.col("vec_id").alias("id"), "label", "embedding", *keys)
-    first = first.join(classes, ["label", "a", "b", "id"]).dropDuplicates(["label", "a", "b"])
+    classes = keyed.where("usable").groupBy("label", "a", "b").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    classes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
+    first = rows.where("usable").select(F.col("vec_id").alias("rep"), "label", "embedding", *keys)
+    first = first.join(classes, ["label", "a", "b", "rep"]).dropDuplicates(["id"])
     first = keep(first.select("id", "label", "n", "embedding"), "class-vectors")
 
     members = hashed(first).select("id", F.explode("cells").alias("cell"))
@@ -160,10 +160,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     links = blocks.groupBy("id").agg(F.sum("n").alias("links"))
     groups = components(blocks.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
 
-    found = keyed.join(classes.withColumnRenamed("id", "rep"), ["label", "a", "b"], "left")
-    found = found.join(links.withColumnRenamed("id", "rep"), "rep", "left")
-    found = found.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("usable"), F.coalesce("component", "rep")).otherwise(F.col("vec_id"))
+    # the smallest vec_id of each component, over classes
+    placed = classes.join(links, "id", "left").join(groups, "id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "id"))
+    smallest = placed.groupBy("component").agg(F.min("rep").alias("smallest"))
+    named = placed.join(smallest, "component").select("label", "a", "b", "n", "links", "smallest")
+    found = keyed.join(named, ["label", "a", "b"], "left")
+    component = F.when(F.col("usable"), F.col("smallest")).otherwise(F.col("vec_id"))
     others = F.when(F.col("usable"), F.col("n") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0).cast("long"))
     return found.select(
         "vec_id", others.alias("n_links"), component.alias("component_id"),
