@@ -354,6 +354,10 @@ ORACLES: dict[str, str] = {
     "time_after_height": sql("""SELECT height, coalesce((SELECT arg_min(time_unix, b.height) FROM block b WHERE b.height > a.height),
         CASE WHEN height > 0 THEN (SELECT arg_max(time_unix, height) FROM block) + 1 ELSE 0 END) AS time_unix
         FROM (SELECT unnest([0, 1, half, last, newest, newest + 5]) AS height FROM p) a"""),
+    "time_after_height_bulk": sql("""SELECT l_orderkey, l_linenumber, a.height, coalesce(b.time_unix,
+        CASE WHEN a.height > 0 THEN (SELECT arg_max(time_unix, height) FROM block) + 1 ELSE 0 END) AS time_unix
+        FROM (SELECT l_orderkey, l_linenumber, l_orderkey * 31 % (2 * newest) + l_linenumber - 5 AS height FROM lineitem, p) a
+        ASOF LEFT JOIN block b ON a.height < b.height"""),
     "last_block_time": sql("SELECT max(height) AS height, arg_max(time_unix, height) AS time_unix FROM block"),
     "height_at_time": sql("""SELECT o_orderkey, time_unix, coalesce((SELECT max(height) FROM block b
         WHERE b.time_unix <= a.time_unix), 0) AS height
@@ -361,6 +365,9 @@ ORACLES: dict[str, str] = {
     "completed_height_at_time": sql(f"""SELECT time_unix, least({LAST}, coalesce((SELECT max(height) FROM block b
         WHERE b.time_unix <= a.time_unix), 0)) AS height FROM (SELECT unnest([0, now - 20 * 86400, now - 86400, now, now + 86400])
         AS time_unix FROM p) a"""),
+    "completed_height_at_time_bulk": sql(f"""SELECT o_orderkey, a.time_unix, least({LAST}, coalesce(b.height, 0)) AS height
+        FROM (SELECT o_orderkey, 1704060000 + o_orderkey * 977 % 2700000 AS time_unix FROM orders) a
+        ASOF LEFT JOIN (SELECT time_unix, max(height) AS height FROM block GROUP BY time_unix) b ON a.time_unix >= b.time_unix"""),
     "daily_close_asof": sql(*BEST, CLOSES, "SELECT token0, token1, day, time_unix, close FROM closes"),
     "asset_match": sql(MAPPING, """SELECT token, base, 'D' || base AS display,
         'coin-' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '-new' ELSE '' END AS price_id

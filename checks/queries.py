@@ -453,6 +453,17 @@ def time_after_height(spark, sf_dir):
     )
 
 
+@register
+def time_after_height_bulk(spark, sf_dir):
+    inputs = Inputs(spark, sf_dir)
+    asked = inputs.table("lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        (F.col("l_orderkey") * 31 % (2 * inputs.max_height) + F.col("l_linenumber") - 5).cast("long").alias("height"),
+    )
+    return ranges.time_after_height_bulk(asked, inputs.block(), span=100)
+
+
 @register
 def last_block_time(spark, sf_dir):
     return ranges.last_block(fx.blocks(spark, sf_dir))
@@ -481,6 +492,15 @@ def completed_height_at_time(spark, sf_dir):
     )
 
 
+@register
+def completed_height_at_time_bulk(spark, sf_dir):
+    inputs = Inputs(spark, sf_dir)
+    asked = inputs.table("orders").select(
+        "o_orderkey", (F.lit(1704060000) + F.col("o_orderkey") * 977 % 2700000).cast("long").alias("time_unix")
+    )
+    return ranges.completed_height_at_time_bulk(asked, inputs.block(), inputs.last)
+
+
 @register
 def daily_close_asof(spark, sf_dir):
     inputs = Inputs(spark, sf_dir)

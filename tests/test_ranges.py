@@ -48,6 +48,28 @@ def test_bulk_lookups_equal_single_ones(spark, block):
         assert row["time_unix"] == value(ranges.time_at_or_before_height(block, row["height"]))
 
 
+def test_bulk_lookups_after_a_height_equal_single_ones(spark, block):
+    asked = [-3, 0, 9, 10, 11, 12, 14, 15, 19, 20, 21, 50, 50, 10**12]
+    heights = spark.createDataFrame([(h, i) for i, h in enumerate(asked)], "height long, row int")
+    for span in (1, 3, 4096):
+        rows = ranges.time_after_height_bulk(heights, block, span).collect()
+        assert sorted(r["row"] for r in rows) == list(range(len(asked)))
+        for row in rows:
+            assert row["time_unix"] == value(ranges.time_after_height(block, row["height"]))
+    assert {r["time_unix"] for r in ranges.time_after_height_bulk(heights, block.where("false")).collect()} == {0}
+    missing = spark.createDataFrame([(None, 1), (12, 2)], "height long, row int")
+    assert sorted((r["row"], r["time_unix"]) for r in ranges.time_after_height_bulk(missing, block).collect()) == [(1, None), (2, 1060)]
+    assert ranges.time_after_height_bulk(heights.where("false"), block).count() == 0
+
+
+def test_completed_heights_in_bulk_equal_single_ones(spark, block):
+    asked = spark.createDataFrame([(t,) for t in (0, 999, 1000, 1060, 4000, 5000, 5000)], "time_unix long")
+    rows = ranges.completed_height_at_time_bulk(asked, block, 15).collect()
+    assert len(rows) == 7
+    for row in rows:
+        assert row["height"] == value(ranges.completed_height_at_time(block, row["time_unix"], 15))
+
+
 def test_last_and_completed(block):
     assert tuple(ranges.last_block(block).first()) == (20, 4000)
     assert value(ranges.last_completed_height(block)) == 15

@@ -42,9 +42,11 @@ def _before(keys: list[str]):
     return W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
 
 
-def _headed(rows: DataFrame, heads: DataFrame) -> DataFrame:
+def _headed(rows: DataFrame, heads: DataFrame, carry: DataFrame | None) -> DataFrame:
+    if carry is not None:  # what is carried stands in a chunk of its own, before all others
+        heads = heads.where(F.col(CHUNK) >= 0)
     return rows.withColumn(_HEAD, F.lit(False)).unionByName(
-        heads.where(F.col(CHUNK) >= 0).withColumn(_HEAD, F.lit(True)), allowMissingColumns=True
+        heads.withColumn(_HEAD, F.lit(True)), allowMissingColumns=True
     )
 
 
@@ -74,7 +76,7 @@ def previous_value(
         *keys, CHUNK, F.lag(value).over(W.partitionBy(*keys).orderBy(CHUNK)).alias(value)
     ).where(F.col(value).isNotNull())
     return (
-        _headed(rows, heads)
+        _headed(rows, heads, carry)
         .withColumn(out, F.lag(value).over(_inside(keys, order)))
         .where(~F.col(_HEAD))
         .drop(_HEAD)
@@ -111,7 +113,7 @@ def last_known(
         *[F.col(f"_{v}").isNotNull().alias(g) for v, g in columns.items()],
     )
     inside = _inside(keys, order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    filled = _headed(rows, heads).withColumns({f"_{v}": w.over(inside) for v, w in given_value.items()})
+    filled = _headed(rows, heads, carry).withColumns({f"_{v}": w.over(inside) for v, w in given_value.items()})
     return (
         filled.where(~F.col(_HEAD))
         .withColumns({v: F.col(f"_{v}")[v] for v in columns})
@@ -119,6 +121,39 @@ def last_known(
     )
 
 
+def next_known(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    columns: dict[str, str],
+    position: str = "height",
+    span: int = DEFAULT_SPAN,
+) -> DataFrame:
+    """Fill each column with its next given value from the row on: ``last_known`` from the other end."""
+    turned = df.withColumns({"_turned": -F.col(order), "_position": -F.col(position)})
+    return last_known(turned, keys, "_turned", columns, position="_position", span=span).drop("_turned", "_position")
+
+
+def aligned_blocks(low: Column, high: Column, levels: Column) -> Column:
+    """The range ``[low, high)`` cut into aligned blocks of power-of-two sizes: an array of ``level, block``.
+
+    There are at most two blocks per level, and each place of the range is in exactly one of them: at some level, the
+    block of the place is ``place >> level``. An empty range, or one without a bound, has none.
+    """
+
+    def at_level(level: Column) -> Column:
+        # the range in units of 2^level: rounded up at its start, rounded down at its end
+        width = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        first = F.call_function("shiftright", low.cast("long") + width - 1, level)
+        last = F.call_function("shiftright", high.cast("long"), level)
+        return F.array(
+            F.when((first < last) & (first % 2 == 1), F.struct(level.alias("level"), first.alias("block"))),
+            F.when((first < last) & (last % 2 == 1), F.struct(level.alias("level"), (last - 1).alias("block"))),
+        )
+
+    return F.filter(F.flatten(F.transform(levels, at_level)), lambda x: x.isNotNull())
+
+
 def running_sum(
     df: DataFrame,
     keys: list[str],
@@ -143,7 +178,7 @@ def running_sum(
         *keys, CHUNK, *[F.sum(c).over(_before(keys)).cast(kinds[c]).alias(c) for c in sources]
     ).where(F.coalesce(*sources).isNotNull())
     inside = _inside(keys, order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    summed = _headed(rows, heads).withColumns(
+    summed = _headed(rows, heads, carry).withColumns(
         {f"_{out}": F.sum(source).over(inside).cast(kinds[source]) for out, source in sums.items()}
     )
     return (

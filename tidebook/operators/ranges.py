@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.functions import as_column, time_bucket
-from tidebook.operators.ordered import last_known
+from tidebook.operators.ordered import last_known, next_known
 from tidebook.sources.tables import RANGE, in_folders, without_folders
 
 
@@ -110,6 +110,37 @@ def time_at_height_bulk(asked: DataFrame, block: DataFrame, span: int = 4096) ->
     return found.withColumn("time_unix", F.coalesce("time_unix", F.lit(0).cast("long")))
 
 
+def time_after_height_bulk(asked: DataFrame, block: DataFrame, span: int = 4096) -> DataFrame:
+    """Add the time of the first block after each row's ``height``; past the last block, the last time plus one.
+
+    Without any block, and for a height of 0 or less that no block is after, the time is 0. Rows without a height get
+    null. Only distinct heights are looked up, so one that is asked for very often is no heavier than any other.
+    """
+    # an asked height sorts after the block of that height, so the next one given is the first block above it
+    left = asked.select("height").where(F.col("height").isNotNull()).distinct().select(
+        "height", (F.col("height") * 2 + 1).alias("_order"), F.lit(False).alias("_given")
+    )
+    right = block.select("height", "time_unix", (F.col("height") * 2).alias("_order"), F.lit(True).alias("_given"))
+    merged = left.unionByName(right, allowMissingColumns=True).withColumn("_asked", ~F.col("_given"))
+    filled = next_known(merged, [], "_order", {"time_unix": "_given"}, position="height", span=span)
+    past_end = F.when(F.col("height") > 0, F.col("_last") + 1)
+    last = block.agg(F.max_by("time_unix", "height").alias("time_unix")).scalar()
+    found = (
+        filled.where("_asked")
+        .withColumn("_last", last)
+        .select("height", F.coalesce("time_unix", past_end, F.lit(0).cast("long")).alias("time_unix"))
+    )
+    return asked.join(found, "height", "left")
+
+
+def completed_height_at_time_bulk(
+    asked: DataFrame, block: DataFrame, last_completed: Column | int, span: int = 86400
+) -> DataFrame:
+    """Add the last completed height at or before each row's ``time_unix``; 0 when there is none."""
+    found = height_at_time_bulk(asked, block, span)
+    return found.withColumn("height", F.least(F.col("height"), as_column(last_completed).cast("long")))
+
+
 def resolve_heights(
     block: DataFrame,
     last_completed: Column | int,
