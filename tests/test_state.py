@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from tests import brute
 from tidebook.operators import changes as feeds
 from tidebook.operators import state
-from tidebook.operators.ordered import aligned_blocks
 
 SPANS = [1, 7, 10000]
 
@@ -130,22 +129,3 @@ def test_best_ticks_of_long_chunks_and_shared_fees(spark, span):
     found = state.best_price_series(brute.frame(spark, log), span)
     columns = ("seq", "token0", "token1", "best0", "best1", "last")
     assert rows_of(found, *columns) == sorted(brute.price_series(log), key=str)
-
-
-def test_aligned_blocks_hold_each_place_once(spark):
-    places = [(a, b) for a in range(20) for b in range(20)]
-    levels = F.sequence(F.lit(0), F.lit(5))
-    rows = spark.createDataFrame(places, "a long, b long").select("a", "b", aligned_blocks(F.col("a"), F.col("b"), levels).alias("x"))
-    for row in rows.collect():
-        held = [p for x in row["x"] for p in range(x["block"] << x["level"], (x["block"] + 1) << x["level"])]
-        assert sorted(held) == list(range(row["a"], row["b"]))
-
-
-def test_best_prices_stay_in_the_jvm_and_shuffle_turns_once(spark):
-    updates = brute.frame(spark, brute.random_updates(200, seed=2))
-    rows = state.previous_value(updates.select(*state.STATE, "seq", "height", (F.col("reserves") > 0).cast("int").alias("live")), state.STATE, "seq", "live", "was_live")
-    moves = state.best_tick_moves(state._turns(rows.withColumn("was_live", F.coalesce("was_live", F.lit(0)))))
-    plan = moves._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
-    after_blocks = plan[: plan.index("Generate explode(concat(")]
-    assert "Exchange" not in after_blocks

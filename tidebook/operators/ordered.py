@@ -134,26 +134,6 @@ def next_known(
     return last_known(turned, keys, "_turned", columns, position="_position", span=span).drop("_turned", "_position")
 
 
-def aligned_blocks(low: Column, high: Column, levels: Column) -> Column:
-    """The range ``[low, high)`` cut into aligned blocks of power-of-two sizes: an array of ``level, block``.
-
-    There are at most two blocks per level, and each place of the range is in exactly one of them: at some level, the
-    block of the place is ``place >> level``. An empty range, or one without a bound, has none.
-    """
-
-    def at_level(level: Column) -> Column:
-        # the range in units of 2^level: rounded up at its start, rounded down at its end
-        width = F.call_function("shiftleft", F.lit(1).cast("long"), level)
-        first = F.call_function("shiftright", low.cast("long") + width - 1, level)
-        last = F.call_function("shiftright", high.cast("long"), level)
-        return F.array(
-            F.when((first < last) & (first % 2 == 1), F.struct(level.alias("level"), first.alias("block"))),
-            F.when((first < last) & (last % 2 == 1), F.struct(level.alias("level"), (last - 1).alias("block"))),
-        )
-
-    return F.filter(F.flatten(F.transform(levels, at_level)), lambda x: x.isNotNull())
-
-
 def running_sum(
     df: DataFrame,
     keys: list[str],

@@ -7,6 +7,10 @@ digits; changes and exact totals then are limbs as well, and so must be what is
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +30,6 @@ from tidebook.operators.ordered import (
     CHUNK,
     CHUNK_LEVELS,
     DEFAULT_SPAN,
-    aligned_blocks,
     last_known,
     previous_value,
     running_sum,
@@ -252,59 +255,36 @@ def _turns(rows: DataFrame) -> DataFrame:
 def best_tick_moves(turns: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     """Rows where the lowest live tick of a (pair, side) moves, with the new lowest tick (null: side is empty).
 
-    A minimum is not invertible, so it is looked up instead of updated. Inside a (pair, side, chunk) the turns are
-    numbered; a (tick, fee) is live over ranges of these places, and each range is cut into aligned power-of-two
-    blocks. The lowest tick at a place is the minimum over the blocks that hold it, one per level, and over the ticks
-    that the chunk leaves alone. Rows grow with the turns of a chunk times the logarithm of their number; they are
-    shuffled once, by (pair, side, chunk), and made after that.
+    The minimum is not invertible, so it needs an ordered pass over the turns. It runs per (pair, side, chunk); a
+    chunk starts from two small summaries: the ticks it touches that were live before, and the lowest live tick among
+    all those it leaves alone.
     """
-    chunk = [*SIDE, CHUNK]
-    inside = W.partitionBy(*chunk)
-    quiet = _lowest_untouched(turns, carry).withColumnRenamed("tick", "quiet")
-    placed = (
-        turns.join(quiet, chunk, "left")
-        .withColumn("place", F.row_number().over(inside.orderBy("seq")).cast("long"))
-        .withColumn("places", F.count(F.lit(1)).over(inside))
-        .withColumn("next_turn", F.lead("place").over(W.partitionBy(*chunk, "tick", "fee").orderBy("seq")))
+    # a tick that first turns dead was live when the chunk began
+    opening = F.when((F.col("turn") == 1) & (F.col("step") == -1), F.array(F.lit(0), F.lit(1))).otherwise(
+        F.array(F.lit(1))
     )
-    # place 0 is the start of the chunk; a tick that first turns dead was live from there
-    begins = F.when(F.col("step") == 1, F.col("place")).when(F.col("turn") == 1, F.lit(0).cast("long"))
-    ends = F.when(F.col("step") == 1, F.coalesce("next_turn", F.col("places") + 1)).otherwise(F.col("place"))
-    levels = F.sequence(F.lit(0), F.length(F.bin(F.col("places") + 1)) - 1)
-
-    def asked(place: Column) -> Column:
-        return F.transform(
-            levels,
-            lambda level: F.struct(
-                level.alias("level"),
-                F.call_function("shiftright", place, level).alias("block"),
-                F.lit(None).cast("int").alias("tick"),
-                place.alias("place"),
-            ),
-        )
-
-    live = F.transform(
-        aligned_blocks(begins, ends, levels),
-        lambda x: F.struct(x["level"], x["block"], F.col("tick"), F.lit(None).cast("long").alias("place")),
+    steps = turns.select(*SIDE, CHUNK, "seq", "height", "tick", "step", F.explode(opening).alias("kind")).select(
+        *SIDE,
+        CHUNK,
+        F.when(F.col("kind") == 1, F.col("seq")).otherwise(F.lit(-1)).alias("seq"),
+        "height",
+        "tick",
+        F.when(F.col("kind") == 1, F.col("step")).otherwise(F.lit(1)).alias("step"),
     )
-    start = F.when(F.col("place") == 1, asked(F.lit(0).cast("long"))).otherwise(F.slice(asked(F.col("place")), 1, 0))
-    blocks = placed.select(
-        *chunk, "seq", "height", "quiet", F.explode(F.concat(live, asked(F.col("place")), start)).alias("at")
-    ).select(*chunk, "seq", "height", "quiet", "at.*")
-    lowest = F.min("tick").over(W.partitionBy(*chunk, "level", "block"))
-    found = (
-        blocks.withColumn("lowest", lowest)
-        .where(F.col("place").isNotNull())
-        .groupBy(*chunk, "place")
-        .agg(
-            F.least(F.min("lowest"), F.min("quiet")).alias("best"),
-            F.min("seq").alias("seq"),
-            F.min("height").alias("height"),
-        )
+    untouched = _lowest_untouched(turns, carry).select(
+        *SIDE,
+        CHUNK,
+        F.lit(-1).cast("long").alias("seq"),
+        F.lit(-1).cast("long").alias("height"),
+        "tick",
+        F.lit(1).alias("step"),
+    )
+    return (
+        steps.unionByName(untouched)
+        .repartition(*SIDE, CHUNK)
+        .sortWithinPartitions(*SIDE, CHUNK, "seq")
+        .mapInPandas(_lowest_live_pass(), "seq long, height long, token0 string, token1 string, side int, best int")
     )
-    before = F.lag("best").over(inside.orderBy("place"))
-    moved = found.withColumn("before", before).where((F.col("place") > 0) & ~F.col("best").eqNullSafe(F.col("before")))
-    return moved.select("seq", "height", *SIDE, "best")
 
 
 def _lowest_untouched(turns: DataFrame, carry: DataFrame | None) -> DataFrame:
@@ -331,8 +311,18 @@ def _lowest_untouched(turns: DataFrame, carry: DataFrame | None) -> DataFrame:
         *SIDE, "tick", "live", (F.col(CHUNK) + 1).alias("a"), F.coalesce(end, limit).alias("b")
     ).where(F.col("live") & (F.col("a") < F.col("b")))
 
+    def blocks_at(level):
+        # the range in units of 2^level: rounded up at its start, rounded down at its end
+        width = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        low = F.floor((F.col("a") + width - 1) / width)
+        high = F.floor(F.col("b") / width)
+        return F.array(
+            F.when((low < high) & (low % 2 == 1), F.struct(level.alias("level"), low.alias("block"))),
+            F.when((low < high) & (high % 2 == 1), F.struct(level.alias("level"), (high - 1).alias("block"))),
+        )
+
     levels = F.sequence(F.lit(0), F.lit(CHUNK_LEVELS))
-    blocks = aligned_blocks(F.col("a"), F.col("b"), levels)
+    blocks = F.filter(F.flatten(F.transform(levels, blocks_at)), lambda x: x.isNotNull())
     lowest = (
         ranges.select(*SIDE, "tick", F.explode(blocks).alias("at"))
         .groupBy(*SIDE, F.col("at.level").alias("level"), F.col("at.block").alias("block"))
@@ -351,6 +341,41 @@ def _lowest_untouched(turns: DataFrame, carry: DataFrame | None) -> DataFrame:
     )
 
 
+def _lowest_live_pass():
+    """Ordered pass over sorted turns; memory holds one batch and the live ticks of the current chunk.
+
+    It is a nested function so that it travels to the workers by value and they need no copy of this package.
+    """
+    columns = [*SIDE, CHUNK, "seq", "height", "tick", "step"]
+
+    def lowest_live(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = None
+        counts: dict[int, int] = {}
+        heap: list[int] = []
+        best = None
+        for batch in batches:
+            moved = []
+            for token0, token1, side, chunk, seq, height, tick, step in zip(*[batch[c].tolist() for c in columns]):
+                if (token0, token1, side, chunk) != group:
+                    group, counts, heap, best = (token0, token1, side, chunk), {}, [], None
+                count = counts.get(tick, 0) + step
+                counts[tick] = count
+                if count == step == 1:
+                    heapq.heappush(heap, tick)
+                while heap and counts[heap[0]] <= 0:
+                    heapq.heappop(heap)
+                lowest = heap[0] if heap else None
+                if lowest != best:
+                    best = lowest
+                    if seq >= 0:
+                        moved.append((seq, height, token0, token1, side, lowest))
+            out = pd.DataFrame(moved, columns=["seq", "height", "token0", "token1", "side", "best"])
+            out["best"] = out["best"].astype("Int32")
+            yield out
+
+    return lowest_live
+
+
 def latest_tick_state(versions: DataFrame, from_height=0, to_height=None) -> DataFrame:
     """Per (pair, token, tick, fee) the version with the greatest height in ``(from, to]``."""
     keys = [*PAIR, "token", "tick", "fee"]
