@@ -77,13 +77,34 @@ def test_kth_largest(spark, bound):
 def test_edges(make_docs, labelled, spark):
     rows = [(1, None), (2, ""), (2, ""), (3, "fine1 " * 50_000), (None, "fine2"), (None, None), (4, "junk1 junk2")]
     found = imp.selected(make_docs(rows), labelled, share=0.5).collect()
-    assert len(found) == len(rows) and sum(r.kept for r in found) in (4, 5)  # two equal rows draw the same
+    assert len(found) == len(rows) and sum(r.kept for r in found) == 4  # two equal rows draw the same
     assert imp.selected(make_docs([]), labelled).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.kept for r in imp.selected(make_docs(rows), none).collect()} == {True}
     assert imp.target_share(labelled) == pytest.approx(0.75, abs=0.03)
 
 
+def test_repeated_rows_are_kept_as_often_as_asked(make_docs, labelled):
+    rows = [(1, "fine1 fine2")] * 6 + [(2, "junk1 junk2")] * 5 + [(None, "fine3")] * 7 + [(None, None)] * 2 + [(3, "fine1")]
+    for share in (0.0, 0.15, 0.3, 0.5, 0.75, 1.0):
+        found = imp.selected(make_docs(rows).repartition(5), labelled, share=share).collect()
+        assert len(found) == len(rows) and sum(r.kept for r in found) == math.ceil(len(rows) * share)
+        least = min((r.draw for r in found if r.kept), default=math.inf)
+        assert all(r.kept for r in found if r.draw > least) and not any(r.kept for r in found if r.draw < least)
+
+
+def test_equal_draws_go_to_the_smaller_ids(make_docs, labelled, monkeypatch):
+    def flat(docs, ratio, seed):
+        zero = imp.F.lit(0.0)
+        return docs.select("doc_id", zero.alias("log_weight"), zero.alias("draw"))
+
+    monkeypatch.setattr(imp, "weighed", flat)
+    rows = [(i, "x") for i in (5, -2, 9, 9, 9, 4)] + [(None, "x")] * 3
+    for k, ids in ((2, [-2, 4]), (4, [-2, 4, 5, 9]), (6, [-2, 4, 5, 9, 9, 9]), (7, [-2, 4, 5, 9, 9, 9, None])):
+        found = imp.selected(make_docs(rows), labelled, share=k / len(rows) - 1e-9).collect()
+        assert sorted((r.doc_id for r in found if r.kept), key=lambda i: (i is None, i or 0)) == ids
+
+
 def test_every_target_counts(make_docs, spark):
     n = 30_000  # more than any sample that was ever drawn
     docs = make_docs([(i, f"w{i}") for i in range(n)] + [(None, "w0 other")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -158,19 +159,23 @@ def selected(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     """``doc_id, log_weight, draw, kept``: a sample without replacement of ``share`` of the rows, by importance weight;
     by default the share of targets among the labelled documents.
 
-    Adding Gumbel noise to log-weights and taking the largest is that sample. Of equal draws the smaller ids are taken;
-    rows that are equal in both count as they come. Every row gives one row; an empty table gives none.
+    Adding Gumbel noise to log-weights and taking the largest is that sample. Of equal draws the smaller ids are taken,
+    null ids last; of rows that are equal in both, as many as are missing, by a number that each row gets when the draws
+    are stored. So the sample has exactly the asked size, whatever repeats, and nothing is sorted or joined for it. Ids
+    are whole numbers; those that are the same as doubles (beyond 2**53) count as equal here.
+    Every row gives one row; an empty table gives none.
     """
-    rows = keep(weighed(docs, fit(docs, labels), seed), "draws")
+    numbered = weighed(docs, fit(docs, labels), seed).withColumn("row", F.monotonically_increasing_id())
+    rows = keep(numbered, "draws")
     k = math.ceil(rows.count() * (target_share(labels) if share is None else share))
-    value, ties = largest(rows, k)
-    sure = rows.withColumn("kept", F.col("draw") > F.lit(value))
-    if value in (math.inf, -math.inf):
-        return sure
-    at_value = rows.where(F.col("draw") == value).select("doc_id").orderBy(F.col("doc_id").asc_nulls_last()).limit(ties)
-    names = at_value.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return (
-        sure.join(names.withColumnRenamed("doc_id", "tied"), (F.col("draw") == value) & F.col("doc_id").eqNullSafe(F.col("tied")), "left")
-        .withColumn("kept", F.col("kept") | F.col("n").isNotNull())
-        .select("doc_id", "log_weight", "draw", "kept")
-    )
+    by_id = F.coalesce(-F.col("doc_id").cast("double"), F.lit(-sys.float_info.max))
+    kept, tied = F.lit(False), F.lit(True)
+    for key in (F.col("draw"), by_id, -F.col("row").cast("double")):
+        value, k = largest(rows.where(tied).select(key.alias("draw")), k)
+        # every key decides among the rows that the keys before it leave equal
+        kept, tied = kept | (tied & (key > F.lit(value))), tied & (key == F.lit(value))
+        if not k:
+            break
+    else:
+        kept = kept | tied  # the last key has no equal values
+    return rows.select("doc_id", "log_weight", "draw", kept.alias("kept"))
