@@ -298,6 +298,8 @@ ORACLES: dict[str, str] = {
         md5(height || '-' || tx_index) AS txhash, code FROM v"""),
     "decode_events": sql(RAW, """SELECT rseq AS seq, idx AS event_index, type, action, CASE WHEN sub = 2 THEN '' END AS note,
         CASE WHEN sub = 0 THEN 1 WHEN sub = 2 THEN 9 WHEN action = 'PlaceLimitOrder' THEN 12 ELSE 11 END AS n_attributes FROM r"""),
+    "decode_placed_log": sql(RAW, f"""SELECT {PLACE}, type, msg_seq, raw_msg_type AS msg_type FROM m
+        WHERE height > (SELECT half FROM p)"""),
     "dex_events": sql(RAW, "SELECT rseq AS seq, type, action FROM r WHERE sub > 0"),
     "route_by_action": sql(RAW, "SELECT action, rseq AS seq FROM r WHERE sub > 0"),
     "event_deposit": sql(RAW, f"""SELECT {PLACE}, 'u' || user_id AS creator, 'u' || user_id AS receiver, token0, token1, tick, fee,

@@ -14,7 +14,7 @@ from tidebook.operators import assets, changes, dimensions, events, liquidity, p
 from tidebook.plans import queries as plans
 from tidebook.plans import warehouse
 from tidebook.session import new_folder, stored
-from tidebook.sources import reference_data, tables, tx_log
+from tidebook.sources import placed, reference_data, tables, tx_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -232,6 +232,16 @@ def decode_events(spark, sf_dir):
     )
 
 
+@register
+def decode_placed_log(spark, sf_dir):
+    """The log laid out by block and read back above the half of its heights, decoded without a shuffle."""
+    inputs = Inputs(spark, sf_dir)
+    folder = new_folder(spark, "placed")
+    placed.store_placed(inputs.log(), folder, blocks=1000)
+    found = events.load_events(placed.read_placed(spark, folder, inputs.half, blocks=1000))
+    return found.select("seq", "height", "tx_index", "event_index", "type", "msg_seq", "msg_type")
+
+
 @register
 def dex_events(spark, sf_dir):
     found = events.dex_events(Inputs(spark, sf_dir).loaded())

@@ -10,7 +10,7 @@ from tests import brute
 from tidebook.operators import events, ranges, state
 from tidebook.plans import queries as plans
 from tidebook.schemas import TABLES, TX_LOG
-from tidebook.sources import tables
+from tidebook.sources import placed, tables
 
 
 def plan(df) -> str:
@@ -83,12 +83,49 @@ def test_ranges_prune_the_folders_of_stored_tables(spark, tmp_path):
         assert sorted(map(tuple, df.collect())) == sorted(map(tuple, right.select(df.columns).collect()))
 
 
-def test_decoding_shuffles_no_payload(spark, tmp_path):
-    spark.createDataFrame([], TX_LOG).write.parquet(str(tmp_path / "log"))
-    log = spark.read.schema(TX_LOG).parquet(str(tmp_path / "log"))
+def few_records(spark, path):
+    attributes = [("action", "/neutron.dex.MsgDeposit"), ("module", "dex")]
+    rows = [(i, i // 3, f"h{i}", "2024-01-01T00:00:01Z", 5 * (i % 7 == 6), "", "", "1", "1", [("message", attributes)] * (i % 4)) for i in range(60)]
+    spark.createDataFrame(rows, TX_LOG).write.parquet(path)
+    return spark.read.schema(TX_LOG).parquet(path)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    yield
+    spark.conf.set(setting, before)
+
+
+def test_decoding_a_placed_log_shuffles_nothing(spark, tmp_path, no_broadcast):
+    log = few_records(spark, str(tmp_path / "log"))
+    placed.store_placed(log, str(tmp_path / "placed"), blocks=10)
+    laid_out = placed.read_placed(spark, str(tmp_path / "placed"), blocks=10)
+    found = events.load_events(events.tx_index_in_block(events.valid_txs(laid_out)))
+    for df in (found, events.event_tick_update(found), events.dex_events(found), events.load_txs(laid_out)):
+        text = plan(df)
+        assert "Exchange" not in text and "Window" not in text and "Join" not in text
+        assert text.count("Location:") == 1
+    expected = events.load_events(events.valid_txs(log)).select(found.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect())) and found.count() == sum(i % 4 for i in range(60) if i % 7 != 6)
+    filters = plan(events.load_events(placed.read_placed(spark, str(tmp_path / "placed"), 10, 15, blocks=10)))
+    assert "PartitionFilters: [isnotnull(height_range" in filters and "GreaterThan(height,10)" in filters
+
+
+def test_storing_a_placed_log_moves_records_once(spark, tmp_path, no_broadcast):
+    log = few_records(spark, str(tmp_path / "log"))
+    text = plan(events.with_places(tables.spread_by_runs(log, 10), tables.RANGE, tables.RUN))
+    assert text.count("Exchange\n") == 1 and text.count("Sort\n") == 1
+
+
+def test_decoding_another_log_moves_records_once_and_undecoded(spark, tmp_path, no_broadcast):
+    log = few_records(spark, str(tmp_path / "log"))
     text = plan(events.event_tick_update(events.load_events(events.tx_index_in_block(events.valid_txs(log)))))
-    exchanged = [part for part in text.split("\n\n") if "Exchange\n" in part]
-    assert exchanged and not any("events#" in part.split("Input")[1] for part in exchanged)
+    assert text.count("Location:") == 1 and "Join" not in text
+    moved = [part for part in text.split("\n\n") if "Exchange\n" in part]
+    assert len(moved) == 1 and "attributes#" not in moved[0]
     assert "SortAggregate" not in plan(events.load_blocks(log))
 
 

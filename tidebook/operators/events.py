@@ -1,8 +1,9 @@
 """From the transaction log to typed events.
 
 The events of a transaction sit in one record, so the message an event belongs to and its index are found inside the
-record. Its place in the block needs the number of events of the transactions before it: that is counted on heights,
-positions and sizes alone and joined to the decoded events, so the nested payload is never shuffled.
+record. Its place in the block needs the number of events of the transactions before it. A placed log
+(``sources.placed``) keeps that number with each record, and decoding it is one scan without any exchange. Records of
+another log are brought together by block once, as they are, and the log is scanned once.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from tidebook.functions import (
     pack_seq,
 )
 from tidebook.functions.wide import beyond, wide_amount
-from tidebook.schemas import DEX_ACTIONS, DEX_EVENT_TYPES, DEX_MODULE
+from tidebook.schemas import DEX_ACTIONS, DEX_EVENT_TYPES, DEX_MODULE, PLACE
 
 
 def valid_txs(log: DataFrame) -> DataFrame:
@@ -29,12 +30,38 @@ def valid_txs(log: DataFrame) -> DataFrame:
     return log.where(F.col("code") == 0)
 
 
+def is_placed(txs: DataFrame) -> bool:
+    """Whether the records carry their place in the block."""
+    return set(PLACE) <= set(txs.columns)
+
+
 def tx_index_in_block(txs: DataFrame) -> DataFrame:
     """0-based place of each transaction among those of its block (failed ones are dropped before)."""
+    if is_placed(txs):
+        return txs
     in_block = W.partitionBy("height").orderBy("position")
     return txs.withColumn("tx_index", F.row_number().over(in_block) - 1)
 
 
+def with_places(txs: DataFrame, *within: str) -> DataFrame:
+    """Adds ``tx_index, events_before``: index in the block, and events of the transactions of the block before it.
+
+    Null events count as none. A block is the largest group; records move whole and undecoded, at most once, and not at
+    all where they are partitioned by ``within``, columns that follow from the height.
+    """
+    if is_placed(txs):
+        return txs
+    in_block = W.partitionBy(*within, "height").orderBy("position")
+    before = in_block.rowsBetween(W.unboundedPreceding, -1)
+    size = F.coalesce(F.size("events"), F.lit(0)).cast("long")
+    return txs.withColumns(
+        {
+            "tx_index": F.row_number().over(in_block) - 1,
+            "events_before": F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"),
+        }
+    )
+
+
 def last_attribute(attributes: Column, key: str) -> Column:
     """Value of the last attribute with a key, null when there is none."""
     return F.get(
@@ -57,19 +84,6 @@ def load_txs(log: DataFrame) -> DataFrame:
     )
 
 
-def tx_places(txs: DataFrame) -> DataFrame:
-    """``height, position, tx_index, events_before``: index in the block, and events of the transactions before it."""
-    sized = txs.select("height", "position", F.coalesce(F.size("events"), F.lit(0)).cast("long").alias("_size"))
-    in_block = W.partitionBy("height").orderBy("position")
-    before = in_block.rowsBetween(W.unboundedPreceding, -1)
-    return sized.select(
-        "height",
-        "position",
-        (F.row_number().over(in_block) - 1).alias("tx_index"),
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("events_before"),
-    )
-
-
 def _by_message(events: Column) -> Column:
     """The events of a transaction cut where messages open: index of the first event, action, and the events.
 
@@ -96,32 +110,24 @@ def _by_message(events: Column) -> Column:
 def decode_events(txs: DataFrame) -> DataFrame:
     """One row per event with its attribute map and the message that was open before or at it."""
     timed = [c for c in ("time_unix",) if c in txs.columns]
-    parts = txs.where(F.size("events") > 0).select("height", "position", *timed, F.explode(_by_message(F.col("events"))).alias("part"))
+    keys = ["height", *PLACE, *timed]
+    placed = with_places(txs).where(F.size("events") > 0)
+    parts = placed.select(*keys, F.explode(_by_message(F.col("events"))).alias("part"))
     exploded = parts.select(
-        "height",
-        "position",
-        *timed,
+        *keys,
         F.when(F.col("part.action").isNotNull(), F.struct("part.start", "part.action")).alias("_opened"),
         F.col("part.start").alias("_start"),
         F.posexplode("part.events").alias("_place", "event"),
     )
-    decoded = exploded.select(
+    index = F.col("_start") + F.col("_place")
+    return exploded.select(
+        pack_seq(F.col("height"), F.col("events_before") + index).alias("seq"),
         "height",
-        "position",
+        "tx_index",
         *timed,
-        (F.col("_start") + F.col("_place")).alias("event_index"),
+        index.alias("event_index"),
         F.col("event.type").alias("type"),
         attributes_map(F.col("event.attributes")).alias("attributes"),
-        "_opened",
-    )
-    return decoded.join(tx_places(txs), ["height", "position"]).select(
-        pack_seq(F.col("height"), F.col("events_before") + F.col("event_index")).alias("seq"),
-        "height",
-        "tx_index",
-        *timed,
-        "event_index",
-        "type",
-        "attributes",
         F.struct(F.col("_opened.start").alias("index"), F.col("_opened.action").alias("action")).alias("_message"),
     )
 

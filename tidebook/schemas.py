@@ -23,6 +23,9 @@ TX_LOG = T.StructType(
     ]
 )
 
+# Place of a record in its block: index among the successful transactions, events of those before it.
+PLACE = ("tx_index", "events_before")
+
 # The search result as the chain delivers it: the transaction result is nested and heights are text.
 RAW_SEARCH_RESULT = T.StructType(
     [

@@ -11,9 +11,21 @@ from tidebook.sources.versions import read_commits
 RANGE_SPAN = 100000
 FILE_SPAN = 2000
 RANGE = "height_range"
+RUN = "_run"
 SPAN = "blocks_per_folder"
 
 
+def spread_by_runs(df: DataFrame, span: int = RANGE_SPAN, file_span: int = FILE_SPAN) -> DataFrame:
+    """Rows with their folder and run of blocks, all of a run in one task.
+
+    They are spread by runs of blocks, never by pair, so a hot pair does not make a hot file; unlike a range
+    partitioning this needs no sampling pass over an input that may be expensive to compute.
+    """
+    folder = F.floor(F.col("height") / span).cast("long")
+    run = F.floor(F.col("height") / file_span).cast("long")
+    return df.withColumns({RANGE: folder, RUN: run}).repartition(RANGE, RUN)
+
+
 def write_table(
     df: DataFrame,
     path: str,
@@ -22,20 +34,9 @@ def write_table(
     file_span: int = FILE_SPAN,
     mode: str = "overwrite",
 ) -> None:
-    """Write rows in folders of height ranges, sorted inside the files so that min/max statistics prune.
-
-    Rows are spread by runs of blocks, never by pair, so a hot pair does not make a hot file; unlike a range
-    partitioning this needs no sampling pass over an input that may be expensive to compute.
-    """
-    ranged = df.withColumn(RANGE, F.floor(F.col("height") / span).cast("long"))
-    file = F.floor(F.col("height") / file_span)
-    (
-        ranged.repartition(RANGE, file)
-        .sortWithinPartitions(RANGE, *sort)
-        .write.mode(mode)
-        .partitionBy(RANGE)
-        .parquet(path)
-    )
+    """Write rows in folders of height ranges, sorted inside the files so that min/max statistics prune."""
+    spread = spread_by_runs(df, span, file_span).drop(RUN)
+    spread.sortWithinPartitions(RANGE, *sort).write.mode(mode).partitionBy(RANGE).parquet(path)
 
 
 def write_folders(df: DataFrame, path: str, sort: list[str], mode: str = "overwrite") -> None:
