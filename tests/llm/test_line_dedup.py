@@ -44,5 +44,18 @@ def test_many_sites_are_decided_by_sketch_or_exactly(spark, make_docs):
     assert widespread_lines(lines, min_sites=601).count() == 0
 
 
+def test_many_rows_without_an_id_and_ids_with_several_texts(spark, make_docs):
+    rnd = random.Random(2)
+    pool = [f"line {i}" for i in range(40)]
+    rows = [(None, "\n".join(rnd.choices(pool, k=rnd.randint(1, 6))), f"s{i % 7}") for i in range(150)]
+    rows += [(i % 3, "\n".join(rnd.choices(pool, k=4)), f"s{i % 5}") for i in range(30)] + rows[:20]
+    rows += [(None, "\n".join(f"long {i % 9000}\n{pool[i % 40]}" for i in range(20_000)), "s1")]
+    found = dedup_lines(make_docs(rows), min_sites=4)
+    assert sorted((tuple(r) for r in found.select("doc_id", "n_lines", "n_removed", "text").collect()), key=str) == brute(rows, 4)
+    lines = site_lines(make_docs([(None, f"a{i}\nmenu", f"s{i}") for i in range(50)]))
+    groups = lines.groupBy("row_a", "row_b").count()
+    assert groups.count() == 50 and groups.agg({"count": "max"}).first()[0] == 2  # no group for all null ids
+
+
 def test_empty_table(make_docs):
     assert dedup_lines(make_docs([])).count() == 0

@@ -19,15 +19,28 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(bare, F.lit(1)).alias("b"))
 
 
+def row_key(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
+    """128 bits of a row's id and whole text: rows that agree in both lose the same lines."""
+    return [
+        F.xxhash64(F.lit(0), F.isnull(doc_id), doc_id, text).alias("row_a"),
+        F.xxhash64(F.lit(1), text, F.isnull(doc_id), doc_id).alias("row_b"),
+    ]
+
+
 def site_lines(docs: DataFrame, site: str = "source") -> DataFrame:
-    """``doc_id, site, a, b``: one row per line that holds more than blanks; a null site counts as the site ''."""
-    lines = docs.where(F.col("text").isNotNull()).select(
+    """``doc_id, row_a, row_b, site, place, a, b``: one row per line that holds more than blanks, with its place in the
+    text; a null site counts as the site ''."""
+    rows = docs.where(F.col("text").isNotNull()).select(
         "doc_id",
+        *row_key(),
         F.xxhash64(F.coalesce(F.col(site).cast("string"), F.lit(""))).alias("site"),
-        F.explode(F.split("text", "\n")).alias("line"),
+        F.split("text", "\n").alias("split"),
     )
+    lines = rows.select("doc_id", "row_a", "row_b", "site", F.posexplode("split").alias("place", "line"))
     lines = lines.where(F.btrim("line", F.lit(" \t\r")) != "")
-    return lines.select("doc_id", "site", line_key(F.col("line")).alias("k")).select("doc_id", "site", "k.a", "k.b")
+    return lines.select("doc_id", "row_a", "row_b", "site", "place", line_key(F.col("line")).alias("k")).select(
+        "doc_id", "row_a", "row_b", "site", "place", "k.a", "k.b"
+    )
 
 
 def widespread_lines(lines: DataFrame, min_sites: int = MIN_SITES, log_size: int = SKETCH_LOG_SIZE) -> DataFrame:
@@ -67,17 +80,21 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     lines = site_lines(docs, site)
     spread = keep(widespread_lines(lines, min_sites), "widespread-lines")
     hits = lines.join(spread, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    per_doc = hits.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set(F.struct("a", "b")).alias("gone"))
-    whole = docs.select("doc_id", F.struct("*").alias("row"))
-    found = whole.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    # a group is the removed places of one text, also where many rows have no id
+    per_row = hits.groupBy("row_a", "row_b").agg(F.collect_set("place").alias("gone"))
+    whole = docs.select(*row_key(), F.struct("*").alias("row"))
     text = F.col("row.text")
-    split = F.split(text, "\n")
-    left = F.filter(split, lambda x: (F.btrim(x, F.lit(" \t\r")) == "") | ~F.array_contains("gone", line_key(x)))
+    # the one-element explode makes the lines a column: an expression would be split again for every line below
+    found = whole.join(per_row, ["row_a", "row_b"], "left").select(
+        "row", "gone", F.explode(F.array(F.split(text, "\n"))).alias("split")
+    )
+    places = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "gone")
+    left = F.transform(places, lambda i: F.get("split", i))
     result = found.select(
         "row",
         F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias("new"),
-        F.coalesce(F.size(split), F.lit(0)).alias("lines"),
-        F.when(F.col("gone").isNull() | text.isNull(), 0).otherwise(F.size(split) - F.size(left)).alias("removed"),
+        F.coalesce(F.size("split"), F.lit(0)).alias("lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).alias("removed"),
     )
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("text", "n_chars", "n_lines", "n_removed")]
     chars = [F.length("new").cast("long").alias("n_chars")] if "n_chars" in docs.columns else []
