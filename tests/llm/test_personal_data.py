@@ -170,3 +170,21 @@ def test_rare_personal_data_is_found_for_training(spark):
     assert p.training_windows(unnamed, 60, 200).where("holds").count() > 12
     few = spark.range(70_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 69_999, "a@b.cd").otherwise("no").alias("text"))
     assert p.fit(few, 60, 200) is not None
+
+
+def test_training_does_not_depend_on_partitions(make_docs):
+    docs = make_docs(corpus(300, 5))
+    drawn = [p.training_windows(docs.repartition(n), 200, 150).toPandas() for n in (1, 9)]
+    assert len(drawn[0]) == 150
+    for column in ("symbols", "tags", "holds"):
+        assert [bytes(x) if column != "holds" else x for x in drawn[0][column]] == [
+            bytes(x) if column != "holds" else x for x in drawn[1][column]
+        ]
+
+
+def test_span_pool_is_bounded_and_holds_spans_of_the_texts(make_docs):
+    texts = make_docs(corpus(200, 6) + [(9_000, "a" * 100 + "@example.org"), (9_001, None), (9_002, "")]).withColumnRenamed("doc_id", "row")
+    every = p.span_pool(texts)
+    assert every and all((k, 0, len(form)) in p.base_spans(form) and len(form) <= 64 for k, form in every)
+    assert p.span_pool(texts.repartition(5), 7) == every[:7]
+    assert p.span_pool(texts.limit(0)) == []

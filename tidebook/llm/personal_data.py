@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ CONTEXT = 28
 #: Documents that the tagger is trained on, at most, and windows of them.
 SAMPLE_ROWS = 3_000
 SAMPLE_WINDOWS = 2_400
+#: Distinct spans of these documents that are put behind others in training texts, at most.
+POOL_SPANS = 1_000
 STEPS = 400
 
 Span = tuple[str, int, int]
@@ -240,18 +243,33 @@ def balanced(rows: DataFrame, n: int, *columns: str) -> DataFrame:
     return sampled(rows.where("holds"), first, *columns).unionByName(rest)
 
 
+def span_pool(texts: DataFrame, n: int = POOL_SPANS) -> list[tuple[str, str]]:
+    """At most ``n`` distinct base spans of ``texts(row, text)`` as kind and form, in the order of a hash.
+
+    It depends on the texts alone, not on the tasks they are in. Spans of more than 64 characters are left out, since
+    they would fill a training window.
+    """
+
+    def work(batch):
+        return [[[{"kind": k, "form": t[a:b]} for k, a, b in base_spans(t) if b - a <= 64] for t in batch]]
+
+    found = map_texts(texts, lambda: work, "spans array<struct<kind: string, form: string>>", ("row", "text"))
+    forms = keep(found.select(F.explode("spans").alias("s")).select("s.*").distinct(), "tagger-forms")
+    return [tuple(r) for r in sampled(forms, n, "kind", "form").collect()]
+
+
 def training_windows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_windows: int = SAMPLE_WINDOWS) -> DataFrame:
     """``symbols, tags, holds``: distinct windows of documents that hold digits or at signs, most of them with spans."""
     anchored = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id", "text").alias("row"), "text")
     marks = map_texts(anchored, lambda: lambda texts: [[bool(base_spans(t)) for t in texts]], "holds boolean", ("row", "text"))
     marks = keep(marks.groupBy("row").agg(F.max("holds").alias("holds")), "tagger-marks")  # equal rows are one
     chosen = keep(balanced(marks, sample_rows, "row").select("row"), "tagger-sample")
-    texts = anchored.join(chosen, "row")
+    texts = keep(anchored.join(chosen, "row").dropDuplicates(["row"]), "tagger-texts")
+    pool = span_pool(texts)
 
     def make():
         def work(batch):
-            pool = [(kind, t[a:b]) for t in batch for kind, a, b in base_spans(t)]
-            made = [examples(t, k, pool) for k, t in enumerate(batch)]
+            made = [examples(t, zlib.crc32(t.encode("utf-8", "surrogatepass")), pool) for t in batch]
             rows = [[[x.tobytes() for x in pair] + [bool(pair[1].any())] for pair in e] for e in made]
             return [[[{"symbols": s, "tags": t, "holds": h} for s, t, h in e] for e in rows]]
 
