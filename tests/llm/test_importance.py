@@ -51,7 +51,20 @@ def test_selection_against_brute_force_and_held_out_labels(make_docs, labelled):
     ratio = imp.fit(make_docs(rows), labelled)
     texts = dict(rows)
     for r in found[:50]:
-        assert r.log_weight == pytest.approx(imp.SHARPNESS * ratio.mean(texts[r.doc_id]))
+        grams = ratio.values[imp.text_buckets(texts[r.doc_id])]
+        assert r.log_weight == pytest.approx(imp.SHARPNESS * grams.mean())
+        assert ratio.log_weight(texts[r.doc_id], None) == pytest.approx(grams.sum())
+
+
+def test_sum_of_the_log_ratios_as_weight(make_docs, labelled):
+    rows = [*corpus()[0], (1000, None), (1001, "")]
+    ratio = imp.fit(make_docs(rows), labelled)
+    texts = dict(rows)
+    found = imp.selected(make_docs(rows), labelled, share=0.5, sharpness=None).collect()
+    for r in found:
+        assert r.log_weight == pytest.approx(ratio.values[imp.text_buckets(texts[r.doc_id] or "")].sum())
+    order = sorted(found, key=lambda r: (-r.draw, r.doc_id))
+    assert {r.doc_id for r in found if r.kept} == {r.doc_id for r in order[:201]}
 
 
 def test_noise_is_gumbel_and_repeatable(make_docs):
@@ -94,7 +107,7 @@ def test_repeated_rows_are_kept_as_often_as_asked(make_docs, labelled):
 
 
 def test_equal_draws_go_to_the_smaller_ids(make_docs, labelled, monkeypatch):
-    def flat(docs, ratio, seed):
+    def flat(docs, ratio, seed, sharpness):
         zero = imp.F.lit(0.0)
         return docs.select("doc_id", zero.alias("log_weight"), zero.alias("draw"))
 
