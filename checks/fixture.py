@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidebook.session import configure
+from tidebook.session import configure, tasks_for
 
 AMOUNT = "decimal(38,0)"
+#: Flat events of a task that builds transaction records.
+EVENTS_PER_TASK = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,13 +56,14 @@ def market_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _time_text() -> Column:
+    return F.concat(F.date_format(F.timestamp_micros("micros"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+
+
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block headers; a block's time is that of its first event."""
     first = market_events(spark, sf_dir).groupBy("height").agg(F.min("micros").alias("micros"))
-    text = F.concat(
-        F.date_format(F.timestamp_micros("micros"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")
-    )
-    return first.select("height", text.alias("time"))
+    return first.select("height", _time_text().alias("time"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,32 +127,31 @@ def _event(kind: str, *attributes: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), joined.alias("attributes"))
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per flat event with its array of raw events, already grouped by height for the steps that follow."""
-    ev = market_events(spark, sf_dir).repartition("height")
-    kind = F.col("event_type")
-    token_in = F.when(F.col("side") == 0, F.col("token0")).otherwise(F.col("token1"))
-    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    pair = {"TokenZero": F.col("token0"), "TokenOne": F.col("token1")}
-    amount = F.col("amount")
+def _raw(e: Column) -> Column:
+    """The raw events of one flat event."""
+    kind = e["event_type"]
+    token_in = F.when(e["side"] == 0, e["token0"]).otherwise(e["token1"])
+    user = F.concat(F.lit("u"), e["user_id"].cast("string"))
+    pair = {"TokenZero": e["token0"], "TokenOne": e["token1"]}
+    amount = e["amount"]
     marker = F.when(
-        F.col("marker") == 3, _event("message", _attributes({"action": "/neutron.dex.MsgPlaceLimitOrder"}))
-    ).when(F.col("marker") == 1, _event("message", _attributes({"action": "/neutron.dex.MsgDeposit"}))).when(
-        F.col("marker") == 0, _event("message", _attributes({"action": "/other.bank.MsgSend"}))
+        e["marker"] == 3, _event("message", _attributes({"action": "/neutron.dex.MsgPlaceLimitOrder"}))
+    ).when(e["marker"] == 1, _event("message", _attributes({"action": "/neutron.dex.MsgDeposit"}))).when(
+        e["marker"] == 0, _event("message", _attributes({"action": "/other.bank.MsgSend"}))
     )
     owner = {"Creator": user, "Receiver": user}
     deposit = _attributes(
-        {"module": "dex", "action": "DepositLP", **owner, **pair, "TickIndex": F.col("tick"), "Fee": F.col("fee"),
+        {"module": "dex", "action": "DepositLP", **owner, **pair, "TickIndex": e["tick"], "Fee": e["fee"],
          "ReservesZeroDeposited": amount, "ReservesOneDeposited": amount + 1, "SharesMinted": amount * 2}
     )
     withdraw = _attributes(
-        {"module": "dex", "action": "WithdrawLP", **owner, **pair, "TickIndex": F.col("tick"), "Fee": F.col("fee"),
+        {"module": "dex", "action": "WithdrawLP", **owner, **pair, "TickIndex": e["tick"], "Fee": e["fee"],
          "ReservesZeroWithdrawn": amount, "ReservesOneWithdrawn": amount + 1, "SharesRemoved": amount * 2}
     )
     order = _attributes(
         {"module": "dex", "action": "PlaceLimitOrder", **owner, **pair, "TokenIn": token_in, "AmountIn": amount,
-         "LimitTick": F.col("tick"), "OrderType": "GOOD_TIL_CANCELLED", "Shares": amount,
-         "TrancheKey": F.concat(F.lit("k"), F.col("seq").cast("string"))}
+         "LimitTick": e["tick"], "OrderType": "GOOD_TIL_CANCELLED", "Shares": amount,
+         "TrancheKey": F.concat(F.lit("k"), e["seq"].cast("string"))}
     )
     typed = F.when(kind == "signup", _event("message", deposit)).when(
         kind == "view", _event("message", withdraw)
@@ -159,48 +161,43 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "TickUpdate",
         _attributes({"action": "stale", "note": F.lit(None)}),
         _attributes(
-            {"module": "dex", "action": "TickUpdate", **pair, "TokenIn": token_in, "TickIndex": F.col("tick"),
-             "Fee": F.col("fee"), "Reserves": F.col("reserves")}
+            {"module": "dex", "action": "TickUpdate", **pair, "TokenIn": token_in, "TickIndex": e["tick"],
+             "Fee": e["fee"], "Reserves": e["reserves"]}
         ),
     )
-    return ev.select(
-        "height",
-        "tx_index",
-        "event_index",
-        "code",
-        F.filter(F.array(marker, typed, update), lambda e: e.isNotNull()).alias("raw"),
-    )
+    return F.filter(F.array(marker, typed, update), lambda e: e.isNotNull())
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a transaction holds four flat events by construction
-    rows = raw_events(spark, sf_dir)
-    in_order = F.array_sort(F.collect_list(F.struct("event_index", "raw")))
+    """Transaction records with the time of their block.
+
+    The flat columns are shuffled, sorted and grouped; raw events, many times as large, are made of a record's four flat
+    events at the end. Tasks have a bounded number of rows: sizes of shuffled rows say little here, as they compress well.
+    """
+    tasks = tasks_for(spark, table(spark, sf_dir, "events").count(), EVENTS_PER_TASK)
+    rows = market_events(spark, sf_dir).repartition(tasks, "height")
+    flat = ["event_index", *[c for c in rows.columns if c not in ("height", "tx_index", "event_index", "code", "micros")]]
+    grouped = rows.groupBy("height", "tx_index").agg(
+        F.max("code").alias("code"), F.min("micros").alias("micros"), F.array_sort(F.collect_list(F.struct(*flat))).alias("parts")
+    )
     hashed = F.md5(F.concat_ws("-", F.col("height").cast("string"), F.col("tx_index").cast("string")))
-    grouped = rows.groupBy("height", "tx_index").agg(F.max("code").alias("code"), in_order.alias("parts"))
-    return grouped.select(
+    return grouped.withColumn("micros", F.min("micros").over(W.partitionBy("height"))).select(
         ((F.col("height") - 1) * 3 + F.col("tx_index")).alias("position"),
         "height",
         hashed.alias("txhash"),
+        _time_text().alias("timestamp"),
         "code",
         F.lit("").alias("info"),
         F.when(F.col("code") == 0, F.lit("")).otherwise(F.lit("dex")).alias("codespace"),
         F.lit("200000").alias("gas_wanted"),
         (F.col("height") * 10 + F.col("tx_index")).cast("string").alias("gas_used"),
-        F.flatten(F.transform("parts", lambda p: p["raw"])).alias("events"),
+        F.flatten(F.transform("parts", _raw)).alias("events"),
     )
 
 
 def tx_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transaction records with their block time."""
-    times = headers(spark, sf_dir).select("height", F.col("time").alias("timestamp"))
-    return (
-        _nested(spark, sf_dir)
-        .join(times, "height")
-        .select(
-            "position", "height", "txhash", "timestamp", "code", "info", "codespace", "gas_wanted", "gas_used", "events"
-        )
-    )
+    return _nested(spark, sf_dir)
 
 
 def raw_search_result(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,15 @@ def scratch(spark: SparkSession, name: str) -> Iterator[str]:
         remove(spark, path)
 
 
+def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
+    """Number of tasks that holds each at ``rows_per_task`` rows on average, however many rows there are.
+
+    Given to ``repartition`` it is kept, while a number that Spark chooses follows the compressed size of what is shuffled:
+    records of the log take forty times as much memory. Small inputs get a task per core, tiny ones fewer.
+    """
+    return max(rows // rows_per_task + 1, min(spark.sparkContext.defaultParallelism, rows // 1000 + 1))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint a small or sparse input that several branches of a plan read, so that none computes it again."""
     shared_folder(df.sparkSession)
