@@ -14,7 +14,7 @@ from tidebook.session import configure, tasks_for
 
 AMOUNT = "decimal(38,0)"
 #: Flat events of a task that builds transaction records.
-EVENTS_PER_TASK = 100_000
+EVENTS_PER_TASK = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,8 +127,9 @@ def _event(kind: str, *attributes: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), joined.alias("attributes"))
 
 
-def _raw(e: Column) -> Column:
+def _raw() -> Column:
     """The raw events of one flat event."""
+    e = {c: F.col(c) for c in ("event_type", "side", "token0", "token1", "user_id", "amount", "marker", "tick", "fee", "seq", "reserves")}
     kind = e["event_type"]
     token_in = F.when(e["side"] == 0, e["token0"]).otherwise(e["token1"])
     user = F.concat(F.lit("u"), e["user_id"].cast("string"))
@@ -171,17 +172,19 @@ def _raw(e: Column) -> Column:
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transaction records with the time of their block.
 
-    The flat columns are shuffled, sorted and grouped; raw events, many times as large, are made of a record's four flat
-    events at the end. Tasks have a bounded number of rows: sizes of shuffled rows say little here, as they compress well.
+    Flat columns are shuffled; raw events, many times as large, are made behind that and grouped where they are. Tasks have a
+    bounded number of rows: sizes of shuffled rows say little here, as they compress well.
     """
     tasks = tasks_for(spark, table(spark, sf_dir, "events").count(), EVENTS_PER_TASK)
     rows = market_events(spark, sf_dir).repartition(tasks, "height")
-    flat = ["event_index", *[c for c in rows.columns if c not in ("height", "tx_index", "event_index", "code", "micros")]]
-    grouped = rows.groupBy("height", "tx_index").agg(
-        F.max("code").alias("code"), F.min("micros").alias("micros"), F.array_sort(F.collect_list(F.struct(*flat))).alias("parts")
+    timed = rows.withColumn("micros", F.min("micros").over(W.partitionBy("height")))
+    # a transaction holds four flat events by construction
+    in_order = F.array_sort(F.collect_list(F.struct("event_index", "raw")))
+    grouped = timed.withColumn("raw", _raw()).groupBy("height", "tx_index").agg(
+        F.max("code").alias("code"), F.min("micros").alias("micros"), in_order.alias("parts")
     )
     hashed = F.md5(F.concat_ws("-", F.col("height").cast("string"), F.col("tx_index").cast("string")))
-    return grouped.withColumn("micros", F.min("micros").over(W.partitionBy("height"))).select(
+    return grouped.select(
         ((F.col("height") - 1) * 3 + F.col("tx_index")).alias("position"),
         "height",
         hashed.alias("txhash"),
@@ -191,7 +194,7 @@ def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("code") == 0, F.lit("")).otherwise(F.lit("dex")).alias("codespace"),
         F.lit("200000").alias("gas_wanted"),
         (F.col("height") * 10 + F.col("tx_index")).cast("string").alias("gas_used"),
-        F.flatten(F.transform("parts", _raw)).alias("events"),
+        F.flatten(F.transform("parts", lambda p: p["raw"])).alias("events"),
     )
 
 
