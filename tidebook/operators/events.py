@@ -148,6 +148,12 @@ def dex_filter() -> Column:
     return (attributes["module"] == DEX_MODULE) & F.col("type").isin(*DEX_EVENT_TYPES) & (action != "")
 
 
+def event_kind() -> Column:
+    """The action of an exchange event that has a table of its own, ``other`` for any other event."""
+    action = F.col("attributes")["action"]
+    return F.when(F.coalesce(dex_filter(), F.lit(False)) & action.isin(*DEX_ACTIONS), action).otherwise(F.lit("other"))
+
+
 def dex_events(decoded: DataFrame) -> DataFrame:
     """Events of the exchange that carry an action."""
     return decoded.where(dex_filter())
@@ -307,6 +313,26 @@ def _tick_updates(events: DataFrame) -> DataFrame:
     )
 
 
+def parsed_tick_updates(events: DataFrame) -> DataFrame:
+    """Tick updates with the text of their reserves, and these as decimal, else as limbs in ``_wide``, else neither."""
+    read = _tick_updates(events).withColumn("reserves", amount(F.col("_reserves")))
+    return read.withColumn("_wide", F.when(F.col("reserves").isNull(), wide_amount(F.col("_reserves"))))
+
+
+def decimal_updates(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("reserves").isNotNull()).drop("_reserves", "_wide")
+
+
+def wide_updates(parsed: DataFrame) -> DataFrame:
+    wide = parsed.where(F.col("reserves").isNull() & F.col("_wide").isNotNull())
+    return wide.drop("_reserves", "reserves").withColumnRenamed("_wide", "reserves")
+
+
+def rejected_updates(parsed: DataFrame) -> DataFrame:
+    rejected = parsed.where(F.col("reserves").isNull() & F.col("_wide").isNull())
+    return rejected.drop("reserves", "_wide").withColumnRenamed("_reserves", "reserves_text")
+
+
 def event_tick_update(events: DataFrame) -> DataFrame:
     """Tick updates; the fee stays only when it is a number from 0 on, missing reserves count as 0."""
     return (
@@ -319,17 +345,12 @@ def event_tick_update(events: DataFrame) -> DataFrame:
 
 def wide_tick_updates(events: DataFrame) -> DataFrame:
     """Tick updates whose reserves have more than 38 digits, as limbs."""
-    given = F.col("_reserves")
-    wide = _tick_updates(events).where(amount(given).isNull()).withColumn("reserves", wide_amount(given))
-    return wide.where(F.col("reserves").isNotNull()).drop("_reserves")
+    return wide_updates(parsed_tick_updates(events))
 
 
 def rejected_tick_updates(events: DataFrame) -> DataFrame:
     """Tick updates whose reserves are no integer, with the original text."""
-    given = F.col("_reserves")
-    return _tick_updates(events).where(amount(given).isNull() & wide_amount(given).isNull()).withColumnRenamed(
-        "_reserves", "reserves_text"
-    )
+    return rejected_updates(parsed_tick_updates(events))
 
 
 def load_blocks(txs: DataFrame) -> DataFrame:

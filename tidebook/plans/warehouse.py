@@ -15,8 +15,9 @@ from tidebook.operators import dimensions, events, state
 from tidebook.operators.ordered import DEFAULT_SPAN
 from tidebook.operators.snapshots import since_snapshot, snapshots
 from tidebook.schemas import AMOUNT, CARRIED, MESSAGE_TYPES, TABLES
-from tidebook.session import scratch
+from tidebook.session import scratch, tasks_for
 from tidebook.sources import versions
+from tidebook.sources.placed import RECORDS_PER_TASK
 from tidebook.sources.tables import RANGE_SPAN, read_table, without_folders, write_folders, write_table
 
 
@@ -88,6 +89,8 @@ WIDE_TEXTS = {
     },
     "place_order": {"amount_in": "AmountIn", "shares": "Shares"},
 }
+#: The events that ask for a pair, by their kind.
+FLAGGED = ("PlaceLimitOrder", "DepositLP", "WithdrawLP")
 DICTIONARIES = ("tokens", "pairs", "tx_msg_type")
 
 
@@ -107,6 +110,19 @@ def decoded_events(log: DataFrame) -> DataFrame:
     return events.load_events(timed)
 
 
+def _spread(log: DataFrame, tasks: int) -> DataFrame:
+    """Records by block in a number of tasks that follows from their count; a placed log is decoded where it lies."""
+    return log if events.is_placed(log) else events.valid_txs(log).repartition(tasks, "height")
+
+
+def _flagged(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Events with their pair ids; only kinds that can ask for a pair are looked up."""
+    asking = F.col("kind").isin(*FLAGGED)
+    none = {f"pair_{a}": F.lit(0).cast("long") for a in ("swap", "deposit", "withdraw")}
+    looked_up = events.pair_action_flags(found.where(asking).drop("kind"), pairs)
+    return looked_up.unionByName(found.where(~asking).drop("kind").withColumns(none))
+
+
 def _snapshots(name: str, rows: DataFrame, blocks: int, newest: int, after: int = -1) -> DataFrame:
     live = state.is_live(rows) if name == "tick_snapshot" else None
     return snapshots(rows, SNAPSHOTS[name][1], "seq", blocks, newest, after, live)
@@ -191,6 +207,8 @@ class _Writer:
     def __init__(self, spark: SparkSession, folder: str, span: int, blocks: int, wrote: Callable[[str], None] | None):
         self.spark, self.folder, self.span, self.blocks = spark, folder, span, blocks
         self.commit, self.wrote = versions.new_commit(), wrote or (lambda name: None)
+        #: tasks that write a table by runs of blocks, once the size of the log is known
+        self.tasks: int | None = None
 
     def path(self, name: str) -> str:
         return versions.commit_folder(self.folder, name, self.commit)
@@ -200,7 +218,7 @@ class _Writer:
         if name in SNAPSHOTS:
             write_folders(rows, self.path(name), SNAPSHOTS[name][1])
         elif name in SORT:
-            write_table(rows, self.path(name), SORT[name], self.blocks)
+            write_table(rows, self.path(name), SORT[name], self.blocks, tasks=self.tasks)
         else:
             rows.write.parquet(self.path(name))
         self.wrote(name)
@@ -256,9 +274,10 @@ def _commit(
 ) -> Warehouse:
     """Derive what a log adds to a version, write it as one commit and publish the next version.
 
-    The decoded events are written first and everything else is derived from the written table: the nested log is
-    decoded once, and a lost executor never makes the job decode it again. They and the change log are working tables
-    in the shared folder that go at the end.
+    The decoded events are written early and everything else is derived from the written table: the nested log is
+    decoded once, and a lost executor never makes the job decode it again. They, the parsed tick updates and the change
+    log are working tables in the shared folder that go at the end. The number of transactions, written before, gives the
+    tasks of the decoding and of the tables, so that none has more to sort when the log is larger.
     """
     spark = log.sparkSession
     blocks = before.blocks or RANGE_SPAN
@@ -267,32 +286,41 @@ def _commit(
     writer = _Writer(spark, folder, span, blocks, wrote)
     with scratch(spark, "commit") as work:
 
-        def working(name: str, table: DataFrame) -> DataFrame:
-            table.write.parquet(f"{work}/{name}")
+        def working(name: str, table: DataFrame, *folders: str) -> DataFrame:
+            table.write.partitionBy(*folders).parquet(f"{work}/{name}")
             writer.wrote(name)
             return spark.read.schema(table.schema).parquet(f"{work}/{name}")
 
-        found = working("decoded", decoded_events(log))
+        txs = writer.table("tx", events.load_txs(log))
+        writer.tasks = tasks_for(spark, txs.count(), RECORDS_PER_TASK)
+        # folders by kind: what derives from one kind of event reads the attributes of no other
+        found = working("decoded", decoded_events(_spread(log, writer.tasks)).withColumn("kind", events.event_kind()), "kind")
+
+        def of_kind(*kinds: str) -> DataFrame:
+            return found.where(F.col("kind").isin(*kinds)).drop("kind")
+
         block = writer.table("block", events.load_blocks(events.valid_txs(log)))
         now = block.agg(F.max("height")).first()[0]
         newest = before.newest if now is None else now
-        updates, wide = events.event_tick_update(found), events.wide_tick_updates(found)
+        parsed = working("parsed", events.parsed_tick_updates(of_kind("TickUpdate")))
+        updates, wide = events.decimal_updates(parsed), events.wide_updates(parsed)
         states = derived_in_parts(updates, wide, known, span, working)
-        writer.table("tokens", dimensions.new_tokens(found, house.tokens, span))
-        pairs = house.pairs.unionByName(writer.table("pairs", dimensions.new_pairs(found, house.pairs, span)))
+        all_kinds = found.drop("kind")
+        writer.table("tokens", dimensions.new_tokens(all_kinds, house.tokens, span))
+        pairs = house.pairs.unionByName(writer.table("pairs", dimensions.new_pairs(all_kinds, house.pairs, span)))
         best = known["carried_best"].withColumns({"given0": F.lit(True), "given1": F.lit(True)})
         # for best prices only the fact counts that a tick is live
         live = known["carried_ticks"].withColumn("reserves", state.is_live(known["carried_ticks"]).cast("int"))
         price = state.best_price_of_turns(states["turns"], span, live, best)
+        deposits, withdrawals, orders = of_kind("DepositLP"), of_kind("WithdrawLP"), of_kind("PlaceLimitOrder")
         new = {
-            "tx": events.load_txs(log),
-            "tx_msg": messages(found),
-            "events": events.pair_action_flags(found, pairs),
-            "deposit": events.with_wide_texts(events.event_deposit(found), found, WIDE_TEXTS["deposit"]),
-            "withdraw": events.with_wide_texts(events.event_withdraw(found), found, WIDE_TEXTS["withdraw"]),
-            "place_order": events.with_wide_texts(events.event_place_order(found), found, WIDE_TEXTS["place_order"]),
+            "tx_msg": messages(all_kinds),
+            "events": _flagged(found, pairs),
+            "deposit": events.with_wide_texts(events.event_deposit(deposits), deposits, WIDE_TEXTS["deposit"]),
+            "withdraw": events.with_wide_texts(events.event_withdraw(withdrawals), withdrawals, WIDE_TEXTS["withdraw"]),
+            "place_order": events.with_wide_texts(events.event_place_order(orders), orders, WIDE_TEXTS["place_order"]),
             "tick_update": states["tick_update"],
-            "rejected": events.rejected_tick_updates(found),
+            "rejected": events.rejected_updates(parsed),
             "tick_state": states["tick_state"],
             "price": dimensions.join_event_time(price, block),
             "reserves": dimensions.join_event_time(states["reserves"], block),
@@ -308,7 +336,7 @@ def _commit(
     once = ["tx_msg_type"] if "tx_msg_type" not in before.commits else []
     for name in once:
         writer.table(name, message_types(spark))
-    adds = ["block", "tokens", "pairs", *new, *SNAPSHOTS, *once]
+    adds = ["tx", "block", "tokens", "pairs", *new, *SNAPSHOTS, *once]
     after = replace(before.following(writer.commit, adds, list(CARRIED), newest), blocks=blocks)
     versions.publish(spark, folder, after)
     return load(spark, folder)
