@@ -10,29 +10,38 @@ from pyspark.sql.streaming import StreamingQuery
 
 from checks.queries import Inputs, register
 from tidebook.operators import events
-from tidebook.session import new_folder
+from tidebook.session import new_folder, stored
 from tidebook.sources.tx_log import stream_tx_log as open_stream
+from tidebook.sources.versions import rename_once
 from tidebook.streaming import windows
 from tidebook.streaming.follow import UPDATE, CompletedBlocks, ReservesDiff, TickBook, finish, follow
 from tidebook.streaming.log import LogBook
-from tidebook.streaming.state_table import BatchOutput
 
 #: Rows of an arrival; a small table still arrives in several parts.
 ARRIVAL_ROWS = 5_000_000
 FEWEST_ARRIVALS = 4
+PART = "batch"
 
 
 def arrivals(rows: DataFrame, folder: str, order: str = "height") -> Iterator[str]:
-    """Rows that arrive part by part in the order of a column; a part has the files of all tasks and appears at once."""
+    """Rows that arrive part by part in the order of a column; a part has the files of all tasks and appears at once.
+
+    All parts are written in one pass, so the work grows with the rows and not with rows times parts. Bounds are taken from
+    the rows on as few columns as that takes; rows that are dear even so should be stored before.
+    """
     spark = rows.sparkSession
-    rows.write.parquet(f"{folder}/all")
-    stored = spark.read.schema(rows.schema).parquet(f"{folder}/all")
-    newest, count = stored.agg(F.max(order), F.count(F.lit(1))).first()
+    newest, count = rows.agg(F.max(order), F.count(F.lit(1))).first()
     step = newest // max(FEWEST_ARRIVALS, count // ARRIVAL_ROWS) + 1
-    output = BatchOutput(spark, f"{folder}/arrived", "")
+    rows.withColumn(PART, F.expr(f"{order} div {step}")).write.partitionBy(PART).parquet(f"{folder}/all")
+    fs = spark._jvm.org.apache.hadoop.fs
+    arrived = fs.Path(f"{folder}/arrived")
+    files = arrived.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(arrived)
     for i in range(newest // step + 1):
-        output.write(i, stored.where((F.col(order) >= i * step) & (F.col(order) < (i + 1) * step)))
-        yield f"{folder}/arrived/*"
+        part = fs.Path(f"{folder}/all/{PART}={i}")
+        if files.exists(part):  # no row may fall into a part
+            rename_once(spark, part, fs.Path(f"{folder}/arrived/{PART}={i}"))
+            yield f"{folder}/arrived/*"
 
 
 def follow_parts(rows: DataFrame, folder: str, order: str, run: Callable[[str], StreamingQuery]) -> StreamingQuery:
@@ -150,7 +159,7 @@ def stream_log_to_windows(spark, sf_dir):
 def _windowed(spark, rows: DataFrame, make, having_amount: bool = False) -> DataFrame:
     folder = new_folder(spark, "stream-windows")
     output = None
-    for path in arrivals(rows, folder):
+    for path in arrivals(stored(rows, "stream-rows"), folder):
         stream = make(spark.readStream.schema(rows.schema).parquet(path))
         query, output = windows.write_updates(stream, f"{folder}/out", f"{folder}/checkpoint", available_now=True)
         windows.end(query)

@@ -129,6 +129,16 @@ def test_decoding_another_log_moves_records_once_and_undecoded(spark, tmp_path,
     assert "SortAggregate" not in plan(events.load_blocks(log))
 
 
+def test_decoding_makes_the_map_of_an_event_and_the_openings_of_a_transaction_once(spark, tmp_path):
+    log = few_records(spark, str(tmp_path / "log"))
+    found = events.load_events(events.valid_txs(log))
+    # no filter on an attribute repeats them
+    text = events.event_tick_update(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("map_from_entries") == 1
+    opened = [line for line in text.splitlines() if "reverse(filter(" in line]
+    assert len(opened) == 1 and opened[0].count("reverse(filter(") == 1 and "_starts" in opened[0]
+
+
 def test_one_key_is_spread_over_tasks(spark):
     log = [(i, i, "A", "B", "A", 1, 1, i % 5) for i in range(400)]
     setting = "spark.sql.adaptive.coalescePartitions.enabled"

@@ -84,18 +84,23 @@ def load_txs(log: DataFrame) -> DataFrame:
     )
 
 
-def _by_message(events: Column) -> Column:
-    """The events of a transaction cut where messages open: index of the first event, action, and the events.
-
-    The first part holds what comes before any message and may be empty. Every event is in one part, so the work grows
-    with the events, not with events times messages.
-    """
+def _openings(events: Column) -> Column:
+    """Where messages open: index of the event and action, after a first entry for what comes before any message."""
     marks = F.transform(
         events, lambda e, i: F.struct(i.alias("start"), last_attribute(e["attributes"], "action").alias("action"))
     )
     opened = F.filter(marks, lambda m: is_message_action(m["action"]))
     nobody = F.struct(F.lit(0).alias("start"), F.lit(None).cast("string").alias("action"))
-    starts = F.concat(F.array(nobody), opened)
+    return F.concat(F.array(nobody), opened)
+
+
+def _by_message(events: Column, starts: Column) -> Column:
+    """The events of a transaction cut where messages open: index of the first event, action, and the events.
+
+    The first part holds what comes before any message and may be empty. Every event is in one part, so the work grows
+    with the events, not with events times messages. ``starts`` are the openings as a column of their own: an expression
+    would be computed again for each part.
+    """
 
     def part(mark: Column, k: Column) -> Column:
         end = F.when(k + 1 < F.size(starts), F.get(starts, k + 1)["start"]).otherwise(F.size(events))
@@ -112,12 +117,17 @@ def decode_events(txs: DataFrame) -> DataFrame:
     timed = [c for c in ("time_unix",) if c in txs.columns]
     keys = ["height", *PLACE, *timed]
     placed = with_places(txs).where(F.size("events") > 0)
-    parts = placed.select(*keys, F.explode(_by_message(F.col("events"))).alias("part"))
+    opened = placed.select(*keys, "events", _openings(F.col("events")).alias("_starts"))
+    parts = opened.select(*keys, F.explode(_by_message(F.col("events"), F.col("_starts"))).alias("part"))
+    # maps are made in front of the generator: behind it, every filter on an attribute would make them again
+    typed = F.transform(
+        "part.events", lambda e: F.struct(e["type"].alias("type"), attributes_map(e["attributes"]).alias("attributes"))
+    )
     exploded = parts.select(
         *keys,
         F.when(F.col("part.action").isNotNull(), F.struct("part.start", "part.action")).alias("_opened"),
         F.col("part.start").alias("_start"),
-        F.posexplode("part.events").alias("_place", "event"),
+        F.posexplode(typed).alias("_place", "event"),
     )
     index = F.col("_start") + F.col("_place")
     return exploded.select(
@@ -127,7 +137,7 @@ def decode_events(txs: DataFrame) -> DataFrame:
         *timed,
         index.alias("event_index"),
         F.col("event.type").alias("type"),
-        attributes_map(F.col("event.attributes")).alias("attributes"),
+        F.col("event.attributes").alias("attributes"),
         F.struct(F.col("_opened.start").alias("index"), F.col("_opened.action").alias("action")).alias("_message"),
     )
 

@@ -6,6 +6,8 @@ on the events of their block alone; a block is decoded once it is complete, so t
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +45,8 @@ class LogBook:
         updates = cut(events.event_tick_update(events.load_events(txs)))
         self.book.advance(updates.drop("tx_index", "event_index", "msg_seq"), batch)
         block = cut(events.load_blocks(txs))
-        for name, output in self.timed.items():
+
+        def add_times(name: str, output: BatchOutput) -> None:
             source = self.book.outputs["tick_update" if name == "swaps" else name]
             schema = output.schema.rsplit(",", 1)[0]
             rows = self.spark.read.schema(schema).parquet(f"{source.folder}/batch={batch}")
@@ -52,6 +55,10 @@ class LogBook:
             columns = [c.split()[0] for c in output.schema.split(", ")]
             output.write(batch, dimensions.join_event_time(rows, block).select(*columns))
 
+        with ThreadPoolExecutor(len(self.timed)) as pool:
+            for step in [pool.submit(add_times, *timed) for timed in self.timed.items()]:
+                step.result()
+
     def stream(self, name: str) -> DataFrame:
         """Timed rows as a stream: ``reserves``, ``price`` or ``swaps``.
 
