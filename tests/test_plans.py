@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
-from tidebook.operators import events, ranges, state
+from tidebook.operators import dimensions, events, ranges, state
 from tidebook.plans import queries as plans
 from tidebook.schemas import TABLES, TX_LOG
 from tidebook.sources import placed, tables
@@ -139,6 +139,12 @@ def test_decoding_makes_the_map_of_an_event_and_the_openings_of_a_transaction_on
     assert len(opened) == 1 and opened[0].count("reverse(filter(") == 1 and "_starts" in opened[0]
 
 
+def test_dictionaries_are_found_once(spark, tmp_path):
+    loaded = events.load_events(events.valid_txs(few_records(spark, str(tmp_path / "log"))))
+    for found in (dimensions.first_seen_tokens(loaded), dimensions.first_seen_pairs(loaded)):
+        assert "Location:" not in plan(found)  # only the entries are read, as often as the dictionary is joined
+
+
 def test_one_key_is_spread_over_tasks(spark):
     log = [(i, i, "A", "B", "A", 1, 1, i % 5) for i in range(400)]
     setting = "spark.sql.adaptive.coalescePartitions.enabled"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.operators.ordered import DEFAULT_SPAN, running_sum
 from tidebook.schemas import SWAP_MESSAGE
+from tidebook.session import cut
 
 # Attributes that name a token, in the order in which an event introduces them.
 TOKEN_ATTRIBUTES = ("TokenZero", "TokenOne", "TokenIn", "TokenOut", "Token")
@@ -25,9 +26,13 @@ def distinct_tokens(events: DataFrame) -> DataFrame:
 
 
 def number_by_first_seen(entries: DataFrame, order: str, span: int = DEFAULT_SPAN, after: Column | int = 0) -> DataFrame:
-    """Dense ids in the order of first appearance; ``entries`` has ``order`` and the block ``height``."""
+    """Dense ids in the order of first appearance; ``entries`` has ``order`` and the block ``height``.
+
+    Entries, one row per key of a dictionary, are found once: numbering reads them twice and a dictionary is often joined
+    more than once, which would scan all events each time.
+    """
     counted = running_sum(
-        entries.withColumn("_one", F.lit(1).cast("long")), [], order, {"id": "_one"}, span=span
+        cut(entries).withColumn("_one", F.lit(1).cast("long")), [], order, {"id": "_one"}, span=span
     )
     return counted.withColumn("id", F.col("id") + after).drop("_one")
 
