@@ -51,6 +51,17 @@ def test_followed_book_equals_full_run(spark, tmp_path):
     assert rows_of(book.read("frames"), columns) == rows_of(changes.tick_changes(all_changes), columns)
 
 
+def test_state_before_the_first_batch_takes_no_task(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "state"), ["k"], "k string, v decimal(38,0)")
+    gate = CompletedBlocks(spark, str(tmp_path / "gate"))
+    for empty in (table.before(0), gate.rest(0)):
+        assert "LocalRelation <empty>" in empty._jdf.queryExecution().optimizedPlan().toString()
+        assert empty.rdd.getNumPartitions() == 0 and empty.count() == 0
+    assert [(f.name, f.dataType.simpleString()) for f in table.before(0).schema] == [("k", "string"), ("v", "decimal(38,0)")]
+    gate.complete(brute.frame(spark, brute.random_updates(60, seed=3)), 0)
+    assert gate.handed_on.of(0).count() == 1 and len(list((tmp_path / "gate/handed-on/batch=0").glob("*.parquet"))) == 1
+
+
 def test_late_blocks_end_the_stream_instead_of_changing_state(spark, tmp_path):
     updates = brute.frame(spark, brute.random_updates(60, seed=3))
     gate = CompletedBlocks(spark, str(tmp_path / "gate"))

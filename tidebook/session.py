@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Runtime settings every plan in this package relies on. They can be set on a running session.
 RUNTIME_SETTINGS = {
@@ -89,6 +91,13 @@ def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     return max(rows // rows_per_task + 1, min(spark.sparkContext.defaultParallelism, rows // 1000 + 1))
 
 
+def no_rows(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
+    """A table without rows, which Spark folds away when it plans: no task is started for it."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    nothing = spark.range(0).where(F.lit(False))
+    return nothing.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint a small or sparse input that several branches of a plan read, so that none computes it again."""
     shared_folder(df.sparkSession)

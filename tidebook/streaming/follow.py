@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidebook.operators import changes as feeds
 from tidebook.operators import state
 from tidebook.operators.ordered import DEFAULT_SPAN
-from tidebook.session import cut
+from tidebook.session import cut, no_rows
 from tidebook.streaming.state_table import BatchOutput, StateTable
 
 TICK_KEYS = "token0 string, token1 string, token_in string, tick int"
@@ -37,7 +37,7 @@ class CompletedBlocks:
 
     def _waiting(self, batch: int) -> DataFrame:
         if batch <= 0:
-            return self.spark.createDataFrame([], self.schema)
+            return no_rows(self.spark, self.schema)
         return self.received.of(batch - 1).where(F.col("height") > self.last_handed_on(batch))
 
     def complete(self, rows: DataFrame, batch: int) -> DataFrame:
@@ -53,7 +53,8 @@ class CompletedBlocks:
             self.received.remove(batch)
             raise ValueError(f"rows of block {lowest} arrived after block {done} was handed on")
         limit = -1 if newest is None else newest
-        self.handed_on.write(batch, self.spark.createDataFrame([(max(done, limit - 1),)], "height long"))
+        upto = max(done, limit - 1)
+        self.handed_on.write(batch, self.spark.range(upto, upto + 1, numPartitions=1).toDF("height"))
         self.received.remove(batch - 2)
         return found.where(F.col("height") < limit)
 
@@ -100,12 +101,15 @@ class TickBook:
 
     def advance(self, updates: DataFrame, batch: int) -> None:
         """Derive and store everything that follows from the new tick updates."""
-        touched = updates.select(*state.PAIR).distinct()
+        # read by four tables, and the ticks by three outputs; before the first batch there is no state
+        touched = cut(updates.select(*state.PAIR).distinct()) if batch > 0 else None
 
         def of_touched(table: StateTable) -> DataFrame:
-            return table.before(batch).join(touched, state.PAIR, "left_semi")
+            return table.before(batch) if touched is None else table.before(batch).join(touched, state.PAIR, "left_semi")
 
         ticks, span = of_touched(self.ticks), self.span
+        if batch > 0:
+            ticks = cut(ticks)
         # the changes of one batch, read by four outputs
         changes = cut(state.state_changes(updates, span, carry=ticks))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.session import remove
+from tidebook.session import no_rows, remove
 from tidebook.sources.versions import rename_once
 
 _BATCH = "_batch"
@@ -38,7 +38,7 @@ class StateTable:
         if whole:
             paths.append(self._path("whole", whole))
         if not paths:
-            return self.spark.createDataFrame([], self.schema).drop(_BATCH)
+            return no_rows(self.spark, self.schema).drop(_BATCH)
         rows = self.spark.read.schema(self.schema).parquet(*paths)
         return self._newest(rows).drop(_BATCH)
 
